@@ -52,6 +52,11 @@ def edges(spark, sf, seed=SEED) -> DataFrame:
     return N.init_topics(corpus(spark, sf).bow, TOPICS, seed)
 
 
+def stored_edges(spark, sf) -> DataFrame:
+    """The same as a table, for results that read them more than once."""
+    return Workspace(spark).store(edges(spark, sf), "edges")
+
+
 def params(vocab: DataFrame) -> M.Params:
     return M.Params(TOPICS, vocab.count(), ALPHA, BETA, ALPHA_AS)
 
@@ -59,9 +64,10 @@ def params(vocab: DataFrame) -> M.Params:
 def counters(spark, sf):
     """(edges, doc-topic, term-topic, topic totals, tokens, params) of the uniform start."""
     c = corpus(spark, sf)
-    e = N.init_topics(c.bow, TOPICS, SEED)
-    dt, tt = N.doc_topic(e), N.term_topic(e)
-    tokens = c.bow.agg(F.sum("cnt")).first()[0]
+    space = Workspace(spark)
+    e = space.store(N.init_topics(c.bow, TOPICS, SEED), "edges")
+    dt, tt = N.doc_topic(e), space.store(N.term_topic(e), "term_topic")
+    tokens = N.num_tokens(e).first()[0]
     return e, dt, tt, N.topic_total(tt, TOPICS), tokens, params(c.vocab)
 
 
@@ -329,7 +335,7 @@ def accumulate(spark, sf):
 
 @query
 def triplets(spark, sf):
-    e = edges(spark, sf)
+    e = stored_edges(spark, sf)
     return N.triplets(e, N.term_topic(e), N.doc_topic(e))
 
 
@@ -381,7 +387,7 @@ def num_tokens(spark, sf):
 
 @query
 def check_totals(spark, sf):
-    e = edges(spark, sf)
+    e = stored_edges(spark, sf)
     return N.check_totals(e, N.topic_total(N.term_topic(e), TOPICS))
 
 
@@ -456,10 +462,8 @@ def proposal_cdf_terms(spark, sf):
 
 @query
 def proposal_cdf_topics(spark, sf):
-    c = corpus(spark, sf)
-    model = M.model_from_counters(N.term_topic(N.init_topics(c.bow, TOPICS, SEED)), params(c.vocab))
-    total = c.bow.agg(F.sum("cnt")).first()[0]
-    return rounded(P.topic_cdf(model, total), "smoothing_cdf", "prior_cdf", places=9)
+    _, _, tt, _, total, p = counters(spark, sf)
+    return rounded(P.topic_cdf(M.model_from_counters(tt, p), total), "smoothing_cdf", "prior_cdf", places=9)
 
 
 @query

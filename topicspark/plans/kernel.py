@@ -53,8 +53,10 @@ class Rows:
         return at, np.where(self.key[at] == key, self.cnt[at], 0.0)
 
     def add(self, key, change):
-        key, where = np.unique(key, return_inverse=True)
-        change = np.bincount(where, change, len(key))
+        order = np.argsort(key)
+        key = key[order]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key, change = key[start], np.add.reduceat(change[order], start)
         at, _ = self.find(key)
         known = self.key[at] == key
         self.cnt[at[known]] += change[known]
@@ -183,12 +185,12 @@ class Shard:
 
         # visiting order: by step, in a step the document proposals first
         abreast = (self.doc_len[doc] + MAX_STEPS - 1) // MAX_STEPS
-        slot = (place // abreast) * 2 + ~by_doc
+        slot = ((place // abreast) * 2 + ~by_doc).astype(np.int16)
         order = np.argsort(slot, kind="stable")
         cuts = np.concatenate([[0], np.cumsum(np.bincount(slot, minlength=2 * (int(slot.max()) // 2 + 1)))])
         rank = np.empty(n, np.int64)
         rank[order] = np.arange(n)
-        peer = np.where(peer >= 0, rank[peer - span.start], -1)[order]
+        peer = np.where(peer >= 0, rank[np.maximum(peer - span.start, 0)], -1)[order]
         toss, new, z = toss[order], new[order], z[order]
         doc_cell = ((doc - d0).astype(np.int64) * self.K)[order]
         term_cell = (term.astype(np.int64) * self.K)[order]
@@ -196,6 +198,7 @@ class Shard:
         term_cur = ((count - self.own + self.beta) / (self.denom[self.z[span]] - self.own))[order]
         prior_cur = self.prior[z] - self.prior_own - 1
         prior_new = self.prior[new]
+        ones = np.ones(int(np.diff(cuts[::2]).max()))
 
         for j in range(0, len(cuts) - 1, 2):
             a, b, c = cuts[j : j + 3]
@@ -209,9 +212,10 @@ class Shard:
             there = n_dk[doc_cell[b:c] + new[b:c]] + prior_new[b:c]
             here = n_dk[doc_cell[b:c] + z[b:c]] + prior_cur[b:c]
             moved = np.flatnonzero(np.concatenate([doc_ok, toss[b:c] * here < there]) & (new[a:c] != z[a:c])) + a
-            np.subtract.at(n_dk, doc_cell[moved] + z[moved], 1)
-            np.add.at(n_dk, doc_cell[moved] + new[moved], 1)
-            z[moved] = new[moved]
+            cell, topic = doc_cell[moved], new[moved]
+            np.subtract.at(n_dk, cell + z[moved], ones[: len(moved)])
+            np.add.at(n_dk, cell + topic, ones[: len(moved)])
+            z[moved] = topic
         self.z[span] = z[rank]
         return n_dk
 
@@ -284,9 +288,11 @@ def shard_from_arrow(edges: pa.Table, counters: pa.Table, spec):
 
     def rows(kind, ids):
         part = counters.filter(pc.equal(counters["kind"], kind))
+        spot = np.minimum(np.searchsorted(ids, part["id"].to_numpy()), len(ids) - 1)
+        wanted = ids[spot] == part["id"].to_numpy()
+        part, spot = part.filter(pa.array(wanted)), spot[wanted]
         held = part["topics"].combine_chunks()
         size = held.value_lengths().to_numpy(zero_copy_only=False)
-        spot = np.searchsorted(ids, part["id"].to_numpy())
         return np.repeat(spot, size), held.flatten().to_numpy(), part["cnts"].combine_chunks().flatten().to_numpy()
 
     K = len(spec["n_k"])
