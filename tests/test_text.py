@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from topicspark.functions.ranking import dense_index
 from topicspark.functions.text import balanced_brackets, first_three_fields
 from topicspark.operators import sampling as S
-from topicspark.operators.corpus import build_corpus, tokens
+from topicspark.operators.corpus import bow_lines, build_corpus, tokens
 from topicspark.sources import text
 from topicspark.sources.sinks import CSV_OPTIONS, write_rows, write_text
 
@@ -101,6 +101,13 @@ def test_small_corpus(spark):
     assert tokens(c.bow).filter("doc_id = 0 and term_id = 1").count() == 2
 
 
+def test_long_documents_take_several_lines(spark):
+    bow = spark.createDataFrame([(d, t, t + 1) for d, n in ((0, 50), (1, 5)) for t in range(n)], "doc_id bigint, term_id int, cnt bigint")
+    rendered = bow_lines(bow, 10)
+    assert rendered.filter("value like '1 %'").count() == 1 and rendered.filter("value like '0 %'").count() == 5
+    assert {tuple(r) for r in text.parse_bow(rendered, 50).collect()} == {tuple(r) for r in bow.collect()}
+
+
 def first_by_digest(values, n, seed):
     return sorted(sorted(values, key=lambda v: (hashlib.md5(f"{seed}|{v}".encode()).hexdigest(), v))[:n])
 

@@ -85,8 +85,13 @@ def stored_two_starts(spark, sf):
     return vocab, M.model_from_counters(model.term_topic, model.params), space
 
 
-def start(spark, sf):
+def stored_corpus(spark, sf) -> C.Corpus:
     c = corpus(spark, sf)
+    return c._replace(bow=Workspace(spark).store(c.bow, "bow"))
+
+
+def start(spark, sf):
+    c = stored_corpus(spark, sf)
     return training.start(c.bow, params(c.vocab), SEED, SHARDS), c
 
 
@@ -621,7 +626,7 @@ def save_averaged(spark, sf):
 @query
 def init_topics_from_model(spark, sf):
     """Tokens per document and term of a warm start."""
-    c = corpus(spark, sf)
+    c = stored_corpus(spark, sf)
     counts = N.term_topic(N.init_topics(c.bow, TOPICS, SEED))
     model = M.model_from_counters(Workspace(spark).store(counts, "counts"), params(c.vocab))
     return N.edges_to_bow(training.init_topics_from_model(c.bow, model, SEED + 1, SHARDS).edges)
@@ -657,6 +662,6 @@ def run_inference(spark, sf):
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Top terms per topic after a training of 20 sweeps, the last 5 averaged."""
-    c = corpus(spark, sf)
+    c = stored_corpus(spark, sf)
     model = training.train(c.bow, c.vocab.count(), TOPICS, 20, 5, ALPHA, BETA, ALPHA_AS, SEED, SHARDS)
     return R.top_terms(model, c.vocab, 10)

@@ -11,6 +11,8 @@ from topicspark.functions.ranking import dense_index
 from topicspark.functions.text import words
 from topicspark.session import Workspace
 
+TERMS_PER_LINE = 100_000
+
 
 class Corpus(NamedTuple):
     vocab: DataFrame  # term_id int, term string
@@ -54,12 +56,24 @@ def to_bow(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     return counts.join(vocab, "term").select("doc_id", "term_id", "cnt")
 
 
-def bow_lines(bow: DataFrame) -> DataFrame:
-    """Render as `docId term:count ...`, terms in order; at most one document's terms meet in a row."""
+def bow_lines(bow: DataFrame, terms_per_line: int = TERMS_PER_LINE) -> DataFrame:
+    """Render as `docId term:count ...`, terms in order.
+
+    A document of more terms than terms_per_line takes several lines, which parse back to one document;
+    so no task holds a document as a whole.
+    """
+    large = (
+        bow.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_terms")).filter(F.col("_terms") > terms_per_line)
+        .select("doc_id", F.ceil(F.col("_terms") / terms_per_line).alias("_lines"))
+    )
+    line = F.pmod(F.xxhash64("term_id"), F.coalesce("_lines", F.lit(1)))
     pairs = F.sort_array(F.collect_list(F.struct("term_id", "cnt")))
     rendered = F.transform(pairs, lambda p: F.concat_ws(":", p["term_id"], p["cnt"]))
-    return bow.groupBy("doc_id").agg(F.array_join(rendered, " ").alias("_terms")).select(
-        F.concat_ws(" ", "doc_id", "_terms").alias("value")
+    return (
+        bow.join(large, "doc_id", "left")
+        .groupBy("doc_id", line.alias("_line"))
+        .agg(F.array_join(rendered, " ").alias("_terms"))
+        .select(F.concat_ws(" ", "doc_id", "_terms").alias("value"))
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from topicspark.operators.counters import relabel
 
 _BLOCK_CELLS = 1 << 22  # cells of a dense block of terms x topics
+MAX_TASKS = 256
 
 
 def _partial_products(num_topics: int):
@@ -37,16 +38,17 @@ def _partial_products(num_topics: int):
     return run
 
 
-def topic_similarity(term_topics: DataFrame, num_topics: int, tasks: int | None = None) -> DataFrame:
+def topic_similarity(term_topics: DataFrame, num_topics: int, tasks: int = MAX_TASKS) -> DataFrame:
     """(topic_a, topic_b, sim), a < b: cosine of two topics' counts over all terms, where it is not 0.
 
     Every task multiplies its own terms' rows into one topics x topics table, so what is shuffled
-    depends on the number of topics and tasks and not on the number of terms or of term pairs.
+    depends on the number of topics and tasks and not on the number of terms or of term pairs. The
+    terms are spread over at most `tasks` tasks.
     """
     rows = term_topics.groupBy("term_id").agg(
         F.collect_list(F.struct("topic", F.col("cnt").cast("double").alias("cnt"))).alias("held")
     )  # at most one entry per topic
-    if tasks:
+    if int(term_topics.sparkSession.conf.get("spark.sql.shuffle.partitions")) > tasks:
         rows = rows.repartition(tasks, "term_id")
     partial = rows.select(F.col("held.topic").alias("topics"), F.col("held.cnt").alias("cnts")).mapInArrow(
         _partial_products(num_topics), "topic_a int, topic_b int, dot double"

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MAX_STEPS = 256
+MAX_STEPS = 64
 BATCH_CELLS = 1 << 24  # cells of a dense documents x topics block
 DENSE_CELLS = 1 << 24  # up to so many rows x topics, entries are found by a table
 RAGGED_CELLS = 1 << 22

@@ -66,14 +66,15 @@ def shard_bow(
 ) -> Sharded:
     """Cut a bag of words into shards and give every occurrence a uniform topic.
 
-    The topics are drawn after the rows were moved to their shards, so the small rows are shuffled.
+    The topics are drawn after the rows were moved to their shards, so the small rows are shuffled. The
+    bag of words is read twice, for the document sizes and for the rows: it had better be a table.
     """
     rows = blocks(bow)
-    sizes = positive(bow).groupBy("doc_id").agg(F.sum("cnt").alias("_size"))
+    sizes = space.store(positive(bow).groupBy("doc_id").agg(F.sum("cnt").alias("_size")), f"{name}_sizes")
     large = sizes.filter(F.col("_size") > piece_tokens).select(
         "doc_id", F.ceil(F.col("_size") / piece_tokens).cast("int").alias("pieces")
     )
-    tokens = positive(bow).agg(F.coalesce(F.sum("cnt"), F.lit(0))).first()[0]
+    tokens = sizes.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
     count = num_shards or max(MIN_SHARDS, math.ceil(tokens / TOKENS_PER_SHARD))
     # blocks of a term are hashed apart, so the pieces of a document are of like size
     piece = F.pmod(F.xxhash64("term_id", "block"), F.col("pieces"))

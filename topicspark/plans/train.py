@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -122,8 +123,14 @@ def gibbs_sweep(state: State, passes: int = PASSES, score: bool = False) -> Stat
     return _counted(sharded, s.params, s.seed, s.sweep + 1, s.space, int(s.n_k.sum()))
 
 
-def run_gibbs(state: State, sweeps: int, trace: bool = True) -> tuple[State, list[tuple[int, float]]]:
-    """(state after the sweeps, [(iteration, perplexity before it)])."""
+def run_gibbs(
+    state: State, sweeps: int, trace: bool = True, report: Callable[[int, float], None] | None = None
+) -> tuple[State, list[tuple[int, float]]]:
+    """(state after the sweeps, [(iteration, perplexity before it)]).
+
+    The perplexities are found by the sweeps themselves, without a job of their own. Each is also
+    given to `report` once its sweep is done.
+    """
     found = []
     for i in range(1, sweeps + 1):
         tokens = state.n_k.sum()
@@ -131,6 +138,8 @@ def run_gibbs(state: State, sweeps: int, trace: bool = True) -> tuple[State, lis
         if trace:
             loglik = state.edges.agg(F.sum("loglik")).first()[0]
             found.append((i, math.exp(-loglik / tokens)))
+            if report:
+                report(*found[-1])
     return state, found
 
 
@@ -164,9 +173,9 @@ def _check_iterations(total_iter: int, burn_in: int) -> None:
         raise ValueError("total_iter must be above burn_in, and burn_in above 0")
 
 
-def _finish(state: State, total_iter: int, burn_in: int) -> Model:
+def _finish(state: State, total_iter: int, burn_in: int, report: Callable[[int, float], None] | None) -> Model:
     state = state._replace(params=state.params._replace(total_iter=total_iter))
-    state, _ = run_gibbs(state, total_iter - burn_in, trace=False)
+    state, _ = run_gibbs(state, total_iter - burn_in, report is not None, report)
     state, model = save_averaged(state, burn_in)
     for slot in range(2):
         state.space.release(state.edges, f"edges_{slot}")
@@ -185,11 +194,15 @@ def train(
     seed: int = 42,
     num_shards: int | None = None,
     space: Workspace | None = None,
+    report: Callable[[int, float], None] | None = None,
 ) -> Model:
-    """total_iter - burn_in sweeps, then burn_in sweeps whose counters are averaged."""
+    """total_iter - burn_in sweeps, then burn_in sweeps whose counters are averaged.
+
+    report(iteration, perplexity) is called for the former, if given.
+    """
     _check_iterations(total_iter, burn_in)
     params = Params(num_topics, num_terms, alpha, beta, alpha_as)
-    return _finish(start(bow, params, seed, num_shards, space), total_iter, burn_in)
+    return _finish(start(bow, params, seed, num_shards, space), total_iter, burn_in, report)
 
 
 def train_incremental(
@@ -201,11 +214,12 @@ def train_incremental(
     seed: int = 42,
     num_shards: int | None = None,
     space: Workspace | None = None,
+    report: Callable[[int, float], None] | None = None,
 ) -> Model:
     """As train, from topics that fit the old model, with its topics, alpha and beta."""
     _check_iterations(total_iter, burn_in)
     state = init_topics_from_model(bow, model, seed, num_shards, space, alpha_as)
-    return _finish(state, total_iter, burn_in)
+    return _finish(state, total_iter, burn_in, report)
 
 
 def merge_duplicate_topics(state: State, threshold: float = 0.95) -> tuple[State, dict[int, int]]:
