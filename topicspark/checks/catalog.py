@@ -25,7 +25,7 @@ from topicspark.sources import sinks, text
 
 SEED, TOPICS, SHARDS = 42, 8, 16
 ALPHA, BETA, ALPHA_AS = 0.1, 0.01, 0.1
-SWEEPS, BURN_IN = 6, 2
+SWEEPS, BURN_IN = 4, 2
 SIMILAR = 0.85
 
 Query = Callable[[SparkSession, str], DataFrame]
