@@ -146,6 +146,23 @@ def test_hot_document_and_hot_counters_are_split(spark, space, monkeypatch):
     assert as_set(N.edges_to_bow(warm.edges)) == as_set(bow.filter("cnt > 0"))
 
 
+def test_more_shards_than_tasks(spark, planted, monkeypatch):
+    p = Params(K, WORDS, 0.1, 0.01, 0.1)
+    many = T.gibbs_sweep(T.start(planted, p, 1, 8))
+    monkeypatch.setattr(shards, "MAX_TASKS", 3)
+    few = T.gibbs_sweep(T.start(planted, p, 1, 8))
+    assert as_set(few.term_topic) == as_set(many.term_topic)
+
+
+def test_empty_topics_have_a_line(spark, model, vocab):
+    wide = model._replace(
+        topic_total=model.topic_total.unionAll(spark.createDataFrame([(K, 0.0)], "topic int, cnt double")),
+        params=model.params._replace(num_topics=K + 1),
+    )
+    lines = {r["topic"]: r["value"] for r in topic_terms_report(wide, vocab).collect()}
+    assert sorted(lines) == list(range(K + 1)) and lines[K] == f"{K} "
+
+
 def test_large_counts_are_cut_into_blocks(spark):
     bow = spark.createDataFrame([(1, 0, 10_001), (2, 1, 0)], "doc_id bigint, term_id int, cnt bigint")
     edges = N.init_topics(bow, 5, 1)

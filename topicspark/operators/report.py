@@ -65,10 +65,9 @@ def topic_terms_report(
         .select("topic", "part", F.array_join(F.col("terms.text"), " ").alias("terms"))
     )
     every = vocab.sparkSession.range(p.num_topics).select(F.col("id").cast("int").alias("topic"))
-    return every.join(lines, "topic", "left").select(
-        "topic",
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.concat(F.col("topic").cast("string"), F.lit(" "), F.coalesce("terms", F.lit(""))).alias("value"),
+    empty = every.join(F.broadcast(firsts), "topic", "left_anti").select("topic", F.lit(0), F.lit(""))
+    return lines.unionAll(empty).select(
+        "topic", "part", F.concat(F.col("topic").cast("string"), F.lit(" "), "terms").alias("value")
     )
 
 
