@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicspark.llm import token_files
+from topicspark.llm import decontaminate, token_files
 from topicspark.llm.common import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,3 +30,13 @@ def op1_token_files(spark, folder):
     where = fresh_path(spark, "token-files")
     token_files.write_token_files(table(spark, folder, "documents"), where, public_tokenizers.path("word_bpe_49k.json"))
     return token_files.read_token_files(spark, where).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op3_decontaminate(spark, folder):
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document against the whole benchmark."""
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
