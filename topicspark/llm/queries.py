@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicspark.llm import decontaminate, token_files
+from topicspark.llm import bpe, decontaminate, token_files
 from topicspark.llm.common import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,3 +40,12 @@ def op3_decontaminate(spark, folder):
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@query
+def op8_bpe(spark, folder):
+    """doc_id, n_tokens and the digests of ids and decoded text of every document."""
+    done = bpe.encode_and_decode(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return done.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
