@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicspark.llm import bpe, decontaminate, token_files
-from topicspark.llm.common import fresh_path
+from topicspark.llm import bpe, decontaminate, exact_dedup, langid, token_files
+from topicspark.llm.common import fresh_path, in_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,6 +32,12 @@ def op1_token_files(spark, folder):
     return token_files.read_token_files(spark, where).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op2_exact_dedup(spark, folder):
+    """doc_id, keep_id, group_size, kept, text_sha256 of every document."""
+    return exact_dedup.exact_duplicates(spark, f"{folder}/documents.parquet")
+
+
 @query
 def op3_decontaminate(spark, folder):
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document against the whole benchmark."""
@@ -42,6 +48,14 @@ def op3_decontaminate(spark, folder):
     )
 
 
+@query
+def op7_langid(spark, folder):
+    """doc_id, held_out, lang_pred, score of every document; margin and accepted are the operator's own."""
+    docs = table(spark, folder, "documents")
+    found = langid.predict(docs, langid.fit(docs))
+    return found.withColumn("held_out", in_fold(F.col("doc_id"), 5, 0))
+
+
 @query
 def op8_bpe(spark, folder):
     """doc_id, n_tokens and the digests of ids and decoded text of every document."""
