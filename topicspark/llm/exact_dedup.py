@@ -52,7 +52,9 @@ def update_state(
     stream = spark.readStream.schema(schema)
     if files_per_batch:
         stream = stream.option("maxFilesPerTrigger", files_per_batch)
-    rows = stream.parquet(source).select(
+    # a file stream takes a folder or a pattern; this pattern fits a table of one file too
+    source = source.rstrip("/")
+    rows = stream.parquet(f"{source[:-1]}[{source[-1]}]").select(
         digest(normalised(F.col("text"))).alias("digest"),
         "doc_id",
         F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("locator"),

@@ -35,3 +35,21 @@ WITH rows AS (SELECT doc_id,
 groups AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM rows GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM rows JOIN groups USING (t)
 """
+
+# The template is that of chat.py: OPEN role SAYS text (NEXT text)* CLOSE per block of one role; escaped by one sign.
+ORACLES["op9_chat"] = r"""
+WITH turns AS (
+    SELECT conv_id, turn::bigint AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+placed AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS last,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i,
+    length(text) + length(regexp_replace(text, '[^\x{241B}]', '', 'g')) + len(regexp_extract_all(text, '<s>|</s>|<\||\[INST\]|\[/INST\]')) AS size,
+    length(role) + length(regexp_replace(role, '[^\x{241B}]', '', 'g')) + len(regexp_extract_all(role, '<s>|</s>|<\||\[INST\]|\[/INST\]')) AS head
+    FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(size + CASE WHEN last = role THEN 8 ELSE 3 + head + 8 + 4 END)::bigint AS formatted_chars
+FROM placed GROUP BY conv_id
+"""
