@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicspark.llm import bpe, chat, decontaminate, exact_dedup, langid, token_files
+from topicspark.llm import bpe, chat, decontaminate, exact_dedup, langid, quality, token_files, urls
 from topicspark.llm.common import fresh_path, in_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,18 @@ def op3_decontaminate(spark, folder):
     )
 
 
+URL_RULES = [
+    urls.Rule("net", "/", urls.BLOCK), urls.Rule("example.net", "/en/", urls.ALLOW),
+    urls.Rule("example.com", "/de/", urls.BLOCK), urls.Rule("org", "/fr/", urls.ALLOW),
+]
+
+
+@query
+def op5_urls(spark, folder):
+    """page_id, host, path, rule, verdict of every page; the score is the operator's own."""
+    return urls.filter_urls(table(spark, folder, "pages").select("page_id", "url"), URL_RULES)
+
+
 @query
 def op7_langid(spark, folder):
     """doc_id, held_out, lang_pred, score of every document; margin and accepted are the operator's own."""
@@ -79,3 +91,11 @@ def op9_chat(spark, folder):
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
         F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned.cast("binary"), 256).alias("loss_sha256"), "formatted_chars",
     )
+
+
+@query
+def op10_quality(spark, folder):
+    """doc_id, held_out, score, predicted of every document."""
+    docs = table(spark, folder, "documents")
+    found = quality.score(docs, quality.fit(docs, table(spark, folder, "labels")))
+    return found.withColumn("held_out", in_fold(F.col("doc_id"), 3, 1))
