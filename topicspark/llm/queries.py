@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicspark.llm import bpe, chat, decontaminate, exact_dedup, langid, quality, token_files, urls
+from topicspark.llm import bpe, chat, decontaminate, exact_dedup, langid, near_dedup, quality, token_files, urls
 from topicspark.llm.common import fresh_path, in_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,12 @@ def op3_decontaminate(spark, folder):
     )
 
 
+@query
+def op4_near_dedup(spark, folder):
+    """doc_id, n_shingles, component_id, kept of every document: shingles of four words, Jaccard of 0.8."""
+    return near_dedup.near_duplicates(table(spark, folder, "documents"), 4, 80)
+
+
 URL_RULES = [
     urls.Rule("net", "/", urls.BLOCK), urls.Rule("example.net", "/en/", urls.ALLOW),
     urls.Rule("example.com", "/de/", urls.BLOCK), urls.Rule("org", "/fr/", urls.ALLOW),
