@@ -53,3 +53,24 @@ SELECT conv_id, count(*) AS n_turns,
     sum(size + CASE WHEN last = role THEN 8 ELSE 3 + head + 8 + 4 END)::bigint AS formatted_chars
 FROM placed GROUP BY conv_id
 """
+
+ORACLES["op6_line_dedup"] = """
+WITH lines AS (
+    SELECT doc_id, i - 1 AS line_no, list_filter(string_split(translate(l[i],
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' '), lambda x: x <> '') AS w
+    FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (
+        SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
+firsts AS (SELECT w, min((doc_id, line_no)) AS first FROM lines WHERE len(w) > 0 GROUP BY w),
+tokens AS (SELECT DISTINCT first, array_to_string(w[i : least(i + 4, len(w))], ' ') AS token
+    FROM (SELECT first, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM firsts)),
+sized AS (SELECT *, count(*) OVER (PARTITION BY first) AS n FROM tokens),
+pairs AS (SELECT x.first AS first, y.first AS earlier FROM sized x JOIN sized y ON x.token = y.token AND y.first < x.first
+    GROUP BY x.first, y.first, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+gone AS (
+    SELECT doc_id, line_no FROM lines JOIN firsts USING (w)
+    WHERE (doc_id, line_no) <> first OR first IN (SELECT first FROM pairs)),
+removed AS (SELECT doc_id, count(*) AS n, string_agg(line_no::varchar, ',' ORDER BY line_no) AS removed FROM gone GROUP BY doc_id)
+SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, chr(10))) END::bigint AS n_lines,
+    coalesce(n, 0)::bigint AS n_removed, coalesce(removed, '') AS removed
+FROM documents LEFT JOIN removed USING (doc_id)
+"""

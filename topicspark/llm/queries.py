@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicspark.llm import bpe, chat, decontaminate, exact_dedup, langid, near_dedup, quality, token_files, urls
+from topicspark.llm import bpe, chat, decontaminate, exact_dedup, langid, line_dedup, near_dedup, quality, token_files, urls
 from topicspark.llm.common import fresh_path, in_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,13 @@ def op5_urls(spark, folder):
     return urls.filter_urls(table(spark, folder, "pages").select("page_id", "url"), URL_RULES)
 
 
+@query
+def op6_line_dedup(spark, folder):
+    """doc_id, n_lines, n_removed and the removed lines' places of every document."""
+    found = line_dedup.line_report(table(spark, folder, "documents"))
+    return found.withColumn("removed", F.array_join(F.transform("removed", lambda i: i.cast("string")), ","))
+
+
 @query
 def op7_langid(spark, folder):
     """doc_id, held_out, lang_pred, score of every document; margin and accepted are the operator's own."""
