@@ -302,3 +302,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, **options
     found = sets.select("doc_id", "n_shingles", "key").join(every, "key", "left")
     ident = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select("doc_id", "n_shingles", ident.alias("component_id"), F.col("doc_id").eqNullSafe(ident).alias("kept"))
+
+
+def representatives(docs: DataFrame, size: int = 5, percent: int = 80, **options) -> DataFrame:
+    """The rows, with all their columns, of one document per group of near-duplicates: the one of the least doc_id.
+
+    Documents without words have no group and stay. Of rows that repeat a doc_id and text one stays.
+    """
+    found = near_duplicates(docs, size, percent, **options)
+    kept = found.where("kept").select("doc_id").distinct()
+    same = docs["doc_id"].eqNullSafe(kept["doc_id"])
+    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"]) if _repeats(found) else docs.join(kept, same, "left_semi")
+
+
+def _repeats(found: DataFrame) -> bool:
+    """Whether some doc_id comes more than once among the kept rows."""
+    return bool(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
