@@ -25,7 +25,7 @@ from topicspark.sources import sinks, text
 
 SEED, TOPICS, SHARDS = 42, 8, 16
 ALPHA, BETA, ALPHA_AS = 0.1, 0.01, 0.1
-SWEEPS, BURN_IN = 4, 2
+SWEEPS, BURN_IN = 20, 5
 SIMILAR = 0.85
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,7 +179,7 @@ def restore_term_topic(spark, sf):
     """Read back with another vocabulary."""
     vocab, model, space = stored_two_starts(spark, sf)
     sinks.write_text(R.topic_terms_report(model, vocab).select("value"), space.path("counts"))
-    return model_files.restore_term_topic(spark, space.path("counts"), long_word_vocab(vocab))
+    return model_files.restore_term_topic(spark, space.path("counts"), long_word_vocab(vocab), TOPICS)
 
 
 @query
@@ -318,7 +318,7 @@ def sample_docs(spark, sf):
 @query
 def sample_docs_large(spark, sf):
     """The same with the method for samples too large for one task."""
-    return S.sample_docs(documents(spark, sf).select(F.col("text").alias("value")), 300, SEED, top_rows=0)
+    return S.sample_docs(documents(spark, sf).select(F.col("text").alias("value")), 300, SEED)
 
 
 @query
@@ -356,6 +356,19 @@ def vocabulary_index(spark, sf):
     return C.vocabulary_lookup(C.word_counts(docs), C.build_vocab(docs)).select("doc_id", "term_id", "cnt", "term")
 
 
+@query
+def frequent_vocab(spark, sf):
+    """The terms that are seen ten times or more."""
+    return C.build_vocab(documents(spark, sf), min_count=10)
+
+
+@query
+def topic_terms_table(spark, sf):
+    """Every term of every topic by its rank, as a table."""
+    vocab, model = two_starts(spark, sf)
+    return R.topic_terms_table(model, vocab)
+
+
 @query
 def relabel(spark, sf):
     return N.edge_tokens(N.relabel(edges(spark, sf), {1: 0, 5: 2, 7: 1}, TOPICS))
@@ -580,8 +593,16 @@ def empty_model(spark, sf):
 
 @query
 def gibbs_sweep(spark, sf):
-    """Tokens per document and term after a sweep."""
-    return N.edges_to_bow(training.gibbs_sweep(start(spark, sf)[0]).edges)
+    """Tokens per document and term after a sweep, and whether it moved tokens, to topics in range, to a lower perplexity."""
+    before, _ = start(spark, sf)
+    after = training.gibbs_sweep(before)
+    pairs = after.edges.select("doc_id", "term_id", "block", F.col("topics").alias("new")).join(
+        before.edges.select("doc_id", "term_id", "block", "topics"), ["doc_id", "term_id", "block"]
+    )
+    moved = pairs.agg(F.sum(F.size(F.filter(F.zip_with("new", "topics", lambda a, b: a != b), lambda x: x)))).first()[0]
+    bad = after.edges.filter(F.exists("topics", lambda t: (t < 0) | (t >= TOPICS))).count()
+    ok = moved > 0 and not bad and training.perplexity(after) < training.perplexity(before)
+    return N.edges_to_bow(after.edges).withColumn("ok", F.lit(ok))
 
 
 @query
@@ -612,24 +633,33 @@ def _trained(spark, sf):
 
 @query
 def train(spark, sf):
+    """Tokens per term of the averaged model, and whether it is better than the start and its counts are fifths."""
     _, model, before = _trained(spark, sf)
-    return _model_facts(spark, model, before)
+    fifths = model.term_topic.filter(F.abs(F.col("cnt") * BURN_IN - F.round(F.col("cnt") * BURN_IN)) > 1e-6).limit(1).count() == 0
+    ok = fifths and model.params.perplexity < before
+    return model.term_topic.groupBy("term_id").agg(F.round(F.sum("cnt"), 6).alias("cnt")).withColumn("ok", F.lit(ok))
 
 
 @query
 def save_averaged(spark, sf):
-    """Tokens per term in the model of two averaged sweeps."""
+    """Tokens per term in the model of two averaged sweeps, and whether all counts are multiples of one half, some odd."""
     _, model = training.save_averaged(start(spark, sf)[0], 2)
-    return model.term_topic.groupBy("term_id").agg(F.round(F.sum("cnt"), 6).alias("cnt"))
+    halves = model.term_topic.withColumn("twice", F.col("cnt") * 2)
+    odd = halves.filter(F.col("twice") % 2 == 1).limit(1).count() > 0
+    whole = halves.filter(F.col("twice") != F.round("twice")).limit(1).count() == 0
+    return model.term_topic.groupBy("term_id").agg(F.round(F.sum("cnt"), 6).alias("cnt")).withColumn("ok", F.lit(odd and whole))
 
 
 @query
 def init_topics_from_model(spark, sf):
-    """Tokens per document and term of a warm start."""
+    """Tokens per document and term of a warm start, and whether its topics fit the model better than uniform ones."""
     c = stored_corpus(spark, sf)
     counts = N.term_topic(N.init_topics(c.bow, TOPICS, SEED))
     model = M.model_from_counters(Workspace(spark).store(counts, "counts"), params(c.vocab))
-    return N.edges_to_bow(training.init_topics_from_model(c.bow, model, SEED + 1, SHARDS).edges)
+    p = params(c.vocab)
+    warm = training.init_topics_from_model(c.bow, model, SEED + 1, SHARDS)
+    better = training.perplexity(warm) < training.perplexity(training.start(c.bow, p, SEED + 1, SHARDS))
+    return N.edges_to_bow(warm.edges).withColumn("ok", F.lit(better))
 
 
 @query
@@ -655,8 +685,12 @@ def run_inference(spark, sf):
     path = Workspace(spark).path("results")
     inference.run_inference(c.bow, model, path, seed=SEED, num_shards=SHARDS)
     fields = F.split("value", " ")
+    probs = F.transform(F.slice(fields, 3, TOPICS), lambda e: F.split(e, ":")[1].cast("double"))
+    falling = F.array_sort(probs, lambda a, b: F.when(a > b, -1).when(a < b, 1).otherwise(0)) == probs
+    total = F.aggregate(probs, F.lit(0.0), lambda a, b: a + b)
     return spark.read.text(path).select(
-        fields[0].cast("bigint").alias("row_index"), fields[1].cast("bigint").alias("doc_id")
+        fields[0].cast("bigint").alias("row_index"), fields[1].cast("bigint").alias("doc_id"),
+        (F.size(probs).between(1, TOPICS) & falling & F.abs(total - 1).__lt__(0.01)).alias("ok"),
     )
 
 

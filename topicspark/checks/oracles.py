@@ -13,7 +13,7 @@ _LINES = r"SELECT unnest(regexp_split_to_array(text, '\r\n|\n|\r')) AS value FRO
 _CTE = {
     "w": ((), r"SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS term FROM documents"),
     "vocab": (("w",), """SELECT CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_id, term
-        FROM (SELECT term FROM w GROUP BY term HAVING count(*) >= 10)"""),
+        FROM (SELECT term FROM w GROUP BY term)"""),
     "bow": (("vocab",), "SELECT doc_id, term_id, count(*) AS cnt FROM w JOIN vocab USING (term) GROUP BY doc_id, term_id"),
     "lines": (("bow",), """SELECT doc_id::VARCHAR || ' ' || string_agg(term_id || ':' || cnt, ' ' ORDER BY term_id) AS value
         FROM bow GROUP BY doc_id"""),
@@ -119,10 +119,14 @@ oracle("write_rows", "", _FIELDS)
 oracle("topic_totals_report", "mk", f"""SELECT row_number() OVER (ORDER BY cnt DESC, topic) - 1 AS rank,
     topic || ' ' || {_decimals('cnt', 2)} AS value FROM mk""")
 for _name, _value, _places in (("topic_terms_report", "mt.cnt", 2), ("topic_term_probs_report", "mt.cnt / mk.cnt", 8)):
-    oracle(_name, "mt mk vocab", f"""SELECT topic, 0 AS part, topic || ' ' ||
+    oracle(_name, "mt mk vocab", f"""SELECT topic, topic || ' ' ||
         string_agg(term || ':' || {_decimals('x', _places)}, ' ' ORDER BY x DESC, term_id) AS value
         FROM (SELECT topic, term_id, term, {_value} AS x FROM mt JOIN mk USING (topic) JOIN vocab USING (term_id))
         GROUP BY topic""")
+oracle("topic_terms_table", "mt vocab", """SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY cnt DESC, term_id) - 1 AS rank,
+    term_id, term, cnt AS value FROM mt JOIN vocab USING (term_id)""")
+oracle("frequent_vocab", "w", """SELECT CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_id, term
+    FROM (SELECT term FROM w GROUP BY term HAVING count(*) >= 10)""")
 oracle("doc_topics_report", "dt", f"""SELECT row_index, row_index || ' ' || doc_id || ' ' || topics AS value
     FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_index,
         string_agg(topic || ':' || {_decimals('prob', 6)}, ' ' ORDER BY prob DESC, topic) AS topics
@@ -245,12 +249,13 @@ oracle("empty_model", "vocab ks", f"""SELECT topic, count(term)::DOUBLE AS cnt,
     FROM ks LEFT JOIN vocab ON length(term) % {TOPICS} = topic GROUP BY topic""")
 
 # sampling: what must hold whatever is drawn
-oracle("gibbs_sweep", "bow", _BOW)
+oracle("gibbs_sweep", "bow", "SELECT *, true AS ok FROM bow")
 oracle("run_gibbs", "perp", "SELECT range::INTEGER AS iter, round(perplexity, 6) AS first, true AS improved FROM perp, range(1, 4)")
-for _name in ("train", "train_incremental"):
-    oracle(_name, "size", f"""SELECT {TOPICS} AS num_topics, v::INTEGER AS num_terms, n::DOUBLE AS num_tokens,
+_PER_TERM = "SELECT term_id, sum(cnt)::DOUBLE AS cnt, true AS ok FROM bow GROUP BY term_id"
+oracle("train", "bow", _PER_TERM)
+oracle("train_incremental", "size", f"""SELECT {TOPICS} AS num_topics, v::INTEGER AS num_terms, n::DOUBLE AS num_tokens,
         true AS improved FROM size""")
-oracle("save_averaged", "bow", "SELECT term_id, sum(cnt)::DOUBLE AS cnt FROM bow GROUP BY term_id")
-oracle("init_topics_from_model", "bow", _BOW)
+oracle("save_averaged", "bow", _PER_TERM)
+oracle("init_topics_from_model", "bow", "SELECT *, true AS ok FROM bow")
 oracle("infer", "bow", "SELECT DISTINCT doc_id, 1.0::DOUBLE AS total, true AS ok FROM bow")
-oracle("run_inference", "bow", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_index, doc_id FROM (SELECT DISTINCT doc_id FROM bow)")
+oracle("run_inference", "bow", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_index, doc_id, true AS ok FROM (SELECT DISTINCT doc_id FROM bow)")

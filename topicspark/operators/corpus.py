@@ -11,8 +11,6 @@ from topicspark.functions.ranking import dense_index
 from topicspark.functions.text import words
 from topicspark.session import Workspace
 
-TERMS_PER_LINE = 100_000
-
 
 class Corpus(NamedTuple):
     vocab: DataFrame  # term_id int, term string
@@ -25,8 +23,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return exploded.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def build_vocab(docs: DataFrame, min_count: int = 10) -> DataFrame:
-    """(term_id, term) of the terms seen at least `min_count` times; ids follow the term order."""
+def build_vocab(docs: DataFrame, min_count: int = 1) -> DataFrame:
+    """(term_id, term) of all terms, ids in the order of the terms; with min_count only of those seen as often."""
     kept = (
         docs.select(F.explode(words(F.col("text"))).alias("term"))
         .groupBy("term")
@@ -38,7 +36,7 @@ def build_vocab(docs: DataFrame, min_count: int = 10) -> DataFrame:
     return indexed.select(F.col("term_id").cast("int").alias("term_id"), "term")
 
 
-def build_corpus(docs: DataFrame, min_count: int = 10, space: Workspace | None = None) -> Corpus:
+def build_corpus(docs: DataFrame, min_count: int = 1, space: Workspace | None = None) -> Corpus:
     """Vocabulary and bag of words of `docs(doc_id, text)`.
 
     The words are read twice, once per term and once per (document, term): both passes aggregate
@@ -56,25 +54,12 @@ def to_bow(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     return counts.join(vocab, "term").select("doc_id", "term_id", "cnt")
 
 
-def bow_lines(bow: DataFrame, terms_per_line: int = TERMS_PER_LINE) -> DataFrame:
-    """Render as `docId term:count ...`, terms in order.
-
-    A document of more terms than terms_per_line takes several lines, which parse back to one document;
-    so no task holds a document as a whole.
-    """
-    large = (
-        bow.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_terms")).filter(F.col("_terms") > terms_per_line)
-        .select("doc_id", F.ceil(F.col("_terms") / terms_per_line).alias("_lines"))
-    )
-    line = F.pmod(F.xxhash64("term_id"), F.coalesce("_lines", F.lit(1)))
+def bow_lines(bow: DataFrame) -> DataFrame:
+    """Render as `docId term:count ...`, terms in order: one line per document."""
     pairs = F.sort_array(F.collect_list(F.struct("term_id", "cnt")))
     rendered = F.transform(pairs, lambda p: F.concat_ws(":", p["term_id"], p["cnt"]))
-    return (
-        bow.join(large, "doc_id", "left")
-        .groupBy("doc_id", line.alias("_line"))
-        .agg(F.array_join(rendered, " ").alias("_terms"))
-        .select(F.concat_ws(" ", "doc_id", "_terms").alias("value"))
-    )
+    lines = bow.groupBy("doc_id").agg(F.array_join(rendered, " ").alias("_terms"))
+    return lines.select(F.concat_ws(" ", "doc_id", "_terms").alias("value"))
 
 
 def positive(df: DataFrame, column: str = "cnt") -> DataFrame:
@@ -82,11 +67,13 @@ def positive(df: DataFrame, column: str = "cnt") -> DataFrame:
     return df.filter(F.col(column) > 0)
 
 
-def tokens(bow: DataFrame) -> DataFrame:
-    """One row (doc_id, term_id, occ) per occurrence, occ = 0 .. cnt-1."""
-    return positive(bow).select(
-        "doc_id", "term_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cnt") - 1)).alias("occ")
-    )
+def tokens(bow: DataFrame, block: int = 4096) -> DataFrame:
+    """One row (doc_id, term_id, occ) per occurrence, occ = 0 .. cnt-1, by way of blocks: no array is longer than one."""
+    zero = F.lit(0).cast("bigint")
+    first = F.explode(F.sequence(zero, F.col("cnt") - 1, F.lit(block).cast("bigint"))).alias("_first")
+    parts = positive(bow).select("doc_id", "term_id", "cnt", first)
+    last = F.least(F.col("_first") + block, "cnt") - 1
+    return parts.select("doc_id", "term_id", F.explode(F.sequence("_first", last)).alias("occ"))
 
 
 def vocabulary_lookup(df: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -92,10 +92,11 @@ def num_tokens(edges: DataFrame) -> DataFrame:
 
 def check_totals(edges: DataFrame, totals: DataFrame) -> DataFrame:
     """One row: tokens on the edges, tokens in the totals, and whether they agree."""
-    counted = num_tokens(edges)
-    summed = totals.agg(F.sum("cnt").cast("bigint").alias("total_count"))
-    # one row on either side
-    return counted.join(summed, F.lit(True)).withColumn("ok", F.col("num_tokens") == F.col("total_count"))
+    none = F.lit(None).cast("bigint")
+    counted = num_tokens(edges).select("num_tokens", none.alias("total_count"))
+    summed = totals.agg(F.sum("cnt").cast("bigint").alias("total_count")).select(none.alias("num_tokens"), "total_count")
+    both = counted.unionAll(summed).agg(F.max("num_tokens").alias("num_tokens"), F.max("total_count").alias("total_count"))
+    return both.withColumn("ok", F.col("num_tokens") == F.col("total_count"))
 
 
 def triplets(edges: DataFrame, term_topics: DataFrame, doc_topics: DataFrame) -> DataFrame:
@@ -114,7 +115,7 @@ def triplets(edges: DataFrame, term_topics: DataFrame, doc_topics: DataFrame) ->
 def relabel(edges: DataFrame, mapping: dict[int, int], num_topics: int) -> DataFrame:
     """Replace topics by the map; topics outside it stay. The map has at most one entry per topic."""
     table = F.array(*[F.lit(mapping.get(k, k)) for k in range(num_topics)])
-    return edges.withColumn("topics", F.transform("topics", lambda t: F.get(table, t)))
+    return edges.withColumn("topics", F.transform("topics", lambda t: F.coalesce(F.get(table, t), t)))
 
 
 def accumulate(total: DataFrame, new: DataFrame) -> DataFrame:

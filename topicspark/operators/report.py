@@ -9,8 +9,6 @@ from topicspark.functions.ranking import dense_index
 from topicspark.operators.corpus import positive
 from topicspark.operators.models import Model, Params
 
-TERMS_PER_LINE = 100_000
-
 
 def topics_by_total(model: Model) -> DataFrame:
     """(rank, topic, cnt), largest total first; ties by topic. One row per topic."""
@@ -35,16 +33,11 @@ def top_terms(model: Model, vocab: DataFrame, n: int) -> DataFrame:
     return named.withColumn("rank", rank).filter(F.col("rank") <= n).select("topic", "rank", "term", "cnt")
 
 
-def topic_terms_report(
-    model: Model, vocab: DataFrame, decimals: int = 2, probs: bool = False, terms_per_line: int = TERMS_PER_LINE
-) -> DataFrame:
-    """(topic, part, value): lines `topic term:value ...`, largest first, ties by term id.
+def topic_terms_table(model: Model, vocab: DataFrame, probs: bool = False) -> DataFrame:
+    """(topic, rank, term_id, term, value) of every term of every topic, largest first from rank 0, ties by term id.
 
-    With probs the value is the count over the topic's total. A topic's terms are ranked by a
-    distributed sort, and a topic with more terms than terms_per_line goes on in further lines that
-    start with the topic again, which the reader accepts; so no task holds a topic as a whole.
+    With probs the value is the count over the topic's total. The ranks come from one distributed sort.
     """
-    p = model.params
     topics = positive(model.topic_total).withColumnRenamed("cnt", "total")  # one row per topic
     value = F.col("cnt") / F.col("total") if probs else F.col("cnt")
     valued = (
@@ -52,23 +45,24 @@ def topic_terms_report(
         .join(F.broadcast(topics), "topic")
         .select("topic", "term_id", value.alias("value"))
         .join(vocab, "term_id")
-        .select("topic", "term_id", F.concat(F.col("term"), F.format_string(f":%.{decimals}f", "value")).alias("text"),
-                "value")
     )
     ranked = dense_index(valued, [F.col("topic"), F.desc("value"), F.col("term_id")], "place")
     firsts = ranked.groupBy("topic").agg(F.min("place").alias("first"))  # one row per topic
-    lines = (
-        ranked.join(F.broadcast(firsts), "topic")
-        .withColumn("part", F.floor((F.col("place") - F.col("first")) / terms_per_line).cast("int"))
-        .groupBy("topic", "part")
-        .agg(F.sort_array(F.collect_list(F.struct("place", "text"))).alias("terms"))
-        .select("topic", "part", F.array_join(F.col("terms.text"), " ").alias("terms"))
-    )
-    every = vocab.sparkSession.range(p.num_topics).select(F.col("id").cast("int").alias("topic"))
-    empty = every.join(F.broadcast(firsts), "topic", "left_anti").select("topic", F.lit(0), F.lit(""))
-    return lines.unionAll(empty).select(
-        "topic", "part", F.concat(F.col("topic").cast("string"), F.lit(" "), "terms").alias("value")
-    )
+    rank = (F.col("place") - F.col("first")).alias("rank")
+    return ranked.join(F.broadcast(firsts), "topic").select("topic", rank, "term_id", "term", "value")
+
+
+def topic_terms_report(model: Model, vocab: DataFrame, decimals: int = 2, probs: bool = False) -> DataFrame:
+    """(topic, value): the table as text, one line `topic term:value ...` per topic, whatever its length.
+
+    A line holds all terms of its topic and so has to fit a task; `topic_terms_table` is the form for any size.
+    """
+    table = topic_terms_table(model, vocab, probs)
+    text = F.concat(F.col("term"), F.format_string(f":%.{decimals}f", "value")).alias("text")
+    held = table.select("topic", F.struct("rank", text).alias("entry")).groupBy("topic").agg(F.sort_array(F.collect_list("entry")).alias("terms"))
+    every = vocab.sparkSession.range(model.params.num_topics).select(F.col("id").cast("int").alias("topic"))
+    joined = every.join(held.select("topic", F.array_join(F.col("terms.text"), " ").alias("terms")), "topic", "left")
+    return joined.select("topic", F.concat(F.col("topic").cast("string"), F.lit(" "), F.coalesce("terms", F.lit(""))).alias("value"))
 
 
 def top_topics(dist: DataFrame, n: int) -> DataFrame:

@@ -7,57 +7,66 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TOP_ROWS = 10_000  # up to this size every task may keep a whole sample
-BROADCAST_ROWS = 1_000_000  # up to this many 64-byte digests are broadcast
-_BUCKET_DIGITS = 5  # 16**5 sample buckets
+from topicspark.session import Workspace
 
+DIGITS = 3  # of a digest, per histogram: 4,096 buckets
+EDGE_ROWS = 100_000  # so many digests at the cut are ranked at once
 
-def sample_docs(lines: DataFrame, n: int, seed: int, top_rows: int = TOP_ROWS) -> DataFrame:
+
+def _edge(keyed: DataFrame, n: int) -> tuple[str, str, int]:
+    """(low, prefix, missing): all digests below `low` are taken, and `missing` more of those that start with `prefix`.
+
+    Histograms of the digests' leading digits, each inside the bucket at the cut of the one before.
+    """
+    prefix, missing = "", n
+    for length in range(DIGITS, 32, DIGITS):
+        inside = keyed.filter(F.col("_key").startswith(prefix)) if prefix else keyed
+        sizes = inside.groupBy(F.substring("_key", 1, length).alias("bucket")).agg(F.count(F.lit(1)).alias("rows"))
+        upto = F.sum("rows").over(Window.orderBy("bucket"))  # one row per bucket
+        cut = sizes.withColumn("upto", upto).filter(F.col("upto") >= missing).orderBy("bucket").first()
+        if cut is None:
+            return "g", "g", 0  # beyond all digests: there are fewer lines than asked for
+        missing -= cut["upto"] - cut["rows"]
+        prefix = cut["bucket"]
+        if cut["rows"] <= EDGE_ROWS:
+            break
+    return prefix, prefix, missing
+
+
+def sample_docs(lines: DataFrame, n: int, seed: int) -> DataFrame:
     """Exactly n lines without replacement (all lines if there are fewer), the same for the same seed.
 
-    The sample is the first n lines in the order of (md5 of seed and line, line). A small sample is a
-    top-n. For a large one, a histogram of the digests' leading digits finds the cut: lines of buckets
-    below it pass through a plain filter, and only the one bucket at the cut is ranked, by distinct
-    line with its number of copies. No text is shuffled but that bucket's.
+    The sample is the first n lines in the order of the md5 of seed and line. Histograms of the digests' leading
+    digits find the cut; lines below it pass through a plain filter. At the cut, distinct digests with their number of
+    copies are ranked, and only those taken fetch their text. No task gets more than the digests of one small bucket.
     """
     if n <= 0:
         raise ValueError("the sample size must be above 0")
     keyed = lines.select("value", F.md5(F.concat_ws("|", F.lit(seed), "value")).alias("_key"))
-    if n <= top_rows:
-        return keyed.orderBy("_key", "value").limit(n).select("value")
-
-    bucket = F.substring("_key", 1, _BUCKET_DIGITS)
-    sizes = keyed.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("rows"))
-    upto = F.sum("rows").over(Window.orderBy("bucket"))
-    cut = sizes.withColumn("upto", upto).filter(F.col("upto") >= n).orderBy("bucket").first()
-    if cut is None:
-        return lines.select("value")
-    missing = n - (cut["upto"] - cut["rows"])
-    below = keyed.filter(bucket < cut["bucket"]).select("value")
-    copies = keyed.filter(bucket == cut["bucket"]).groupBy("_key", "value").agg(F.count(F.lit(1)).alias("copies"))
-    before = F.sum("copies").over(Window.orderBy("_key", "value")) - F.col("copies")
-    edge = (
-        copies.withColumn("take", F.least("copies", F.lit(missing) - before))
-        .filter("take > 0")
-        .select("value", F.explode(F.sequence(F.lit(1).cast("bigint"), "take")))
-        .select("value")
-    )
-    return below.unionAll(edge)
-
-
-def holdout_split(lines: DataFrame, n: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    low, prefix, missing = _edge(keyed, n)
+    below = keyed.filter(F.col("_key") < low).select("value")
+    if not missing:
+        return below
+    edge = keyed.filter(F.col("_key").startswith(prefix))
+    copies = edge.groupBy("_key").agg(F.count(F.lit(1)).alias("copies"))
+    before = F.sum("copies").over(Window.orderBy("_key")) - F.col("copies")
+    taken = copies.withColumn("take", F.least("copies", F.lit(missing) - before)).filter("take > 0").select("_key", "take")
+    text = edge.join(taken, "_key").groupBy("_key", "take").agg(F.min("value").alias("value"))
+    again = text.select("value", F.explode(F.sequence(F.lit(1).cast("bigint"), "take"))).select("value")
+    return below.unionAll(again)
+
+
+def holdout_split(lines: DataFrame, n: int, seed: int, space: Workspace | None = None) -> tuple[DataFrame, DataFrame]:
     """(training, held out): n sampled lines, and every line whose text is not among them.
 
-    Copies of a held-out line all leave the training set; other copies stay. The lines are matched by
-    their sha-256 digest, so a held-out set of bounded size is sent to the executors as digests, and
-    a larger one is joined by shuffling digests on its side.
+    Copies of a held-out line all leave the training set; other copies stay. The sample is written as a table, and the
+    lines are matched by their digest, so Spark knows the size of what it joins and picks the join.
     """
-    held_out = sample_docs(lines, n, seed)
-    digests = held_out.select(F.sha2("value", 256).alias("_digest")).distinct()
-    if n <= BROADCAST_ROWS:
-        digests = F.broadcast(digests)
-    training = lines.withColumn("_digest", F.sha2("value", 256)).join(digests, "_digest", "left_anti").select("value")
-    return training, held_out
+    space = space or Workspace(lines.sparkSession)
+    held_out = space.store(sample_docs(lines, n, seed), "held_out")
+    digests = space.store(held_out.select(F.unhex(F.sha2("value", 256)).alias("_digest")).distinct(), "digests")
+    keyed = lines.withColumn("_digest", F.unhex(F.sha2("value", 256)))
+    return keyed.join(digests, "_digest", "left_anti").select("value"), held_out
 
 
 def select_docs(lines: DataFrame, ids: Sequence[str] | DataFrame) -> DataFrame:

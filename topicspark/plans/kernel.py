@@ -1,23 +1,25 @@
 """Sampling inside one shard, in numpy.
 
-A shard is a bounded set of tokens with the counters of their terms. Tokens are visited in an order in
-which documents advance side by side: step j visits the j-th token of every document, and of a long
-document several tokens at once, so that a visit of all tokens takes at most MAX_STEPS vector steps.
-The document counters change after each step; term and topic counters after each visit of all tokens.
+A shard is a set of whole documents with the counters of their terms. Each document's tokens are visited one after the
+other; documents advance side by side, so step j visits the j-th token of every document that has one. Where few
+documents are left, their remaining tokens are visited in a plain loop, by the same arithmetic. Document counters
+change after each token; term and topic counters after each visit of all tokens.
 
 A token's new topic is proposed either from its document (another token's topic, or the prior) or from
 its term's counters, with its own topic left out of all counts, and then accepted or not. In the
 acceptance ratio the proposal's own factor cancels: what is left for a document proposal is the ratio of
 the term weights, and for a term proposal the ratio of the document weights.
+
+Every draw is a hash of (seed, sweep, visit, document, place of the token in it), so it does not matter which
+documents share a shard.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
-MAX_STEPS = 64
+ABREAST = 24  # fewer documents than this are visited token by token
 BATCH_CELLS = 1 << 24  # cells of a dense documents x topics block
 DENSE_CELLS = 1 << 24  # up to so many rows x topics, entries are found by a table
 RAGGED_CELLS = 1 << 22
@@ -72,6 +74,26 @@ def _pick(cum, x, first, last):
     return np.clip(np.searchsorted(cum, x, side="right"), first, last)
 
 
+def _mixed(x):
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def token_keys(doc_ids, place):
+    """One 64-bit number per token, from its document's id and its place in it."""
+    return _mixed(_mixed(np.asarray(doc_ids, np.int64).view(np.uint64)) + np.asarray(place).astype(np.uint64))
+
+
+def draws(keys, *visit):
+    """Three uniform draws in [0, 1) per token, for a visit named by integers."""
+    name = np.zeros(1, np.uint64)
+    for part in visit:
+        name = _mixed(name * np.uint64(0x9E3779B97F4A7C15) + np.array([part & 0xFFFFFFFFFFFFFFFF], np.uint64))
+    base = _mixed(keys ^ name)
+    return [(_mixed(base + np.uint64(i + 1)) >> np.uint64(11)) * 2.0**-53 for i in range(3)]
+
+
 class Shard:
     """Tokens, sorted by document, with the counters they are sampled against.
 
@@ -79,19 +101,16 @@ class Shard:
     own = 0: the counters belong to a finished model and stay (inference).
     """
 
-    def __init__(self, doc, term, topic, terms: Rows, n_k, num_terms, alpha, beta, alpha_as, own, remote: Rows):
+    def __init__(self, doc, term, topic, terms: Rows, n_k, num_terms, alpha, beta, alpha_as, own, keys=None):
         self.doc, self.term, self.z = doc, term, topic
-        self.terms, self.remote, self.own = terms, remote, own
+        self.terms, self.own = terms, own
         self.n_k = np.array(n_k, float)
         self.K, self.V = len(self.n_k), num_terms
         self.alpha, self.beta, self.alpha_as = alpha, beta, alpha_as
-        self.num_docs = remote.num_rows
+        self.num_docs = int(doc.max()) + 1 if len(doc) else 0
         self.doc_len = np.bincount(doc, minlength=self.num_docs)
         self.doc_start = np.cumsum(self.doc_len) - self.doc_len
-        self.remote_bounds = remote.bounds()
-        self.remote_cum = np.cumsum(remote.cnt)
-        self.remote_base = np.concatenate([[0.0], self.remote_cum])[self.remote_bounds[:-1]]
-        self.remote_len = np.concatenate([[0.0], self.remote_cum])[self.remote_bounds[1:]] - self.remote_base
+        self.keys = token_keys(doc, np.arange(len(doc)) - self.doc_start[doc]) if keys is None else keys
         per_batch = max(1, BATCH_CELLS // self.K)
         self.batches = [(d, min(d + per_batch, self.num_docs)) for d in range(0, self.num_docs, per_batch)]
         self.prepare()
@@ -116,14 +135,11 @@ class Shard:
         return slice(t0, self.doc_start[d1 - 1] + self.doc_len[d1 - 1])
 
     def doc_counts(self, batch):
-        """Dense counts of the batch's documents, tokens held by other shards included."""
+        """Dense counts of the batch's documents."""
         d0, d1 = batch
         t = self.tokens_of(batch)
         cell = (self.doc[t] - d0).astype(np.int64) * self.K + self.z[t]
-        counts = np.bincount(cell, minlength=(d1 - d0) * self.K).astype(float)
-        r = slice(self.remote_bounds[d0], self.remote_bounds[d1])
-        counts[self.remote.key[r] - d0 * self.K] += self.remote.cnt[r]
-        return counts
+        return np.bincount(cell, minlength=(d1 - d0) * self.K).astype(float)
 
     def term_proposals(self, term, cur, entry, count, u):
         less = np.zeros(len(cur))  # weight the own token takes off its topic's term part
@@ -149,23 +165,14 @@ class Shard:
     def doc_proposals(self, doc, cur, place, u):
         """(topic, peer): the topic, or the token of the document (by its index in the shard) that gives it."""
         others = self.doc_len[doc] - 1
-        x = u * (others + self.remote_len[doc] + self.prior_cum[-1] - self.prior_own)
+        x = u * (others + self.prior_cum[-1] - self.prior_own)
         peer = np.minimum(x.astype(np.int64), others - 1)
         peer = np.where(x < others, self.doc_start[doc] + peer + (peer >= place), -1)
-        y = x - others - self.remote_len[doc]
+        y = x - others
         y = np.where(y < self.prior_cum[cur] - self.prior_own, y, y + self.prior_own)
-        new = _pick(self.prior_cum, y, 0, self.K - 1)
-        far = np.flatnonzero((x >= others) & (x < others + self.remote_len[doc]))
-        if len(far):
-            d = doc[far]
-            at = _pick(
-                self.remote_cum, self.remote_base[d] + x[far] - others[far],
-                self.remote_bounds[d], self.remote_bounds[d + 1] - 1,
-            )
-            new[far] = self.remote.key[at] % self.K
-        return new, peer
+        return _pick(self.prior_cum, y, 0, self.K - 1), peer
 
-    def visit(self, batch, rng):
+    def visit(self, batch, *name):
         """Visit every token of a batch of documents once. Returns the documents' counts after it."""
         d0, _ = batch
         span = self.tokens_of(batch)
@@ -174,7 +181,7 @@ class Shard:
         n = len(z)
         if not n:
             return n_dk
-        coin, u, toss = rng.random((3, n))
+        coin, u, toss = draws(self.keys[span], *name)
         by_doc = coin < 0.5
         place = np.arange(span.start, span.stop) - self.doc_start[doc]
         entry, count = self.terms.find(term.astype(np.int64) * self.K + z)
@@ -183,9 +190,8 @@ class Shard:
         new[w] = self.term_proposals(term[w], z[w], entry[w], count[w], u[w])
         new[d], peer[d] = self.doc_proposals(doc[d], z[d], place[d], u[d])
 
-        # visiting order: by step, in a step the document proposals first
-        abreast = (self.doc_len[doc] + MAX_STEPS - 1) // MAX_STEPS
-        slot = ((place // abreast) * 2 + ~by_doc).astype(np.int16)
+        # visiting order: by place, at a place the document proposals first
+        slot = place * 2 + ~by_doc
         order = np.argsort(slot, kind="stable")
         cuts = np.concatenate([[0], np.cumsum(np.bincount(slot, minlength=2 * (int(slot.max()) // 2 + 1)))])
         rank = np.empty(n, np.int64)
@@ -197,33 +203,71 @@ class Shard:
         # the current topic's side of the ratio
         term_cur = ((count - self.own + self.beta) / (self.denom[self.z[span]] - self.own))[order]
         prior_cur = self.prior[z] - self.prior_own - 1
-        prior_new = self.prior[new]
-        ones = np.ones(int(np.diff(cuts[::2]).max()))
 
-        for j in range(0, len(cuts) - 1, 2):
+        wide = np.flatnonzero(np.diff(cuts[::2]) < ABREAST)  # documents only get fewer from place to place
+        steps = int(wide[0]) if len(wide) else len(cuts) // 2
+        for j in range(0, 2 * steps, 2):
             a, b, c = cuts[j : j + 3]
-            if b > a:
-                ask = peer[a:b]
-                new[a:b] = np.where(ask >= 0, z[ask], new[a:b])
-                _, held = self.terms.find(term_cell[a:b] + new[a:b])
-                doc_ok = toss[a:b] * term_cur[a:b] < (held + self.beta) / self.denom[new[a:b]]
-            else:
-                doc_ok = np.empty(0, bool)
-            there = n_dk[doc_cell[b:c] + new[b:c]] + prior_new[b:c]
+            ask = peer[a:b]
+            new[a:b] = np.where(ask >= 0, z[ask], new[a:b])
+            _, held = self.terms.find(term_cell[a:b] + new[a:b])
+            doc_ok = toss[a:b] * term_cur[a:b] < (held + self.beta) / self.denom[new[a:b]]
+            there = n_dk[doc_cell[b:c] + new[b:c]] + self.prior[new[b:c]]
             here = n_dk[doc_cell[b:c] + z[b:c]] + prior_cur[b:c]
             moved = np.flatnonzero(np.concatenate([doc_ok, toss[b:c] * here < there]) & (new[a:c] != z[a:c])) + a
             cell, topic = doc_cell[moved], new[moved]
-            np.subtract.at(n_dk, cell + z[moved], ones[: len(moved)])
-            np.add.at(n_dk, cell + topic, ones[: len(moved)])
+            n_dk[cell + z[moved]] -= 1  # one token per document, so no cell twice
+            n_dk[cell + topic] += 1
             z[moved] = topic
+        if cuts[2 * steps] < n:
+            self._one_by_one(int(cuts[2 * steps]), cuts, z, new, peer, toss, term_cur, prior_cur, doc_cell, term_cell, n_dk)
         self.z[span] = z[rank]
         return n_dk
 
-    def train(self, passes, rng):
-        for _ in range(passes):
+    def _one_by_one(self, first, cuts, z, new, peer, toss, term_cur, prior_cur, doc_cell, term_cell, n_dk):
+        """The tokens from `first` on, in order: the same as a step, for one token."""
+        beta, denom, prior = self.beta, self.denom.tolist(), self.prior.tolist()
+        by_doc = np.zeros(len(z), bool)
+        for a, b in zip(cuts[:-1:2].tolist(), cuts[1::2].tolist()):
+            by_doc[a:b] = True
+        topic = z.tolist()
+        counts = {cell: n_dk[cell : cell + self.K].tolist() for cell in np.unique(doc_cell[first:]).tolist()}
+        # a term's counters at the topics its document could propose are looked up as they are needed
+        find, keys, held = self.terms.table, self.terms.key, self.terms.cnt
+        rows = zip(
+            range(first, len(topic)), new[first:].tolist(), peer[first:].tolist(), toss[first:].tolist(), term_cur[first:].tolist(),
+            prior_cur[first:].tolist(), doc_cell[first:].tolist(), term_cell[first:].tolist(), by_doc[first:].tolist(),
+        )
+        for i, t, p, coin, weight, less, cell, term, from_doc in rows:
+            cur, row = topic[i], counts[cell]
+            if from_doc:
+                if p >= 0:
+                    t = topic[p]
+                if t == cur:
+                    continue
+                if find is not None:
+                    at = int(find[term + t])
+                else:
+                    at = int(np.searchsorted(keys, term + t))
+                    at = at if at < len(keys) and keys[at] == term + t else -1
+                accepted = coin * weight < ((held[at] if at >= 0 else 0.0) + beta) / denom[t]
+            else:
+                if t == cur:
+                    continue
+                accepted = coin * (row[cur] + less) < row[t] + prior[t]
+            if accepted:
+                row[cur] -= 1
+                row[t] += 1
+                topic[i] = t
+        for cell, row in counts.items():
+            n_dk[cell : cell + self.K] = row
+        z[first:] = topic[first:]
+
+    def train(self, passes, seed, sweep):
+        for number in range(passes):
             before = self.z.copy()
             for batch in self.batches:
-                self.visit(batch, rng)
+                self.visit(batch, seed, sweep, number)
             moved = np.flatnonzero(before != self.z)
             old, new = before[moved], self.z[moved]
             cell = self.term[moved].astype(np.int64) * self.K
@@ -232,13 +276,13 @@ class Shard:
                 self.n_k += np.bincount(new, minlength=self.K) - np.bincount(old, minlength=self.K)
                 self.prepare()
 
-    def infer(self, sweeps, keep, rng):
+    def infer(self, sweeps, keep, seed):
         """Sum of the documents' counts over the last `keep` sweeps: (document, topic, sum)."""
         found = []
         for batch in self.batches:
             total = 0.0
             for sweep in range(sweeps):
-                n_dk = self.visit(batch, rng)
+                n_dk = self.visit(batch, seed, sweep, 0)
                 if sweep >= sweeps - keep:
                     total = total + n_dk
             if keep:
@@ -286,31 +330,21 @@ def shard_from_arrow(edges: pa.Table, counters: pa.Table, spec):
     source = np.arange(int(length.sum())) + np.repeat(start - first, length)
     z = topics.flatten().to_numpy()[source].astype(np.int64)
 
-    def rows(kind, ids):
-        part = counters.filter(pc.equal(counters["kind"], kind))
-        spot = np.minimum(np.searchsorted(ids, part["id"].to_numpy()), len(ids) - 1)
-        wanted = ids[spot] == part["id"].to_numpy()
-        part, spot = part.filter(pa.array(wanted)), spot[wanted]
-        held = part["topics"].combine_chunks()
-        size = held.value_lengths().to_numpy(zero_copy_only=False)
-        return np.repeat(spot, size), held.flatten().to_numpy(), part["cnts"].combine_chunks().flatten().to_numpy()
-
+    spot = np.minimum(np.searchsorted(terms, counters["id"].to_numpy()), max(len(terms) - 1, 0))
+    counters = counters.filter(pa.array(terms[spot] == counters["id"].to_numpy()))
+    spot = np.searchsorted(terms, counters["id"].to_numpy())
+    topic_lists = counters["topics"].combine_chunks()
+    size = topic_lists.value_lengths().to_numpy(zero_copy_only=False)
     K = len(spec["n_k"])
+    held = Rows(np.repeat(spot, size), topic_lists.flatten().to_numpy(), counters["cnts"].combine_chunks().flatten().to_numpy(), len(terms), K)
     token_doc, token_term = np.repeat(doc, length), np.repeat(term, length)
-    # of a document split over shards: its counts elsewhere = all its counts less the ones here
-    row, topic, cnt = rows(1, docs)
-    far = Rows(row, topic, cnt, len(docs), K)
-    split = np.isin(token_doc, row)
-    if len(row):
-        far.add(token_doc[split].astype(np.int64) * K + z[split], np.full(int(split.sum()), -1.0))
+    doc_len = np.bincount(token_doc, minlength=len(docs))
+    place = np.arange(len(token_doc)) - (np.cumsum(doc_len) - doc_len)[token_doc]
     shard = Shard(
-        token_doc, token_term, z, Rows(*rows(0, terms), len(terms), K), spec["n_k"], spec["num_terms"],
-        spec["alpha"], spec["beta"], spec["alpha_as"], spec["own"], far,
+        token_doc, token_term, z, held, spec["n_k"], spec["num_terms"], spec["alpha"], spec["beta"], spec["alpha_as"], spec["own"],
+        token_keys(docs[token_doc], place),
     )
-    return shard, {
-        "doc_id": doc_id, "term_id": term_id, "block": block, "length": length, "docs": docs,
-        "doc": doc, "term": term, "pieces": edges["pieces"].to_numpy()[order],
-    }
+    return shard, {"doc_id": doc_id, "term_id": term_id, "block": block, "length": length, "docs": docs, "doc": doc, "term": term}
 
 
 def run_shard(spec):
@@ -325,29 +359,26 @@ def run_shard(spec):
         if not edges.num_rows:
             return spec["schema"].empty_table()
         shard, at = shard_from_arrow(edges, counters, spec)
-        seed = np.random.SeedSequence([spec["seed"] & 0xFFFFFFFF, spec["sweep"], number])
-        rng = np.random.Generator(np.random.Philox(seed))
         score = None
         if spec["score"] or spec["task"] == "score":
             score = shard.log_likelihood(at["doc"], at["term"], at["length"].astype(float), spec["compat"])
         if spec["task"] == "score":
             return pa.table({"loglik": [score]}, schema=spec["schema"])
         if spec["task"] == "infer":
-            doc, topic, total = shard.infer(spec["sweeps"], spec["keep"], rng)
+            doc, topic, total = shard.infer(spec["sweeps"], spec["keep"], spec["seed"])
             return pa.table(
                 {"doc_id": at["docs"][doc], "topic": topic.astype(np.int32), "cnt": total}, schema=spec["schema"]
             )
         if spec["task"] == "train":
-            shard.train(spec["sweeps"], rng)
+            shard.train(spec["sweeps"], spec["seed"], spec["sweep"])
         else:
-            shard.infer(spec["sweeps"], 0, rng)
+            shard.infer(spec["sweeps"], 0, spec["seed"])
         rows = len(at["length"])
         offsets = np.concatenate([[0], np.cumsum(at["length"])]).astype(np.int32)
         scores = pa.array([score] + [None] * (rows - 1), pa.float64())
         return pa.table(
             {
-                "shard": np.full(rows, number, np.int32), "doc_id": at["doc_id"], "pieces": at["pieces"],
-                "term_id": at["term_id"], "block": at["block"],
+                "shard": np.full(rows, number, np.int32), "doc_id": at["doc_id"], "term_id": at["term_id"], "block": at["block"],
                 "topics": pa.ListArray.from_arrays(pa.array(offsets), pa.array(shard.z.astype(np.int32))),
                 "loglik": scores,
             },

@@ -1,8 +1,8 @@
 """Cutting token tables into shards, and bringing each shard the counters it needs.
 
-A shard holds whole documents, chosen by hash, and on average TOKENS_PER_SHARD tokens. A document of more
-than PIECE_TOKENS tokens is cut into pieces that may lie in different shards; those shards get the
-document's counters beside the counters of their terms. Each shard gets each of its counters once.
+A shard holds whole documents, chosen by hash, and on average TOKENS_PER_SHARD tokens. The edges are a bucketed table,
+one bucket per shard: a sweep reads them where they are, writes them bucketed again, and shuffles counters only. Each
+shard gets each of its counters once.
 """
 
 from __future__ import annotations
@@ -13,11 +13,11 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicspark.operators.corpus import positive
-from topicspark.operators.counters import blocks, doc_topic, uniform_topics
+from topicspark.operators.counters import blocks, uniform_topics
 from topicspark.operators.models import Params
 from topicspark.plans import kernel
 from topicspark.session import Workspace
@@ -26,13 +26,12 @@ cloudpickle.register_pickle_by_value(kernel)  # executors need no copy of the pa
 
 MIN_SHARDS = 16
 TOKENS_PER_SHARD = 1_000_000
-PIECE_TOKENS = 65_536
 COPY_ROWS = 1_000  # shards served by one copy of a counter row
 MAX_TASKS = 100_000
 
-EDGE_SCHEMA = "shard int, doc_id bigint, pieces int, term_id int, block int, topics array<int>, loglik double"
+EDGE_SCHEMA = "shard int, doc_id bigint, term_id int, block int, topics array<int>, loglik double"
 _EDGE_ARROW = pa.schema([
-    ("shard", pa.int32()), ("doc_id", pa.int64()), ("pieces", pa.int32()), ("term_id", pa.int32()),
+    ("shard", pa.int32()), ("doc_id", pa.int64()), ("term_id", pa.int32()),
     ("block", pa.int32()), ("topics", pa.list_(pa.int32())), ("loglik", pa.float64()),
 ])
 _COUNT_ARROW = pa.schema([("doc_id", pa.int64()), ("topic", pa.int32()), ("cnt", pa.float64())])
@@ -40,83 +39,71 @@ _SCORE_ARROW = pa.schema([("loglik", pa.float64())])
 
 
 class Sharded(NamedTuple):
-    """Edges with shards, and which shard needs which counters. Both are written tables."""
+    """Edges with shards, and which shard needs which terms' counters. All are written tables."""
 
-    edges: DataFrame  # EDGE_SCHEMA
-    needs: DataFrame  # shard, kind (0 term, 1 split document), id, copy
-    copies: DataFrame  # kind, id, copies: only ids with more than one
+    edges: DataFrame  # EDGE_SCHEMA, bucketed by shard
+    needs: DataFrame  # shard, id, copy
+    copies: DataFrame  # id, copies: only ids with more than one
     num_shards: int
-    has_split: bool
+    tokens: int
 
 
-def _by_shard(df: DataFrame, num_shards: int) -> DataFrame:
-    if num_shards <= MAX_TASKS:
-        return df.repartitionById(num_shards, F.col("shard"))
-    return df.repartition(MAX_TASKS, "shard")
+def buckets_of(num_shards: int) -> int:
+    return min(num_shards, MAX_TASKS)
 
 
-def shard_bow(
-    bow: DataFrame,
-    num_topics: int,
-    seed: int,
-    space: Workspace,
-    num_shards: int | None = None,
-    piece_tokens: int = PIECE_TOKENS,
-    name: str = "edges",
-) -> Sharded:
+def _shard_numbers(spark: SparkSession, num_shards: int) -> DataFrame:
+    """(slot, shard): for each slot a number that Spark's hash puts into a bucket of its own, if there are as many."""
+    buckets = buckets_of(num_shards)
+    every = -(-num_shards // buckets)
+    ids = spark.range(64 * num_shards).select(F.col("id").cast("int").alias("shard"))
+    bucket = F.pmod(F.hash("shard"), F.lit(buckets))
+    listed = ids.groupBy(bucket.alias("bucket")).agg(F.slice(F.sort_array(F.collect_list("shard")), 1, every).alias("shards"))
+    placed = listed.select("bucket", F.posexplode("shards").alias("round", "shard"))
+    return placed.select((F.col("round") * buckets + F.col("bucket")).alias("slot"), "shard").filter(F.col("slot") < num_shards)
+
+
+def store_edges(edges: DataFrame, space: Workspace, num_shards: int) -> DataFrame:
+    return space.store_bucketed(edges, "edges", "shard", buckets_of(num_shards))
+
+
+def shard_bow(bow: DataFrame, num_topics: int, seed: int, space: Workspace, num_shards: int | None = None) -> Sharded:
     """Cut a bag of words into shards and give every occurrence a uniform topic.
 
-    The topics are drawn after the rows were moved to their shards, so the small rows are shuffled. The
-    bag of words is read twice, for the document sizes and for the rows: it had better be a table.
+    The topics are drawn after the rows were moved to their shards, so the small rows are shuffled, once. The bag of
+    words is read twice, for the number of tokens and for the rows: it had better be a table.
     """
-    rows = blocks(bow)
-    sizes = space.store(positive(bow).groupBy("doc_id").agg(F.sum("cnt").alias("_size")), f"{name}_sizes")
-    large = sizes.filter(F.col("_size") > piece_tokens).select(
-        "doc_id", F.ceil(F.col("_size") / piece_tokens).cast("int").alias("pieces")
-    )
-    tokens = sizes.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    spark = bow.sparkSession
+    tokens = positive(bow).agg(F.coalesce(F.sum("cnt"), F.lit(0))).first()[0]
     count = num_shards or max(MIN_SHARDS, math.ceil(tokens / TOKENS_PER_SHARD))
-    # blocks of a term are hashed apart, so the pieces of a document are of like size
-    piece = F.pmod(F.xxhash64("term_id", "block"), F.col("pieces"))
-    placed = (
-        rows.join(large, "doc_id", "left")
-        .withColumn("pieces", F.coalesce("pieces", F.lit(1)))
-        .withColumn("shard", F.pmod(F.xxhash64("doc_id", piece), F.lit(count)).cast("int"))
-    )
-    stored = space.store(
-        _by_shard(placed, count).select(
-            "shard", "doc_id", "pieces", "term_id", "block", uniform_topics(num_topics, seed).alias("topics"),
+    numbers = space.store(_shard_numbers(spark, count), "numbers")
+    placed = blocks(bow).withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int"))
+    placed = placed.join(F.broadcast(numbers), "slot")  # one row per shard
+    stored = store_edges(
+        placed.repartition(buckets_of(count), "shard").select(
+            "shard", "doc_id", "term_id", "block", uniform_topics(num_topics, seed).alias("topics"),
             F.lit(None).cast("double").alias("loglik"),
         ),
-        f"{name}_0",
-    )
-
-    ids = stored.select("shard", F.lit(0).alias("kind"), F.col("term_id").cast("bigint").alias("id")).unionAll(
-        stored.filter("pieces > 1").select("shard", F.lit(1).alias("kind"), F.col("doc_id").alias("id"))
-    ).distinct()
-    served = ids.groupBy("kind", "id").agg(F.count(F.lit(1)).alias("shards"))
-    copies = space.store(
-        served.filter(F.col("shards") > COPY_ROWS).select(
-            "kind", "id", F.ceil(F.col("shards") / COPY_ROWS).cast("int").alias("copies")
-        ),
-        f"{name}_copies",
+        space,
+        count,
     )
+    ids = stored.select("shard", F.col("term_id").cast("bigint").alias("id")).distinct()
+    served = ids.groupBy("id").agg(F.count(F.lit(1)).alias("shards"))
+    many = served.filter(F.col("shards") > COPY_ROWS)
+    copies = space.store(many.select("id", F.ceil(F.col("shards") / COPY_ROWS).cast("int").alias("copies")), "copies")
     needs = space.store(
-        ids.join(copies, ["kind", "id"], "left").select(
-            "shard", "kind", "id", F.pmod("shard", F.coalesce("copies", F.lit(1))).alias("copy")
-        ),
-        f"{name}_needs",
+        ids.join(copies, "id", "left").select("shard", "id", F.pmod("shard", F.coalesce("copies", F.lit(1))).alias("copy")), "needs"
     )
-    return Sharded(stored, needs, copies, count, not stored.filter("pieces > 1").isEmpty())
+    return Sharded(stored, needs, copies, count, int(tokens))
 
 
-def _packed(counts: DataFrame, kind: int, key: str) -> DataFrame:
-    """One row per id with its counts by topic; at most one entry per topic."""
+def _packed(counts: DataFrame) -> DataFrame:
+    """One row per term with its counts by topic; at most one entry per topic."""
     held = F.collect_list(F.struct("topic", F.col("cnt").cast("double").alias("cnt")))
     return (
-        counts.groupBy(F.lit(kind).alias("kind"), F.col(key).cast("bigint").alias("id"))
+        counts.groupBy(F.col("term_id").cast("bigint").alias("id"))
         .agg(held.alias("held"))
-        .select("kind", "id", F.col("held.topic").alias("topics"), F.col("held.cnt").alias("cnts"))
+        .select("id", F.col("held.topic").alias("topics"), F.col("held.cnt").alias("cnts"))
     )
 
 
@@ -136,20 +123,14 @@ def run_shards(
 ) -> DataFrame:
     """Apply the kernel to every shard. See kernel.run_shard for the tasks.
 
-    Both sides of the cogroup are placed by shard number, one shard per task as long as there are no
-    more than MAX_TASKS. A counter row wanted by very many shards is copied, and each copy serves
-    COPY_ROWS of them, so that no join key is hot.
+    The edges lie in buckets by shard already; only the counters are shuffled, to their shards. A counter row wanted
+    by very many shards is copied, and each copy serves COPY_ROWS of them, so that no join key is hot.
     """
-    rows = _packed(term_topics, 0, "term_id")
-    if sharded.has_split:
-        rows = rows.unionAll(_packed(doc_topic(sharded.edges.filter("pieces > 1")), 1, "doc_id"))
-    copied = rows.join(sharded.copies, ["kind", "id"], "left").withColumn(
+    copied = _packed(term_topics).join(sharded.copies, "id", "left").withColumn(
         "copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))
     )
-    counters = sharded.needs.join(copied, ["kind", "id", "copy"]).select("shard", "kind", "id", "topics", "cnts")
-
-    edges = sharded.edges.select("shard", "doc_id", "pieces", "term_id", "block", "topics")
-    left, right = (_by_shard(df, sharded.num_shards) for df in (edges, counters))
+    counters = sharded.needs.join(copied, ["id", "copy"]).select("shard", "id", "topics", "cnts")
+    edges = sharded.edges.select("shard", "doc_id", "term_id", "block", "topics")
     schema, ddl = {
         "infer": (_COUNT_ARROW, "doc_id bigint, topic int, cnt double"),
         "score": (_SCORE_ARROW, "loglik double"),
@@ -159,4 +140,4 @@ def run_shards(
         "beta": p.beta, "alpha_as": p.alpha_as, "own": int(own), "seed": seed, "sweep": sweep, "sweeps": sweeps,
         "keep": keep, "score": score, "compat": compat,
     }
-    return left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(kernel.run_shard(spec), ddl)
+    return edges.groupBy("shard").cogroup(counters.groupBy("shard")).applyInArrow(kernel.run_shard(spec), ddl)

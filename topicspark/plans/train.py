@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicspark.operators import similarity
-from topicspark.operators.counters import term_topic
-from topicspark.operators.models import Model, Params, averaged_model
-from topicspark.plans.shards import PIECE_TOKENS, Sharded, run_shards, shard_bow
+from topicspark.operators.counters import accumulate, term_topic
+from topicspark.operators.models import Model, Params, model_from_counters
+from topicspark.plans.shards import Sharded, run_shards, shard_bow, store_edges
 from topicspark.session import Workspace
 
 # Defaults of training
@@ -44,29 +44,23 @@ class State(NamedTuple):
         return self.sharded.edges
 
 
-def _counted(sharded: Sharded, params: Params, seed: int, sweep: int, space: Workspace, tokens: int | None) -> State:
+def _counted(sharded: Sharded, params: Params, seed: int, sweep: int, space: Workspace) -> State:
     """Recount the terms' topics, and check that no token was lost."""
-    counters = space.store(term_topic(sharded.edges), f"term_topic_{sweep % 2}")
+    counters = space.store(term_topic(sharded.edges), "term_topic")
     n_k = np.zeros(params.num_topics)
     for row in counters.groupBy("topic").agg(F.sum("cnt").alias("cnt")).collect():  # one row per topic
         n_k[row["topic"]] = row["cnt"]
-    if tokens is not None and n_k.sum() != tokens:
-        raise RuntimeError(f"topic totals sum to {n_k.sum():.0f}, but there are {tokens} tokens")
+    if n_k.sum() != sharded.tokens:
+        raise RuntimeError(f"topic totals sum to {n_k.sum():.0f}, but there are {sharded.tokens} tokens")
     return State(sharded, counters, n_k, params, seed, sweep, space)
 
 
 def start(
-    bow: DataFrame,
-    params: Params,
-    seed: int,
-    num_shards: int | None = None,
-    space: Workspace | None = None,
-    piece_tokens: int = PIECE_TOKENS,
+    bow: DataFrame, params: Params, seed: int, num_shards: int | None = None, space: Workspace | None = None
 ) -> State:
     """Uniform topics."""
-    space = space or Workspace(bow.sparkSession)
-    sharded = shard_bow(bow, params.num_topics, seed, space, num_shards, piece_tokens)
-    return _counted(sharded, params, seed, 0, space, None)
+    space = (space or Workspace(bow.sparkSession)).child("train")
+    return _counted(shard_bow(bow, params.num_topics, seed, space, num_shards), params, seed, 0, space)
 
 
 def init_topics_from_model(
@@ -76,15 +70,15 @@ def init_topics_from_model(
     num_shards: int | None = None,
     space: Workspace | None = None,
     alpha_as: float | None = None,
-    piece_tokens: int = PIECE_TOKENS,
 ) -> State:
-    """Uniform topics, then sweeps against the model's counters, which stay as they are."""
-    space = space or Workspace(bow.sparkSession)
+    """Uniform topics, then sweeps against the model's counters, which stay as they are, all in one task per shard."""
+    space = (space or Workspace(bow.sparkSession)).child("train")
     p = model.params
-    sharded = shard_bow(bow, p.num_topics, seed, space, num_shards, piece_tokens)
-    edges = frozen_sweeps(sharded, model, WARM_SWEEPS, seed, space, "edges")
+    sharded = shard_bow(bow, p.num_topics, seed, space, num_shards)
+    new = run_shards(sharded, model.term_topic, topic_totals(model), p, "warm", seed, 0, WARM_SWEEPS, own=False)
+    sharded = sharded._replace(edges=store_edges(new, space, sharded.num_shards))
     params = p if alpha_as is None else p._replace(alpha_as=alpha_as)
-    return _counted(sharded._replace(edges=edges), params, seed, 0, space, None)
+    return _counted(sharded, params, seed, 0, space)
 
 
 def topic_totals(model: Model) -> np.ndarray:
@@ -94,33 +88,24 @@ def topic_totals(model: Model) -> np.ndarray:
     return n_k
 
 
-def frozen_sweeps(
-    sharded: Sharded, model: Model, sweeps: int, seed: int, space: Workspace, name: str, sweep: int = 0
-) -> DataFrame:
-    """Edges after sweeps against a finished model, as a table.
-
-    Whole documents do not touch each other, so all their sweeps run in one task. The pieces of a
-    split document have to see each other's moves: as long as there are any, each sweep is a job.
-    """
-    n_k = topic_totals(model)
-    jobs, each = (sweeps, 1) if sharded.has_split else (1, sweeps)
-    for job in range(jobs):
-        new = run_shards(sharded, model.term_topic, n_k, model.params, "warm", seed, sweep + job, each, own=False)
-        sharded = sharded._replace(edges=space.store(new, f"{name}_{(sweep + job + 1) % 2}"))
-    return sharded.edges
-
-
 def gibbs_sweep(state: State, passes: int = PASSES, score: bool = False) -> State:
     """One sweep: every token is visited `passes` times, then all counters are rebuilt.
 
-    With score the new edges carry, in `loglik`, the log-likelihood of the state before the sweep.
+    With score the new edges carry, in `loglik`, the log-likelihood of the state before the sweep. The tables of the
+    state before stay.
     """
     s = state
     new = run_shards(s.sharded, s.term_topic, s.n_k, s.params, "train", s.seed, s.sweep + 1, passes, score=score)
-    # two names in turn: the old state is kept until the new one is complete
-    stored = s.space.store(new, f"edges_{(s.sweep + 1) % 2}")
-    sharded = s.sharded._replace(edges=stored)
-    return _counted(sharded, s.params, s.seed, s.sweep + 1, s.space, int(s.n_k.sum()))
+    sharded = s.sharded._replace(edges=store_edges(new, s.space, s.sharded.num_shards))
+    return _counted(sharded, s.params, s.seed, s.sweep + 1, s.space)
+
+
+def _next(state: State, score: bool = False) -> State:
+    """A sweep of a loop that needs no state but the last."""
+    state = gibbs_sweep(state, score=score)
+    for name in ("edges", "term_topic"):
+        state.space.keep_last(name, 2)
+    return state
 
 
 def run_gibbs(
@@ -134,7 +119,7 @@ def run_gibbs(
     found = []
     for i in range(1, sweeps + 1):
         tokens = state.n_k.sum()
-        state = gibbs_sweep(state, score=trace)
+        state = _next(state, score=trace)
         if trace:
             loglik = state.edges.agg(F.sum("loglik")).first()[0]
             found.append((i, math.exp(-loglik / tokens)))
@@ -154,18 +139,19 @@ def perplexity(state: State, compat: bool = False) -> float:
 
 
 def save_averaged(state: State, burn_in: int) -> tuple[State, Model]:
-    """`burn_in` more sweeps, and the model of their mean counters with the final perplexity."""
-    counters = []
-    for i in range(burn_in):
-        state = gibbs_sweep(state)
-        counters.append(state.space.store(state.term_topic, f"kept_{i}"))
+    """`burn_in` more sweeps, and the model of their mean counters with the final perplexity.
+
+    The counters are added up sweep by sweep, so one sum is kept, whatever burn_in is.
+    """
+    total = None
+    for _ in range(burn_in):
+        state = _next(state)
+        total = state.space.store(state.term_topic if total is None else accumulate(total, state.term_topic), "sum")
+        state.space.keep_last("sum", 1)
     params = state.params._replace(perplexity=perplexity(state), burn_in=burn_in)
-    mean = averaged_model(counters, params)
-    model = mean._replace(term_topic=state.space.store(mean.term_topic, "model_term_topic"))
-    model = model._replace(topic_total=state.space.store(mean.topic_total, "model_topic_total"))
-    for i, kept in enumerate(counters):
-        state.space.release(kept, f"kept_{i}")
-    return state, model
+    mean = total.select("term_id", "topic", (F.col("cnt") / F.lit(float(burn_in))).alias("cnt"))
+    model = model_from_counters(state.space.store(mean, "model_term_topic"), params)
+    return state, model._replace(topic_total=state.space.store(model.topic_total, "model_topic_total"))
 
 
 def _check_iterations(total_iter: int, burn_in: int) -> None:
@@ -177,8 +163,8 @@ def _finish(state: State, total_iter: int, burn_in: int, report: Callable[[int,
     state = state._replace(params=state.params._replace(total_iter=total_iter))
     state, _ = run_gibbs(state, total_iter - burn_in, report is not None, report)
     state, model = save_averaged(state, burn_in)
-    for slot in range(2):
-        state.space.release(state.edges, f"edges_{slot}")
+    for name in ("edges", "term_topic", "sum", "needs", "copies", "numbers"):
+        state.space.keep_last(name, 0)
     return model
 
 
@@ -229,7 +215,6 @@ def merge_duplicate_topics(state: State, threshold: float = 0.95) -> tuple[State
     )
     if not mapping:
         return state, mapping
-    stored = state.space.store(edges, f"edges_{(state.sweep + 1) % 2}")
-    sharded = state.sharded._replace(edges=stored)
-    merged = _counted(sharded, state.params, state.seed, state.sweep + 1, state.space, int(state.n_k.sum()))
+    sharded = state.sharded._replace(edges=store_edges(edges, state.space, state.sharded.num_shards))
+    merged = _counted(sharded, state.params, state.seed, state.sweep + 1, state.space)
     return merged, mapping

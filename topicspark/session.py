@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,14 +25,14 @@ def build_session(name: str = "topicspark", master: str | None = None, partition
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can read, as the session names it.
+    """The folder every executor can read, as the session names it in spark.checkpoint.dir.
 
-    Only a local master may fall back to a temporary folder of this machine.
+    Only where it is unset and the session is one process on this machine, as in tests, a temporary folder is made.
     """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if folder is None:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="topicspark-")
     if sc.getCheckpointDir() is None:
@@ -47,22 +48,49 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 class Workspace:
-    """Named tables in the shared folder.
+    """Intermediate tables in the shared folder. Every write has a path of its own, so no table that is still to be
+    read is ever overwritten.
 
-    A loop that overwrites two names in turn keeps one finished state while it writes the next, so a
-    lost executor costs no more than the step that was running, and plans do not grow from step to step.
+    A loop keeps its last states and deletes older ones by `keep_last`. It works in a `child` of its own, so two
+    loops never delete each other's tables.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.spark = spark
         self.folder = folder or f"{shared_folder(spark).rstrip('/')}/topicspark-{uuid.uuid4().hex}"
+        self.written: dict[str, list[str]] = {}
 
     def path(self, name: str) -> str:
+        """A path for files with a name of their own."""
         return f"{self.folder}/{name}"
 
-    def store(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
-        return df.sparkSession.read.schema(df.schema).parquet(self.path(name))
+    def child(self, name: str) -> Workspace:
+        return Workspace(self.spark, f"{self.folder}/{name}-{uuid.uuid4().hex}")
+
+    def fresh_path(self, name: str) -> str:
+        """A path for the next table of this name."""
+        paths = self.written.setdefault(name, [])
+        paths.append(f"{self.folder}/{name}-{uuid.uuid4().hex}")
+        return paths[-1]
 
-    def release(self, df: DataFrame, name: str) -> None:
-        """Empty a table that is no longer needed."""
-        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(self.path(name))
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.fresh_path(name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def store_bucketed(self, df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+        """As a table whose buckets Spark knows: work grouped by the column reads it without a shuffle."""
+        path = self.fresh_path(name)
+        table = path.rsplit("/", 1)[-1].replace("-", "_")
+        df.write.format("parquet").bucketBy(buckets, column).option("path", path).saveAsTable(table)
+        return self.spark.table(table)
+
+    def keep_last(self, name: str, number: int) -> None:
+        """Delete all tables of this name but the last `number`."""
+        paths = self.written.get(name, [])
+        old, self.written[name] = (paths[:-number], paths[-number:]) if number else (paths, [])
+        jvm = self.spark._jvm
+        for path in old:
+            self.spark.sql(f"DROP TABLE IF EXISTS `{path.rsplit('/', 1)[-1].replace('-', '_')}`")
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicspark.operators.corpus import vocabulary_lookup
@@ -27,19 +27,25 @@ def restore_params(path: str, num_topics: int = 0, num_terms: int = 0) -> Params
 def restore_topic_totals(spark: SparkSession, path: str, num_topics: int) -> DataFrame:
     """(topic, cnt) from lines `topic count`; a topic without a line has 0."""
     fields = F.split("value", " ")
-    topic = F.when(fields[0].cast("int") >= 0, fields[0].cast("int")).otherwise(
-        F.raise_error(F.lit("topic ids must not be negative")).cast("int")
+    stored = spark.read.text(path).select(
+        _in_range(fields[0].cast("int"), num_topics).alias("topic"), fields[1].cast("double").alias("cnt")
     )
-    stored = spark.read.text(path).select(topic.alias("topic"), fields[1].cast("double").alias("cnt"))
     topics = spark.range(num_topics).select(F.col("id").cast("int").alias("topic"))
-    return topics.join(stored, "topic", "left").fillna(0.0, ["cnt"])
+    # from the stored side, so that no line escapes the check
+    return stored.groupBy("topic").agg(F.sum("cnt").alias("cnt")).join(topics, "topic", "right").fillna(0.0, ["cnt"])
 
 
-def restore_term_topic(spark: SparkSession, path: str, vocab: DataFrame) -> DataFrame:
+def _in_range(topic: Column, num_topics: int) -> Column:
+    """The topic, or an error where it is not one of 0 .. num_topics - 1."""
+    message = F.format_string(f"topic %s is not one of {num_topics}", topic.cast("string"))
+    return F.when((topic >= 0) & (topic < num_topics), topic).otherwise(F.raise_error(message).cast("int"))
+
+
+def restore_term_topic(spark: SparkSession, path: str, vocab: DataFrame, num_topics: int) -> DataFrame:
     """(term_id, topic, cnt) from lines `topic term:count ...`, the terms looked up in today's vocabulary."""
     tokens = F.split("value", " ")
     pairs = spark.read.text(path).select(
-        tokens[0].cast("int").alias("topic"),
+        _in_range(tokens[0].cast("int"), num_topics).alias("topic"),
         F.explode(F.filter(F.slice(tokens, 2, F.size(tokens)), lambda t: t != "")).alias("pair"),
     )
     fields = F.split("pair", ":")
@@ -50,7 +56,7 @@ def restore_term_topic(spark: SparkSession, path: str, vocab: DataFrame) -> Data
 def load_text_model(spark: SparkSession, path: str, vocab: DataFrame, num_topics: int, num_terms: int) -> Model:
     """A model from its text files. `path` is the prefix of their names."""
     return Model(
-        restore_term_topic(spark, path + COUNTS_FILE, vocab),
+        restore_term_topic(spark, path + COUNTS_FILE, vocab, num_topics),
         restore_topic_totals(spark, path + TOTALS_FILE, num_topics),
         restore_params(path, num_topics, num_terms),
     )
@@ -81,4 +87,5 @@ def load_model(spark: SparkSession, folder: str, vocab: DataFrame | None = None)
     if vocab is not None:
         stored = vocabulary_lookup(stored.drop("term_id"), vocab)
     totals = spark.read.schema("topic int, cnt double").parquet(f"{folder}/topic_total")
-    return Model(stored.select("term_id", "topic", "cnt"), totals, params)
+    checked = _in_range(F.col("topic"), params.num_topics).alias("topic")
+    return Model(stored.select("term_id", checked, "cnt"), totals, params)
