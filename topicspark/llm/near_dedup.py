@@ -5,16 +5,19 @@
 2. In each of `trees` independent trees, the path of a node chooses coordinates: one always, a second one in the share
    of nodes that makes 1 / similarity on average. A class goes to the child that its token at a chosen coordinate
    names. Two classes of that similarity so share a child with a chance of about 84 %, in each tree anew.
-3. A node of at most `leaf` classes is compared exhaustively, by sketches of one byte per coordinate. A larger node is
-   never brought together: its classes are compared with one of them, the leader, row by row, and go on to its
-   children. Once links are confirmed, a node whose classes are all in one component already is done.
-4. Candidates are confirmed on the full sets of both texts. First each class with its least partner, then whatever
-   candidates lie between two components.
+3. First the easy links: in each node every class is compared, by sketches of one byte per coordinate, with a few
+   leaders of the node. Of what looks alike, each class's most promising pair is confirmed on the full sets of both
+   texts, then the best pair between each two components. That joins nearly all groups with few comparisons.
+4. Then the rest: a node whose classes are all in one component is done. In a small node, those outside its largest
+   component are compared exhaustively with all that are not in their own component. In a larger node with few
+   outsiders these are sent to all others, row by row. Any other node branches on. All candidates are confirmed.
 5. The components of the confirmed links, over classes, are contracted in rounds.
 
-Recall: at the threshold itself, a pair misses all of ten trees at the first level with a chance of 1e-8, at a depth of
-five with about 3e-3, and the sketch comparison with 3e-6; most duplicates have more than one path in their component.
-No pair is ever linked that is not confirmed.
+No pairs inside a component are put out in step 4, so a group of many alike texts costs little more than its size.
+
+Recall: a pair at the threshold itself shares no node of the first level with a chance of 1e-8, none at a depth of five
+with about 3e-3; the sketches miss it with 1e-3, and a pair of similarity 0.85 with 1e-6. Most duplicates have more
+than one path in their component. No pair is linked that is not confirmed.
 
 The empty set is linked with nothing. A null doc_id takes part like others; a component's id is the least id that is
 not null. Rows that repeat a doc_id and text are one document: they are kept or dropped together. An empty table gives
@@ -27,14 +30,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicspark.llm.common import stored
 from topicspark.llm.components import components
 from topicspark.llm.shingles import COORDINATES, U, chunks, enough, minwise, mixed, set_key, shingle_sets
 
-TREES, LEAF, LEAST_ESTIMATE, MAX_DEPTH = 10, 64, 0.64, 64
+TREES, LEADERS, LEAST_ESTIMATE, SURE, MAX_DEPTH = 10, 4, 0.69, 0.84, 64
+SMALL, WORK, PACKED = 4096, 1 << 22, 64  # classes of a small node, comparisons in it, outsiders sent around
 SETS = "doc_id long, n_shingles long, key binary, tokens binary"
 
 
@@ -96,27 +100,84 @@ def _descend(classes: DataFrame, trees: int | None, similarity: float) -> DataFr
     return classes.mapInArrow(run, "node long, key binary")
 
 
-def _alike(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """Whether the estimated similarity of sketches is at least `least`; equal bytes by chance are allowed for."""
-    same = (a == b).mean(axis=-1)
-    return (same - 1 / 256) / (1 - 1 / 256) >= least
+def _likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated similarity of sketches; equal bytes by chance are allowed for."""
+    return ((a == b).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
+
+
+PAIRS = "a binary, b binary, likeness double"
+
+
+def _pair_batch(left: list, right: list, likeness) -> pa.RecordBatch:
+    low, high = [min(x, y) for x, y in zip(left, right)], [max(x, y) for x, y in zip(left, right)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(low, pa.binary()), pa.array(high, pa.binary()), pa.array(np.asarray(likeness, float))], ["a", "b", "likeness"]
+    )
 
 
-def _leaf_pairs(rows: DataFrame, least: float, percent: int) -> DataFrame:
-    """(a, b) of alike classes in each node; the rows of a node come one after the other."""
+def _with_some(rows: DataFrame, some: DataFrame, classes: DataFrame, least: float, percent: int) -> DataFrame:
+    """Alike pairs of each row's class with the few of its node in `some` (node, key, root); never inside a root.
+
+    The few of a node lie in one row, which the join brings to each class of the node: a node of any size is spread.
+    """
+    entry = F.struct("key", "root", "n_shingles", "sketch")
+    packed = some.join(classes.select("key", "n_shingles", "sketch"), "key").groupBy("node").agg(F.collect_list(entry).alias("some"))
+    packed = stored(packed, "some")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("some")
+            count = lists.value_lengths().to_numpy(zero_copy_only=False)
+            flat = lists.flatten()
+            row = np.repeat(np.arange(batch.num_rows), count)
+            mine = _matrix(batch.column("sketch"), "u1")
+            theirs = _matrix(flat.field("sketch"), "u1")
+            n, m = batch.column("n_shingles").to_numpy()[row], flat.field("n_shingles").to_numpy()
+            likeness = np.concatenate([_likeness(mine[row[i : i + 65536]], theirs[i : i + 65536]) for i in range(0, len(row), 65536)])
+            good = np.flatnonzero((likeness >= least) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
+            keys, roots = batch.column("key").take(pa.array(row[good])).to_pylist(), batch.column("root").take(pa.array(row[good])).to_pylist()
+            other, other_roots = flat.field("key").take(pa.array(good)).to_pylist(), flat.field("root").take(pa.array(good)).to_pylist()
+            apart = [i for i, (x, y) in enumerate(zip(roots, other_roots)) if x != y]
+            yield _pair_batch([keys[i] for i in apart], [other[i] for i in apart], likeness[good[apart]] if apart else [])
+
+    return rows.select("node", "key", "root", "n_shingles", "sketch").join(packed, "node").mapInArrow(run, PAIRS)
+
+
+def _exhaustive(rows: DataFrame, least: float, percent: int) -> DataFrame:
+    """Alike pairs between different roots in each node, one of them outside the node's largest root (top_root)."""
+    names = ["node", "key", "root", "top_root", "n_shingles", "sketch"]
 
-    def pairs(keys: list[bytes], size: np.ndarray, sketch: np.ndarray) -> tuple[list, list]:
-        i, j = np.triu_indices(len(keys), 1)
-        fits = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
-        i, j = i[fits], j[fits]
-        good = _alike(sketch[i], sketch[j], least)
-        low = [min(keys[x], keys[y]) for x, y in zip(i[good], j[good])]
-        high = [max(keys[x], keys[y]) for x, y in zip(i[good], j[good])]
-        return low, high
+    def found(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not table.num_rows:
+            return
+        keys, roots, tops = (table.column(c).to_pylist() for c in ("key", "root", "top_root"))
+        size, sketch = table.column("n_shingles").to_numpy(), _matrix(table.column("sketch"), "u1")
+        left, right, likeness = [], [], []
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+            names = {}
+            root = np.array([names.setdefault(r, len(names)) for r in roots[a:b]])
+            out = np.flatnonzero(root != names.get(tops[a], -1))
+            at = np.arange(b - a)
+            inside = root == names.get(tops[a], -1)
+            for i in range(0, len(out), 64):
+                x = out[i : i + 64]
+                # two outsiders meet once
+                meet = (root[x, None] != root) & (inside | (at > x[:, None]))
+                meet &= 100 * np.minimum(size[a + x, None], size[a:b]) >= percent * np.maximum(size[a + x, None], size[a:b])
+                p, q = np.nonzero(meet)
+                for j in range(0, len(p), 65536):
+                    u, v = x[p[j : j + 65536]], q[j : j + 65536]
+                    like = _likeness(sketch[a + u], sketch[a + v])
+                    good = np.flatnonzero(like >= least)
+                    left += [keys[a + k] for k in u[good]]
+                    right += [keys[a + k] for k in v[good]]
+                    likeness += like[good].tolist()
+        yield _pair_batch(left, right, likeness)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
-        names = ["node", "key", "n_shingles", "sketch"]
         for batch in batches:
             table = pa.Table.from_batches([batch.select(names)])
             if rest is not None:
@@ -129,64 +190,42 @@ def _leaf_pairs(rows: DataFrame, least: float, percent: int) -> DataFrame:
         if rest is not None:
             yield from found(rest, np.zeros(0, np.int64))
 
-    def found(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not table.num_rows:
-            return
-        keys = table.column("key").to_pylist()
-        size, sketch = table.column("n_shingles").to_numpy(), _matrix(table.column("sketch"), "u1")
-        low, high = [], []
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
-            if b - a > 1:
-                x, y = pairs(keys[a:b], size[a:b], sketch[a:b])
-                low += x
-                high += y
-        yield pa.RecordBatch.from_arrays([pa.array(low, pa.binary()), pa.array(high, pa.binary())], ["a", "b"])
-
-    placed = rows.select("node", "key", "n_shingles", "sketch").repartition("node").sortWithinPartitions("node")
-    return placed.mapInArrow(run, "a binary, b binary")
+    return rows.select(*names).repartition("node").sortWithinPartitions("node").mapInArrow(run, PAIRS)
 
 
-def _star_pairs(rows: DataFrame, leaders: DataFrame, least: float, percent: int) -> DataFrame:
-    """(a, b) of alike classes, one of them the leader of the node; row by row, so a node of any size is spread."""
+def _distinct(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = _alike(_matrix(batch.column("sketch"), "u1"), _matrix(batch.column("leader_sketch"), "u1"), least)
-            kept = batch.select(["leader", "key"]).filter(pa.array(good))
-            low = [min(x, y) for x, y in zip(kept.column(0).to_pylist(), kept.column(1).to_pylist())]
-            high = [max(x, y) for x, y in zip(kept.column(0).to_pylist(), kept.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(low, pa.binary()), pa.array(high, pa.binary())], ["a", "b"])
 
-    both = rows.select("node", "key", "n_shingles", "sketch").join(leaders, "node").where("key != leader")
-    small, large = F.least("n_shingles", "leader_size"), F.greatest("n_shingles", "leader_size")
-    fits = both.where(100 * small >= percent * large)
-    return fits.select("leader", "key", "sketch", "leader_sketch").mapInArrow(run, "a binary, b binary")
+def _easy_pairs(nodes: DataFrame, classes: DataFrame, least: float, percent: int) -> DataFrame:
+    """Alike pairs of each class with a few leaders of each of its nodes."""
+    part = F.pmod(F.xxhash64("key", "node"), F.lit(LEADERS)).alias("part")
+    sums = nodes.groupBy("node", part).agg(F.min("key").alias("key"), F.count("*").alias("n"))
+    shared = F.sum("n").over(Window.partitionBy("node"))  # LEADERS rows per node
+    leaders = stored(sums.withColumn("all", shared).where(F.col("all") > 1).select("node", "key", F.col("key").alias("root")), "leaders")
+    held = nodes.join(leaders.select("node").distinct(), "node", "left_semi").join(classes, "key")
+    return stored(_distinct(_with_some(held.withColumn("root", F.col("key")), leaders, classes, least, percent)), "pairs")
 
 
-def _level(nodes: DataFrame, classes: DataFrame, done: DataFrame | None, leaf: int, least: float, percent: int):
-    """(candidate pairs, (node, key) of the nodes that go on, whether there are any).
-
-    `done`: (key, root) of confirmed components; nodes inside one of them are left out.
-    """
-    if done is not None:
-        nodes = nodes.join(done, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        nodes = stored(nodes, "nodes")
-        sums = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("key").alias("leader"), F.min("root").alias("r"), F.max("root").alias("s"))
-        sums = sums.where("n > 1 AND r != s").drop("r", "s")
-    else:
-        nodes = stored(nodes, "nodes")
-        sums = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "key"), "key")).alias("m"))
-        sums = sums.where("n > 1").select("node", "n", F.col("m.key").alias("leader"))
-    sums = stored(sums, "sums")
-    held = nodes.select("node", "key").join(sums.select("node", "n"), "node")
-    rows = stored(held.join(classes.select("key", "n_shingles", "sketch"), "key"), "rows")
-    large = sums.where(F.col("n") > leaf)
-    led = classes.select(F.col("key").alias("leader"), F.col("n_shingles").alias("leader_size"), F.col("sketch").alias("leader_sketch"))
-    leaders = stored(large.select("node", "leader").join(led, "leader"), "leaders")
-    pairs = _leaf_pairs(rows.where(F.col("n") <= leaf), least, percent)
-    pairs = pairs.unionByName(_star_pairs(rows.where(F.col("n") > leaf), leaders, least, percent))
-    pairs = stored(pairs.distinct(), "pairs")
-    return pairs, rows.where(F.col("n") > leaf).select("node", "key"), bool(leaders.limit(1).count())
+def _rest_pairs(nodes: DataFrame, classes: DataFrame, roots: DataFrame, least: float, percent: int):
+    """(alike pairs between roots, (node, key) of the nodes that branch on, whether there are any)."""
+    rooted = nodes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = stored(rooted, "rooted")
+    per = rooted.groupBy("node", "root").agg(F.count("*").alias("n"))
+    sums = per.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"))
+    sums = sums.where(F.col("n") > F.col("top.n")).select(
+        "node", "n", (F.col("n") - F.col("top.n")).alias("out"), F.col("top.root").alias("top_root")
+    )
+    small = (F.col("n") <= SMALL) & (F.col("n") * F.col("out") <= WORK)
+    way = F.when(small, 0).when(F.col("out") <= PACKED, 1).otherwise(2)
+    sums = stored(sums.select("node", "top_root", way.alias("way")), "sums")
+    rows = rooted.join(sums, "node").join(classes.select("key", "n_shingles", "sketch"), "key")
+    rows = stored(rows, "rows")
+    pairs = _exhaustive(rows.where("way = 0"), least, percent)
+    few = rows.where("way = 1 AND root != top_root").select("node", "key", "root")
+    pairs = pairs.unionByName(_with_some(rows.where("way = 1"), few, classes, least, percent))
+    onward = rows.where("way = 2").select("node", "key")
+    return stored(_distinct(pairs), "pairs"), onward, bool(onward.limit(1).count())
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -232,51 +271,61 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return joined.select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary")
 
 
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of classes in different components, with their roots."""
+    for side in ("a", "b"):
+        root = roots.select(F.col("key").alias(side), F.col("root").alias(f"root_{side}"))
+        pairs = pairs.join(root, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+    return pairs.where("root_a != root_b")
+
+
 def linked_classes(
-    docs: DataFrame, sets: DataFrame, size: int, percent: int, trees: int = TREES, leaf: int = LEAF,
-    least: float = LEAST_ESTIMATE, max_depth: int = MAX_DEPTH,
+    docs: DataFrame, sets: DataFrame, size: int, percent: int, trees: int = TREES, least: float = LEAST_ESTIMATE,
+    max_depth: int = MAX_DEPTH,
 ) -> tuple[DataFrame, DataFrame]:
-    """((key, doc_id) of every class, confirmed links (a, b) between classes)."""
+    """((key, doc_id) of every class, (key, root) of the classes that are linked with others)."""
     similarity = percent / 100
     known = sets.where("key IS NOT NULL")
     named = stored(known.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "classes")
     one = known.select("key", "n_shingles", "tokens").dropDuplicates(["key"])
-    low_bytes = _sketched(one)
-    classes = stored(low_bytes, "tokens")
-
-    pairs, onward, more = _level(_descend(classes.select("key", "tokens"), trees, similarity), classes, None, leaf, least, percent)
-    # each class with its least partner first: that joins most groups by a few links
-    partner = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-
-    def text_of(some: DataFrame) -> DataFrame:
-        keys = some.select(F.col("a").alias("key")).union(some.select("b")).distinct()
-        return stored(_texts(docs, named.join(keys, "key", "left_semi"), size), "texts")
-
-    texts = text_of(pairs)
-    links = stored(_confirmed(partner, texts, size, percent), "links")
+    classes = stored(_sketched(one), "tokens")
+    sketches = classes.select("key", "n_shingles", "sketch")
+    nodes = stored(_descend(classes.select("key", "tokens"), trees, similarity), "nodes")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+        texts = stored(_texts(docs, named.join(keys, "key", "left_semi"), size), "texts")
+        return stored(_confirmed(pairs.select("a", "b"), texts, size, percent), "links")
+
+    easy = _easy_pairs(nodes, sketches, least, percent)
+    both = easy.select(F.col("a").alias("key"), F.col("b").alias("other"), "likeness").union(easy.select("b", "a", "likeness"))
+    # a sure partner before an unsure one, the least key of the sure ones: that makes few and large components
+    unsure = F.when(F.col("likeness") >= SURE, F.lit(0.0)).otherwise(-F.col("likeness"))
+    best = both.groupBy("key").agg(F.min(F.struct(unsure.alias("rank"), "other")).alias("best"))
+    first = best.select(F.least("key", "best.other").alias("a"), F.greatest("key", "best.other").alias("b")).distinct()
+    links = confirmed(stored(first, "first"))
     roots = components(links)
-
-    pool, depth = [pairs.exceptAll(partner)], 1
+    apart = _between(easy, roots)
+    low, high = F.least("root_a", "root_b").alias("low"), F.greatest("root_a", "root_b").alias("high")
+    second = apart.groupBy(low, high).agg(F.max(F.struct("likeness", "a", "b")).alias("best")).select("best.a", "best.b")
+    second = stored(second, "second")
+    if second.limit(1).count():
+        links = links.union(confirmed(second))
+        roots = components(links)
+
+    pool, depth, more = None, 1, True
     while more:
-        if depth >= max_depth:
-            raise RuntimeError(f"nodes of over {leaf} classes remain after {max_depth} levels")
-        live = onward.join(classes.select("key", "tokens"), "key").select("node", "key", "tokens")
-        found, onward, more = _level(_descend(live, None, similarity), classes, roots, leaf, least, percent)
-        pool.append(found)
-        depth += 1
-
-    rest = pool[0]
-    for found in pool[1:]:
-        rest = rest.union(found)
-    for side in ("a", "b"):
-        rest = rest.join(roots.select(F.col("key").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-    rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").distinct()
-    rest = stored(rest, "rest")
+        found, nodes, more = _rest_pairs(nodes, sketches, roots, least, percent)
+        pool = found if pool is None else pool.union(found)
+        if more:
+            if depth >= max_depth:
+                raise RuntimeError(f"nodes of over {SMALL} classes remain after {max_depth} levels")
+            live = nodes.join(classes.select("key", "tokens"), "key").select("node", "key", "tokens")
+            nodes, depth = stored(_descend(live, None, similarity), "nodes"), depth + 1
+    rest = stored(pool.select("a", "b").distinct(), "rest")
     if rest.limit(1).count():
-        if depth > 1:
-            texts = text_of(rest)
-        links = stored(links.union(_confirmed(rest, texts, size, percent)), "links")
-    return named, links
+        roots = components(links.union(confirmed(rest)))
+    return named, roots
 
 
 def _sketched(one: DataFrame) -> DataFrame:
@@ -293,8 +342,7 @@ def _sketched(one: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, **options) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     sets = stored(shingled(docs, size), "sets")
-    named, links = linked_classes(docs, sets, size, percent, **options)
-    roots = components(links)
+    named, roots = linked_classes(docs, sets, size, percent, **options)
     joined = named.join(roots, "key").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = roots.join(joined, "root").select("key", "component_id")
     every = named.join(linked, "key", "left").select("key", F.coalesce("component_id", "doc_id").alias("component_id"))
