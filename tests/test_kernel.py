@@ -10,15 +10,14 @@ import pytest
 from topicspark.plans import kernel
 
 
-def make_shard(doc, term, z, num_terms, K, own, counts=None, remote=((), (), ()), alpha=0.3, beta=0.2, alpha_as=0.5):
+def make_shard(doc, term, z, num_terms, K, own, counts=None, alpha=0.3, beta=0.2, alpha_as=0.5):
     doc, term, z = (np.array(x) for x in (doc, term, z))
     if counts is None:
         counts = np.zeros((num_terms, K))
         np.add.at(counts, (term, z), 1)
     row, topic = np.nonzero(counts)
     terms = kernel.Rows(row, topic, counts[row, topic], num_terms, K)
-    far = kernel.Rows(*(np.array(x, int) for x in remote), doc.max() + 1, K)
-    return kernel.Shard(doc, term, z, terms, counts.sum(axis=0), num_terms, alpha, beta, alpha_as, own, far)
+    return kernel.Shard(doc, term, z, terms, counts.sum(axis=0), num_terms, alpha, beta, alpha_as, own)
 
 
 def weights(s, n_dk, n_kw, n_k):
@@ -28,7 +27,6 @@ def weights(s, n_dk, n_kw, n_k):
 
 def test_inference_samples_the_exact_posterior():
     """A document of three tokens under a fixed model: all 27 topic triples can be enumerated."""
-    rng = np.random.default_rng(5)
     counts = np.array([[9.0, 0, 1], [0, 5, 2], [3, 3, 0], [1, 0, 0]])
     term = np.array([0, 1, 3])
     s = make_shard([0, 0, 0], term, [0, 1, 2], 4, 3, 0, counts)
@@ -44,8 +42,8 @@ def test_inference_samples_the_exact_posterior():
     total = sum(p.values())
     seen = dict.fromkeys(p, 0)
     rounds = 40_000
-    for _ in range(rounds):
-        s.visit(s.batches[0], rng)
+    for i in range(rounds):
+        s.visit(s.batches[0], 5, i)
         seen[tuple(int(k) for k in s.z)] += 1
     for topics, w in p.items():
         assert seen[topics] / rounds == pytest.approx(w / total, abs=0.012)
@@ -54,7 +52,7 @@ def test_inference_samples_the_exact_posterior():
 def test_proposals_leave_the_own_token_out():
     rng = np.random.default_rng(1)
     doc, term, z = [0] * 6 + [1] * 2, [0, 0, 1, 1, 2, 0, 0, 1], [0, 1, 1, 2, 2, 1, 0, 0]
-    s = make_shard(doc, term, z, 3, 3, 1, remote=([0, 0], [0, 2], [4, 3]))
+    s = make_shard(doc, term, z, 3, 3, 1)
     i, rounds = 2, 200_000  # document 0, term 1, topic 1
     u = rng.random(rounds)
     cur = np.full(rounds, 1)
@@ -67,7 +65,7 @@ def test_proposals_leave_the_own_token_out():
     new, peer = s.doc_proposals(np.zeros(rounds, int), cur, np.full(rounds, 2), u)
     assert not (peer == i).any()
     topic = np.where(peer >= 0, s.z[peer], new)
-    n_dk = np.array([1.0 + 4, 2, 2 + 3])
+    n_dk = np.array([1.0, 2, 2])
     want = n_dk + s.alpha * 3 * (n_k + s.alpha_as) / (n_k.sum() + s.alpha_as * 3)
     assert np.bincount(topic, minlength=3) / rounds == pytest.approx(want / want.sum(), abs=0.005)
 
@@ -79,11 +77,11 @@ def test_training_keeps_the_counters_true(monkeypatch, dense):
         monkeypatch.setattr(kernel, "BATCH_CELLS", 40)
     rng = np.random.default_rng(2)
     doc = np.sort(rng.integers(0, 30, 4000))
-    doc[:1500] = 0  # one document of more tokens than there are steps
+    doc[:1500] = 0  # a long document beside short ones
     doc = np.unique(np.sort(doc), return_inverse=True)[1]
     term, z = rng.integers(0, 50, 4000), rng.integers(0, 7, 4000)
     s = make_shard(doc, term, z, 50, 7, 1)
-    s.train(3, rng)
+    s.train(3, 9, 1)
     want = np.zeros((50, 7))
     np.add.at(want, (term, s.z), 1)
     got = np.zeros(50 * 7)
@@ -97,17 +95,16 @@ def test_training_keeps_the_counters_true(monkeypatch, dense):
 
 def test_training_follows_the_token_weights():
     """One token against a large fixed rest: its long-run topics are the weights without it."""
-    rng = np.random.default_rng(3)
     doc, term, z = [0, 0, 0, 0], [0, 1, 1, 1], [0, 1, 1, 2]
     s = make_shard(doc, term, z, 2, 3, 1)
     seen, rounds = np.zeros(3), 30_000
-    for _ in range(rounds):
+    for i in range(rounds):
         s.z[1:] = [1, 1, 2]
         key, cnt = np.unique(np.concatenate([[s.z[0]], 3 + s.z[1:]]), return_counts=True)
         s.terms = kernel.Rows(key // 3, key % 3, cnt, 2, 3)
         s.n_k = np.bincount(s.z, minlength=3).astype(float)
         s.prepare()
-        s.visit(s.batches[0], rng)
+        s.visit(s.batches[0], 3, i)
         seen[s.z[0]] += 1
     want = weights(s, np.array([0.0, 2, 1]), np.zeros(3), np.array([0.0, 2, 1]))
     assert seen / rounds == pytest.approx(want / want.sum(), abs=0.02)
@@ -118,13 +115,53 @@ def test_log_likelihood_is_the_formula():
     K, V = 5, 6
     doc = np.repeat([0, 1, 2], [7, 1, 4])
     term, z = rng.integers(0, V, 12), rng.integers(0, K, 12)
-    s = make_shard(doc, term, z, V, K, 1, remote=([2], [3], [6]))
+    s = make_shard(doc, term, z, V, K, 1)
     n_dk = np.zeros((3, K))
     np.add.at(n_dk, (doc, z), 1)
-    n_dk[2, 3] += 6
     n_kw = np.zeros((V, K))
     np.add.at(n_kw, (term, z), 1)
     phi = (n_kw + s.beta) / (n_kw.sum(axis=0) + V * s.beta)
     theta = (n_dk + s.alpha) / (n_dk.sum(axis=1, keepdims=True) + K * s.alpha)
     want = sum(np.log(theta[d] @ phi[t]) for d, t in zip(doc, term))
     assert s.log_likelihood(doc, term, np.ones(12), False) == pytest.approx(want, rel=1e-12)
+
+
+def test_a_long_document_follows_the_exact_marginals():
+    """200 tokens of one term under a fixed model, visited in order: the topic counts are Dirichlet-multinomial."""
+    counts = np.array([[30.0, 10, 5]])
+    n, K = 200, 3
+    s = make_shard([0] * n, [0] * n, [0] * n, 1, K, 0, counts, alpha=0.9)
+    n_k = counts.sum(axis=0)
+    prior = s.alpha * K * (n_k + s.alpha_as) / (n_k.sum() + s.alpha_as * K)
+    w = (counts[0] + s.beta) / (n_k + s.V * s.beta)
+    assert w == pytest.approx(w[0], abs=0.02)  # of about equal weight, so that the counts are nearly the prior's urn
+    shares = []
+    for i in range(6000):
+        s.visit(s.batches[0], 8, i)
+        shares.append(np.bincount(s.z, minlength=K) / n)
+    shares = np.array(shares[200:])
+    # log p(counts) = sum of log of rising factorials of the prior + counts . log w; its mean by enumeration
+    from itertools import product
+    from math import lgamma
+
+    total, mean = 0.0, np.zeros(K)
+    for a, b in product(range(n + 1), repeat=2):
+        if a + b <= n:
+            c = np.array([a, b, n - a - b])
+            log = sum(lgamma(x + p) - lgamma(p) - lgamma(x + 1) for x, p in zip(c, prior)) + float(c @ np.log(w))
+            total += np.exp(log)
+            mean += np.exp(log) * c / n
+    assert shares.mean(axis=0) == pytest.approx(mean / total, abs=0.05)
+
+
+def test_steps_and_the_plain_loop_agree(monkeypatch):
+    rng = np.random.default_rng(6)
+    doc = np.repeat(np.arange(40), rng.integers(1, 60, 40))
+    term, z = rng.integers(0, 30, len(doc)), rng.integers(0, 5, len(doc))
+    found = []
+    for abreast in (1, 10, 10**6):
+        monkeypatch.setattr(kernel, "ABREAST", abreast)
+        s = make_shard(doc, term, z.copy(), 30, 5, 1)
+        s.train(3, 4, 2)
+        found.append(s.z.tolist())
+    assert found[0] == found[1] == found[2] and found[0] != z.tolist()

@@ -15,7 +15,7 @@ from jobs import train as train_job
 from topicspark.operators import counters as N
 from topicspark.operators.corpus import bow_lines
 from topicspark.operators.models import Model, Params, averaged_model, model_from_counters
-from topicspark.operators.report import topic_terms_report
+from topicspark.operators.report import topic_terms_report, topic_totals_report
 from topicspark.operators.similarity import min_similar_topic, topic_similarity
 from topicspark.plans import infer as I
 from topicspark.plans import shards
@@ -49,7 +49,7 @@ def vocab(spark):
 
 @pytest.fixture(scope="module")
 def model(planted):
-    return T.train(planted, WORDS, K, 15, 3, 0.1, 0.01, 0.1, seed=7, num_shards=4)
+    return T.train(planted, WORDS, K, 20, 5, 0.1, 0.01, 0.1, seed=7, num_shards=8)
 
 
 def hot_bow(spark):
@@ -87,16 +87,49 @@ def test_inference_finds_the_planted_topic(model, planted):
     assert np.mean([r["topic"] == found[r["doc_id"] % K] for r in best]) > 0.97
 
 
-def test_same_seed_same_model(planted):
-    one, two = (
-        T.train(df, WORDS, K, 3, 2, 0.1, 0.01, 0.1, seed=7, num_shards=4) for df in (planted, planted.repartition(3))
-    )
-    assert as_set(one.term_topic) == as_set(two.term_topic)
-    assert one.params == two.params
+def test_a_document_is_inferred_alike_alone_and_in_any_shards(spark, model, planted):
+    every = [as_set(I.infer(planted, model, seed=3, num_shards=n)) for n in (1, 5, 16)]
+    assert every[0] == every[1] == every[2] and len({d for d, _, _ in every[0]}) == 200
+    alone = as_set(I.infer(planted.filter("doc_id = 17"), model, seed=3, num_shards=4))
+    assert alone == {r for r in every[0] if r[0] == 17}
+
+
+def test_results_of_a_shared_space_stay_readable(spark, space, planted):
+    """Two trainings and two inferences that are read later, in one space."""
+    models = [T.train(planted, WORDS, K, 2, 1, 0.1, 0.01, 0.1, seed=s, num_shards=4, space=space) for s in (1, 2)]
+    waiting = [I.infer(planted, m, 4, 2, seed=1, num_shards=4, space=space) for m in models]
+    assert [m.term_topic.agg(F.sum("cnt")).first()[0] for m in models] == [8000.0, 8000.0]
+    assert all(d.select("doc_id").distinct().count() == 200 for d in waiting)
+    assert as_set(models[0].term_topic) != as_set(models[1].term_topic)
+
+
+def test_a_sweep_does_not_shuffle_the_edges(spark, planted):
+    state = T.start(planted, Params(K, WORDS, 0.1, 0.01, 0.1), 1, 8)
+    new = shards.run_shards(state.sharded, state.term_topic, state.n_k, state.params, "train", 1, 1, 1)
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    edges = plan[: plan.index("topics#")] if "topics#" not in plan else plan
+    scan = next(i for i, line in enumerate(edges.splitlines()) if "Bucketed: true" in line)
+    above = edges.splitlines()[:scan]
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*(0123456789)"))
+    # up from the scan to the cogroup, nothing is an exchange
+    path, level = [], depth(edges.splitlines()[scan])
+    for line in reversed(above):
+        if depth(line) < level:
+            path.append(line)
+            level = depth(line)
+        if "FlatMapCoGroups" in line:
+            break
+    assert path and not any("Exchange" in line for line in path)
+
+
+def test_same_seed_same_model(planted, model):
+    again = T.train(planted.repartition(3), WORDS, K, 20, 5, 0.1, 0.01, 0.1, seed=7, num_shards=8)
+    assert as_set(again.term_topic) == as_set(model.term_topic)
+    assert again.params == model.params
 
 
 def test_incremental_training_keeps_topics_and_prior(planted, model):
-    more = T.train_incremental(planted, model, total_iter=3, burn_in=1, seed=1, num_shards=4)
+    more = T.train_incremental(planted, model, total_iter=4, burn_in=2, seed=1, num_shards=8)
     assert (more.params.num_topics, more.params.alpha, more.params.alpha_as) == (K, 0.1, 1.0)
     assert (dominant(more).argmax(axis=1) == dominant(model).argmax(axis=1)).mean() > 0.9
 
@@ -120,29 +153,20 @@ def test_trace_falls(spark, planted):
     assert T.perplexity(state) < trace[-1][1] * 1.1 < trace[0][1]
 
 
-def test_hot_document_and_hot_counters_are_split(spark, space, monkeypatch):
-    """The results of a split document are the same as of a whole one wherever they are exact."""
+def test_hot_document_and_hot_counters(spark, space, monkeypatch):
+    """A document of a third of all tokens, and counters that are copied for many shards."""
     monkeypatch.setattr(shards, "COPY_ROWS", 2)
     bow = hot_bow(spark)
     p = Params(3, 40, 0.1, 0.01, 0.1)
-    whole = T.start(bow, p, 5, 1)
-    split = T.start(bow, p, 5, 7, space, piece_tokens=50)
-    pieces = split.edges.filter("doc_id = 0")
-    assert split.sharded.has_split and pieces.select("shard").distinct().count() > 3
-    assert split.sharded.copies.count() > 0
-    assert T.perplexity(split) == pytest.approx(T.perplexity(whole), rel=1e-12)
-    after, trace = T.run_gibbs(split, 3)
+    one, many = T.start(bow, p, 5, 1), T.start(bow, p, 5, 7, space)
+    assert many.sharded.copies.count() > 0 and one.sharded.copies.count() == 0
+    assert T.perplexity(many) == pytest.approx(T.perplexity(one), rel=1e-12)
+    after, trace = T.run_gibbs(many, 3)
     assert as_set(N.edges_to_bow(after.edges)) == as_set(bow.filter("cnt > 0"))
-    assert trace[0][1] == pytest.approx(T.perplexity(whole), rel=1e-12)
-
+    assert trace[0][1] == pytest.approx(T.perplexity(one), rel=1e-12)
     model = model_from_counters(N.term_topic(after.edges), p)
-    dist = I.infer(bow, model, 6, 3, 5, 7, piece_tokens=50)
-    totals = dist.groupBy("doc_id").agg(F.sum("prob").alias("p")).collect()
-    assert len(totals) == 60 and all(abs(r["p"] - 1) < 1e-9 for r in totals)
-    one = I.infer(bow, model, 6, 3, 5, 1).filter("doc_id = 0").orderBy("topic").collect()
-    many = dist.filter("doc_id = 0").orderBy("topic").collect()
-    assert [r["topic"] for r in one] == [r["topic"] for r in many]
-    warm = T.init_topics_from_model(bow, model, 5, 7, piece_tokens=50)
+    assert as_set(I.infer(bow, model, 6, 3, 5, 7)) == as_set(I.infer(bow, model, 6, 3, 5, 1))
+    warm = T.init_topics_from_model(bow, model, 5, 7)
     assert as_set(N.edges_to_bow(warm.edges)) == as_set(bow.filter("cnt > 0"))
 
 
@@ -184,6 +208,7 @@ def test_merge_goes_one_hop(spark):
     assert as_set(min_similar_topic(sims, 0.95)) == {(2, 1), (3, 2), (4, 0)}
     edges = spark.createDataFrame([(1, 1, 0, [3, 2, 1, 0])], "doc_id bigint, term_id int, block int, topics array<int>")
     assert N.relabel(edges, {2: 1, 3: 2}, 4).first()["topics"] == [2, 1, 1, 0]
+    assert N.relabel(edges, {2: 1}, 3).first()["topics"] == [3, 1, 1, 0]  # a topic beyond the map stays
 
 
 def test_planted_duplicates_are_merged(spark, planted, model):
@@ -203,7 +228,7 @@ def test_planted_duplicates_are_merged(spark, planted, model):
 def test_a_lost_token_is_noticed(spark, planted):
     state = T.start(planted, Params(K, WORDS, 0.1, 0.01, 0.1), 1, 8)
     with pytest.raises(RuntimeError, match="tokens"):
-        T._counted(state.sharded, state.params, 1, 1, state.space, int(state.n_k.sum()) + 1)
+        T._counted(state.sharded._replace(tokens=int(state.n_k.sum()) + 1), state.params, 1, 1, state.space)
 
 
 def test_mean_counts_absent_topics_as_zero(spark):
@@ -214,14 +239,28 @@ def test_mean_counts_absent_topics_as_zero(spark):
     assert as_set(mean.topic_total) == {(0, 5.0), (1, 1.0), (2, 0.0)}
 
 
-def test_long_report_lines_go_on_in_more_lines(spark, space, model, vocab):
-    lines = topic_terms_report(model, vocab, 2, terms_per_line=7)
-    assert lines.groupBy("topic").count().agg(F.max("count")).first()[0] > 1
-    assert all(len(r["value"].split()) <= 8 for r in lines.collect())
-    write_text(lines.select("value"), space.path("counts"))
-    back = files.restore_term_topic(spark, space.path("counts"), vocab)
+def test_text_model_reads_back_and_checks_its_topics(spark, space, model, vocab):
+    write_text(topic_terms_report(model, vocab, 2).select("value"), space.path("counts"))
+    write_text(topic_totals_report(model).select("value"), space.path("totals"))
+    back = files.restore_term_topic(spark, space.path("counts"), vocab, K)
     kept = model.term_topic.select("term_id", "topic", F.round("cnt", 2)).filter("`round(cnt, 2)` > 0")
     assert as_set(back) == as_set(kept)
+    assert files.restore_topic_totals(spark, space.path("totals"), K).count() == K
+    with pytest.raises(Exception, match="is not one of 3"):
+        files.restore_term_topic(spark, space.path("counts"), vocab, K - 1).collect()
+    with pytest.raises(Exception, match="is not one of 3"):
+        files.restore_topic_totals(spark, space.path("totals"), K - 1).collect()
+
+
+def test_a_sweep_that_moves_nothing_fails_the_checks(spark, monkeypatch):
+    """The queries about sampling notice a sampler that does nothing."""
+    from conftest import SMALL
+
+    from topicspark.checks import catalog
+
+    monkeypatch.setattr(T, "gibbs_sweep", lambda state, *a, **k: state)
+    assert not catalog.gibbs_sweep(spark, SMALL).first()["ok"]
+    assert not catalog.save_averaged(spark, SMALL).first()["ok"]
 
 
 def test_model_round_trip(spark, space, model, vocab):

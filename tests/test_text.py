@@ -101,24 +101,31 @@ def test_small_corpus(spark):
     assert tokens(c.bow).filter("doc_id = 0 and term_id = 1").count() == 2
 
 
-def test_long_documents_take_several_lines(spark):
+def test_a_document_is_one_line(spark):
     bow = spark.createDataFrame([(d, t, t + 1) for d, n in ((0, 50), (1, 5)) for t in range(n)], "doc_id bigint, term_id int, cnt bigint")
-    rendered = bow_lines(bow, 10)
-    assert rendered.filter("value like '1 %'").count() == 1 and rendered.filter("value like '0 %'").count() == 5
+    rendered = bow_lines(bow)
+    assert rendered.count() == 2
     assert {tuple(r) for r in text.parse_bow(rendered, 50).collect()} == {tuple(r) for r in bow.collect()}
 
 
+def test_tokens_of_a_large_count(spark):
+    bow = spark.createDataFrame([(1, 2, 10_001), (1, 3, 1), (2, 2, 0)], "doc_id bigint, term_id int, cnt bigint")
+    got = tokens(bow)
+    assert got.count() == 10_002 and got.filter("term_id = 2").agg(F.max("occ"), F.countDistinct("occ")).first() == (10_000, 10_001)
+
+
 def first_by_digest(values, n, seed):
     return sorted(sorted(values, key=lambda v: (hashlib.md5(f"{seed}|{v}".encode()).hexdigest(), v))[:n])
 
 
 @pytest.mark.parametrize("n", [1, 7, 150, 301, 420, 500, 501, 1000])
-def test_both_ways_of_sampling_agree_when_one_line_is_a_third(spark, n):
+@pytest.mark.parametrize("edge", [0, 100_000])
+def test_sampling_when_one_line_is_a_third(spark, monkeypatch, n, edge):
+    monkeypatch.setattr(S, "EDGE_ROWS", edge)  # 0: as many histograms as there are digits
     values = [f"line {i % 140}" for i in range(334)] + ["the hot line"] * 167
-    df = lines(spark, *values).repartition(5)
-    expected = first_by_digest(values, n, 42)
-    for rows in (0, 10_000):
-        assert sorted(r[0] for r in S.sample_docs(df, n, 42, top_rows=rows).collect()) == expected
+    sample = S.sample_docs(lines(spark, *values).repartition(5), n, 42)
+    assert sorted(r[0] for r in sample.collect()) == first_by_digest(values, n, 42)
+    assert "TakeOrdered" not in sample._jdf.queryExecution().executedPlan().toString()
 
 
 def test_sample_needs_a_size(spark):
