@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 CACHED_WORDS = 900_000  # per Python worker; a full cache is emptied
 CACHED_CHARS = 48
 MARK = "|"
-NO_SPLIT = re.compile(r"[^A-Za-z\u00c0-\u024f][.,] ").search
+# Latin letters that lower-case to one letter: no multiplication or division sign, no dotted capital I
+NO_SPLIT = re.compile(r"[^A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f][.,] ").search
 MANIFEST = "part int, docs long, nulls long, tokens long, width int"
 _ENCODERS: dict = {}
 
