@@ -22,6 +22,7 @@ def lines(spark, *values):
 @pytest.mark.parametrize(
     "value, expected",
     [
+        # Known examples
         ("(if (zero? x) max (/ 1 x))", True),
         ("I told him (that it's not (yet) done).\n(But he wasn't listening)", True),
         (":-)", False),

@@ -94,6 +94,7 @@ def doc_topics_report(dist: DataFrame) -> DataFrame:
 
 def model_dir(p: Params) -> str:
     """Folder name with the parameters, four of them rounded to 2 decimals."""
+    # Fixed value: the format of a model's name
     return "LDAModel_%.2f_%.2f_%.2f_%.2f_%d_%d_" % (
         p.alpha, p.beta, p.alpha_as, p.perplexity, p.total_iter, p.burn_in
     )

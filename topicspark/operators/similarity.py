@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from topicspark.operators.counters import relabel
 
 _BLOCK_CELLS = 1 << 22  # cells of a dense block of terms x topics
-MAX_TASKS = 256
+LEAST_TASKS, TERMS_PER_TASK = 256, 65_536
 
 
 def _partial_products(num_topics: int):
@@ -38,13 +38,16 @@ def _partial_products(num_topics: int):
     return run
 
 
-def topic_similarity(term_topics: DataFrame, num_topics: int, tasks: int = MAX_TASKS) -> DataFrame:
+def topic_similarity(term_topics: DataFrame, num_topics: int, tasks: int | None = None) -> DataFrame:
     """(topic_a, topic_b, sim), a < b: cosine of two topics' counts over all terms, where it is not 0.
 
     Every task multiplies its own terms' rows into one topics x topics table, so what is shuffled
-    depends on the number of topics and tasks and not on the number of terms or of term pairs. The
-    terms are spread over at most `tasks` tasks.
+    depends on the number of topics and tasks and not on the number of term pairs. The terms are
+    spread over at most `tasks` tasks, by default one per TERMS_PER_TASK terms and LEAST_TASKS at least.
     """
+    if tasks is None:
+        terms = term_topics.agg(F.approx_count_distinct("term_id")).first()[0]
+        tasks = max(LEAST_TASKS, terms // TERMS_PER_TASK)
     rows = term_topics.groupBy("term_id").agg(
         F.collect_list(F.struct("topic", F.col("cnt").cast("double").alias("cnt"))).alias("held")
     )  # at most one entry per topic
