@@ -109,10 +109,10 @@ def similar_lines(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
         marks.join(wanted, "mark", "left_semi").groupBy("mark").agg(F.min(place()).alias("first")).select("mark", "first"), "firsts"
     )
     spots = one.select("mark", "first", F.col("first.row").alias("row"), F.col("first.line_no").alias("line_no"))
-    per_row = spots.groupBy("row").agg(F.collect_list(F.struct("line_no", "mark", "first")).alias("spots"))
-    texts = docs.select(row_key(docs).alias("row"), "text").join(per_row, "row")
-    picked = texts.select(F.split("text", "\n", -1).alias("lines"), F.explode("spots").alias("s"))
-    held = picked.select("s.mark", "s.first", ordered_tokens(words_of(F.get("lines", F.col("s.line_no"))), size, ranks).alias("tokens"))
+    picked = lines.select("row", "line_no", "line").join(spots, ["row", "line_no"])
+    # the words as a column of their own: inside the tokens' function they would be split again for each token
+    picked = picked.select("mark", "first", words_of(F.col("line")).alias("words"))
+    held = picked.select("mark", "first", ordered_tokens(F.col("words"), size, ranks).alias("tokens"))
     held = stored(held.dropDuplicates(["mark"]), "sets")
 
     x = shared.join(held, "mark").alias("x")
