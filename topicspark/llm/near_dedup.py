@@ -7,7 +7,8 @@
    names. Two classes of that similarity so share a child with a chance of about 84 %, in each tree anew.
 3. First the easy links: in each node every class is compared, by sketches of one byte per coordinate, with a few
    leaders of the node. Of what looks alike, each class's most promising pair is confirmed on the full sets of both
-   texts, then the best pair between each two components. That joins nearly all groups with few comparisons.
+   texts, then the best pair between each two components, then, twice, the best partner of each class that is not in
+   a node's largest component. That joins nearly all groups with few comparisons.
 4. Then the rest: a node whose classes are all in one component is done. In a small node, those outside its largest
    component are compared exhaustively with all that are not in their own component. In a larger node with few
    outsiders these are sent to all others, row by row. Any other node branches on. All candidates are confirmed.
@@ -38,6 +39,7 @@ from topicspark.llm.components import components
 from topicspark.llm.shingles import COORDINATES, U, chunks, enough, minwise, mixed, set_key, shingle_sets
 
 TREES, LEADERS, LEAST_ESTIMATE, SURE, MAX_DEPTH = 10, 4, 0.69, 0.84, 64
+BEST_ROUNDS = 2
 SMALL, WORK, PACKED = 4096, 1 << 22, 64  # classes of a small node, comparisons in it, outsiders sent around
 SETS = "doc_id long, n_shingles long, key binary, tokens binary"
 
@@ -145,8 +147,11 @@ def _with_some(rows: DataFrame, some: DataFrame, classes: DataFrame, least: floa
     return rows.select("node", "key", "root", "n_shingles", "sketch").join(packed, "node").mapInArrow(run, PAIRS)
 
 
-def _exhaustive(rows: DataFrame, least: float, percent: int) -> DataFrame:
-    """Alike pairs between different roots in each node, one of them outside the node's largest root (top_root)."""
+def _exhaustive(rows: DataFrame, least: float, percent: int, best: bool) -> DataFrame:
+    """Alike pairs between different roots in each node, one of them outside the node's largest root (top_root).
+
+    `best`: only the most alike partner of each outsider.
+    """
     names = ["node", "key", "root", "top_root", "n_shingles", "sketch"]
 
     def found(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -161,6 +166,17 @@ def _exhaustive(rows: DataFrame, least: float, percent: int) -> DataFrame:
             out = np.flatnonzero(root != names.get(tops[a], -1))
             at = np.arange(b - a)
             inside = root == names.get(tops[a], -1)
+            if best:
+                for i in out.tolist():
+                    j = np.flatnonzero((root != root[i]) & (100 * np.minimum(size[a + i], size[a:b]) >= percent * np.maximum(size[a + i], size[a:b])))
+                    if len(j):
+                        like = _likeness(sketch[a + i], sketch[a + j])
+                        top = int(like.argmax())
+                        if like[top] >= least:
+                            left.append(keys[a + i])
+                            right.append(keys[a + j[top]])
+                            likeness.append(float(like[top]))
+                continue
             for i in range(0, len(out), 64):
                 x = out[i : i + 64]
                 # two outsiders meet once
@@ -207,8 +223,11 @@ def _easy_pairs(nodes: DataFrame, classes: DataFrame, least: float, percent: int
     return stored(_distinct(_with_some(held.withColumn("root", F.col("key")), leaders, classes, least, percent)), "pairs")
 
 
-def _rest_pairs(nodes: DataFrame, classes: DataFrame, roots: DataFrame, least: float, percent: int):
-    """(alike pairs between roots, (node, key) of the nodes that branch on, whether there are any)."""
+def _rest_pairs(nodes: DataFrame, classes: DataFrame, roots: DataFrame, least: float, percent: int, best: bool = False):
+    """(alike pairs between roots, (node, key) of the nodes that branch on, whether there are any).
+
+    `best`: of the exhaustively compared nodes only, and there each outsider's most alike partner.
+    """
     rooted = nodes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     rooted = stored(rooted, "rooted")
     per = rooted.groupBy("node", "root").agg(F.count("*").alias("n"))
@@ -221,7 +240,9 @@ def _rest_pairs(nodes: DataFrame, classes: DataFrame, roots: DataFrame, least: f
     sums = stored(sums.select("node", "top_root", way.alias("way")), "sums")
     rows = rooted.join(sums, "node").join(classes.select("key", "n_shingles", "sketch"), "key")
     rows = stored(rows, "rows")
-    pairs = _exhaustive(rows.where("way = 0"), least, percent)
+    pairs = _exhaustive(rows.where("way = 0"), least, percent, best)
+    if best:
+        return stored(_distinct(pairs), "pairs"), None, False
     few = rows.where("way = 1 AND root != top_root").select("node", "key", "root")
     pairs = pairs.unionByName(_with_some(rows.where("way = 1"), few, classes, least, percent))
     onward = rows.where("way = 2").select("node", "key")
@@ -313,6 +334,15 @@ def linked_classes(
         links = links.union(confirmed(second))
         roots = components(links)
 
+    # the best partner of each class that is still outside: what is left after that has few alike partners
+    for _ in range(BEST_ROUNDS):
+        found, _, _ = _rest_pairs(nodes, sketches, roots, least, percent, best=True)
+        apart = stored(_between(found, roots).select("a", "b"), "best")
+        if not apart.limit(1).count():
+            break
+        links = links.union(confirmed(apart))
+        roots = components(links)
+
     pool, depth, more = None, 1, True
     while more:
         found, nodes, more = _rest_pairs(nodes, sketches, roots, least, percent)
