@@ -622,7 +622,18 @@ def _model_facts(spark, model: M.Model, before: float) -> DataFrame:
     )
 
 
+_TRAINED: dict = {}
+
+
 def _trained(spark, sf):
+    """(corpus, model, perplexity of the start), trained once per session and folder; the model is a written table."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TRAINED:
+        _TRAINED[key] = _train_once(spark, sf)
+    return _TRAINED[key]
+
+
+def _train_once(spark, sf):
     state, c = start(spark, sf)
     before = training.perplexity(state)
     model = training.train(
