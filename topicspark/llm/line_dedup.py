@@ -10,8 +10,9 @@ row and place in the text. So a line stays if no earlier line is similar to it.
    of fixed size that each task holds.
 3. Prefix filter: two similar lines share a token among the first n - ceil(n * percent / 100) + 1 of each. These go
    to the place of their token; a window there leaves the tokens that more than one line has.
-4. Length and positional filter, and then the sets themselves: a semi join on the token looks for an earlier similar
-   line, and stops at the first it finds. No pairs are put out, however many lines are alike.
+4. Length and positional filter, and then the sets themselves: first against the first line of each token only, which
+   settles most lines; the rest by a semi join on the token, which looks for an earlier similar line and stops at the
+   first it finds. So no pairs are put out, however many lines are alike.
 
 Lines seen in over 1 / HOT_SHARE of all places are at most HOT_SHARE many; only for these the copies are left out
 before step 3 by a broadcast of that bounded size, so that no token's place gets the copies of a hot line.
@@ -115,17 +116,34 @@ def similar_lines(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     held = picked.select("mark", "first", ordered_tokens(F.col("words"), size, ranks).alias("tokens"))
     held = stored(held.dropDuplicates(["mark"]), "sets")
 
-    x = shared.join(held, "mark").alias("x")
-    y = shared.join(held, "mark").alias("y")
+    sets = held.select("mark", "tokens")
+    placed = shared.join(held.select("mark", "first"), "mark")
+    x = placed.alias("x")
     nx, ny = F.col("x.n"), F.col("y.n")
     fits = 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
     need = F.ceil((nx + ny) * percent / (100 + percent))
     reach = 1 + F.least(nx - F.col("x.at") - 1, ny - F.col("y.at") - 1) + F.least("x.at", "y.at")
-    both = F.size(F.array_intersect("x.tokens", "y.tokens"))
+    both = F.size(F.array_intersect("x_tokens", "y_tokens"))
     same = 100 * both >= percent * (nx + ny - both)
     earlier = F.col("y.first") < F.col("x.first")
-    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.mark") != F.col("y.mark")) & earlier & fits & (reach >= need) & same
-    near = stored(x.join(y, on, "left_semi").select("mark").distinct(), "near")
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.mark") != F.col("y.mark")) & earlier & fits & (reach >= need)
+
+    # most lines resemble the first line that has one of their tokens: one candidate per line and token
+    leader = placed.groupBy("token").agg(F.min(F.struct("first", "mark", "n", "at")).alias("y")).select("token", "y.*")
+    leader = stored(leader, "leaders").alias("y")
+    tried = x.join(leader, on).select(F.col("x.mark").alias("mark"), F.col("y.mark").alias("other"), nx.alias("n"), ny.alias("m")).distinct()
+    tried = tried.join(sets.withColumnRenamed("tokens", "x_tokens"), "mark")
+    tried = tried.join(sets.select(F.col("mark").alias("other"), F.col("tokens").alias("y_tokens")), "other")
+    easy = stored(tried.where(100 * both >= percent * (F.col("n") + F.col("m") - both)).select("mark").distinct(), "easy")
+
+    # the rest against all earlier lines: first whether any fits, then with the sets themselves
+    left = stored(placed.join(easy, "mark", "left_anti"), "left")
+    left = stored(left.alias("x").join(placed.alias("y"), on, "left_semi"), "fitting")
+    right = placed.join(left.select("token").distinct(), "token", "left_semi")
+    x = left.join(sets.withColumnRenamed("tokens", "x_tokens"), "mark").alias("x")
+    y = right.join(sets.withColumnRenamed("tokens", "y_tokens"), "mark").alias("y")
+    near = x.join(y, on & same, "left_semi").select("mark").distinct()
+    near = stored(near.union(easy), "near")
     return copies.union(marks.join(near, "mark", "left_semi").select("row", "line_no")).distinct()
 
 
