@@ -214,6 +214,17 @@ def test_lines_are_brute_force(docs, monkeypatch):
     assert {r["doc_id"]: r["n_lines"] for r in got}[203] == 151 and {r["doc_id"]: r["n_lines"] for r in got}[200] == 0
 
 
+def test_lines_by_words_are_brute_force(docs, monkeypatch):
+    """With single words as tokens a short line with one changed word goes too."""
+    monkeypatch.setattr(line_dedup, "HOT_LEAST", 20)
+    base = [f"w{i}" for i in range(27)]
+    rows = near_lines(3) + [(300, " ".join(base)), (301, " ".join([*base[:13], "other", *base[14:]]))]
+    want = brute_lines(rows, size=1)
+    got = line_dedup.line_report(docs(rows).repartition(3), size=1).collect()
+    assert {(r["doc_id"], k) for r in got for k in r["removed"]} == want
+    assert (301, 0) in want and (301, 0) not in brute_lines(rows) and len(want) > len(brute_lines(rows))
+
+
 def test_texts_without_similar_lines(docs, odd, nothing):
     given = docs([(1, "a b c d e f\nkeep"), (2, "other\nA b c d e f\n\nmore"), (None, None), (3, "a b c d e f"), (4, "a b c d e f\na b c d e f")])
     got = line_dedup.without_similar_lines(given)
