@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from topicspark.llm import bpe, chat, decontaminate, langid, quality, queries, token_files, urls
-from topicspark.llm.common import fresh_path
+from topicspark.llm.common import bounded_sample, fresh_path
 
 WORD_FILE, BYTE_FILE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 ODD_CHARS = "abcdeABthinger  \n\t'.,!01²½éß日本　\xa0\x1c\x85\u0301😀|<>ΣİK"
@@ -142,6 +143,20 @@ def test_clean_documents_stay(spark, odd, nothing):
 # language ID and quality: held-out accuracy
 
 
+def test_a_hot_text_has_its_share_of_a_sample(spark):
+    """Copies of a text are drawn apart; repeated rows are one; no more than the sample reaches the driver."""
+    rows = [(i, ("en", "de")[i % 2], f"hot {i % 3}" if i % 6 else f"text {i}") for i in range(12_000)] + [(None, "en", "no id")] * 6_000
+    table = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = bounded_sample(table, "lang", "text", 200, "doc_id")
+    assert sorted(r["lang"] for r in got) == ["de"] * 200 + ["en"] * 200
+    texts = Counter(r["text"] for r in got)
+    assert all(40 < texts[f"hot {i}"] < 200 for i in range(3)) and texts["no id"] <= 1 and [tuple(r) for r in got] == [
+        tuple(r) for r in bounded_sample(table.repartition(5), "lang", "text", 200, "doc_id")
+    ]
+    assert len(bounded_sample(table, "lang", "text", 20_000, "doc_id")) == 12_001
+    assert bounded_sample(table.where("false"), "lang", "text", 5, "doc_id") == []
+
+
 def test_languages_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = langid.predict(docs, langid.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").collect()

@@ -35,27 +35,36 @@ def in_fold(doc_id: Column, mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
-def bounded_sample(rows: DataFrame, label: str, order: str, size: int) -> list:
-    """At most `size` rows per label, those of the smallest hash of `order`, on the driver.
+def with_draw(rows: DataFrame, order: str, ident: str) -> DataFrame:
+    """The rows with their draw for `bounded_sample`: before a join, it keeps the texts out of the join's shuffle."""
+    return rows.withColumn("_draw", F.xxhash64(F.lit(17), F.col(order), F.col(ident)))
 
-    The labels are counted first; then only about twice the wanted rows pass a hash threshold, so what
-    reaches the driver is bounded by size x labels, and no label's rows meet in one task.
+
+def bounded_sample(rows: DataFrame, label: str, order: str, size: int, ident: str) -> list:
+    """At most `size` rows per label, those of the smallest hash of `order` and `ident`, on the driver.
+
+    Copies of one text under different idents are drawn apart from each other, so a hot text has its share of the sample and
+    no more. Rows that repeat `ident` and `order` are one document and count once. The documents of each label are estimated
+    first (to a few percent); then the hashes alone of about twice the wanted ones reach the driver and give each label's
+    exact cut, and at last the texts up to the cut: at most size x labels, however many copies there are.
     """
-    draw = F.xxhash64(F.lit(17), F.col(order)).alias("_draw")
-    rows = rows.where(F.col(label).isNotNull()).withColumn("_draw", draw)
-    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    rows = rows if "_draw" in rows.columns else with_draw(rows, order, ident)
+    rows = rows.where(F.col(label).isNotNull()).select(label, order, "_draw")
+    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.approx_count_distinct("_draw", 0.02).alias("n")).collect()}
     if not counts:
         return []
-    wide = 2.0**64
-    keep = F.lit(False)
-    for value, n in counts.items():
-        share = min(1.0, 2.0 * (size + 50) / n)
-        top = int(share * wide - 2**63)
-        keep = keep | ((F.col(label) == F.lit(value)) & (F.col("_draw") <= F.lit(min(top, 2**63 - 1))))
-    taken = sorted(rows.where(keep).collect(), key=lambda r: (r["_draw"], str(r[order])))
-    out, have = [], dict.fromkeys(counts, 0)
-    for row in taken:
-        if have[row[label]] < size:
-            have[row[label]] += 1
-            out.append(row)
-    return out
+
+    def upto(cuts: dict) -> Column:
+        keep = F.lit(False)
+        for value, cut in cuts.items():
+            keep = keep | ((F.col(label) == F.lit(value)) & (F.col("_draw") <= F.lit(cut)))
+        return keep
+
+    wide = {value: min(int(min(1.0, 2.0 * (size + 50) / n) * 2.0**64 - 2**63), 2**63 - 1) for value, n in counts.items()}
+    draws: dict = {value: [] for value in counts}
+    for r in rows.where(upto(wide)).select(label, "_draw").distinct().collect():
+        draws[r[label]].append(r["_draw"])
+    cuts = {value: sorted(found)[:size][-1] for value, found in draws.items() if found[:size]}
+    # the few rows of a repeated document meet only after a partial aggregation
+    taken = rows.where(upto(cuts)).groupBy(label, "_draw").agg(F.first(order).alias(order)).collect()
+    return sorted(taken, key=lambda r: (r["_draw"], str(r[order])))

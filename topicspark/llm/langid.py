@@ -10,7 +10,7 @@ The margin is the share of bytes by which the second best is larger; texts of a
 not those of fewer than `SHORT` bytes, whose margins say little. `least` is half the `tail` quantile of the margins of
 learned texts that were not put into a dictionary, so nearly all plain text passes.
 
-Fitted on a bounded sample: `per_language` rows per language, by a hash of the text. Rows of a null language or text
+Fitted on a bounded sample: `per_language` rows per language, by a hash of text and doc_id. Rows of a null language or text
 teach nothing. A text that is null or has no letter is `und` with score 0, and rejected; so is every text if nothing
 was learned. If two languages give the same size, the first in order of name is chosen, with margin 0.
 """
@@ -100,7 +100,7 @@ def fit(
     Of a language's sample, two thirds fill the dictionary, the rest set the least margin.
     """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~in_fold(F.col("doc_id"), mod, rest))
-    rows = bounded_sample(known.select("lang", "text"), "lang", "text", per_language)
+    rows = bounded_sample(known.select("lang", "text", "doc_id"), "lang", "text", per_language, "doc_id")
     by: dict[str, list[str]] = {}
     for row in rows:
         if LETTER(row["text"]):

@@ -11,7 +11,7 @@ part falls below 0, the step goes against it, so the model does not learn the po
 The features of a whole text are shares and lengths of its characters, words and lines, and repetition, all scaled by
 the unlabelled sample, with squares. At last a line search puts the decision where the estimated risk is least.
 
-Fitted on a bounded sample of the learning fold, by a hash of the text: `positives` and `unlabelled` documents. Labels
+Fitted on a bounded sample of the learning fold, by a hash of text and doc_id: `positives` and `unlabelled` documents. Labels
 are only read of rows outside the held-out fold. Null texts count as empty; empty texts have the features of no words
 and get a score. Without positives or unlabelled rows every score is the prior, or 0.5 without labels.
 Several labels of one document: the lowest counts. Rows of a null doc_id teach nothing.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicspark.llm.common import bounded_sample, in_fold
+from topicspark.llm.common import bounded_sample, in_fold, with_draw
 
 POSITIVES, UNLABELLED = 4000, 8000
 SCHEMA = "doc_id long, score double, predicted int"
@@ -129,10 +129,10 @@ def fit(
     blank = np.zeros(len(NAMES))
     if share is None:
         return QualityModel(None, blank, blank + 1, 0.5)
-    text = docs.where(fold).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    good = text.join(known.where("quality = 1").select("doc_id"), "doc_id", "left_semi").select("text", F.lit(1).alias("kind"))
-    pos = [r["text"] for r in bounded_sample(good, "kind", "text", positives)]
-    unl = [r["text"] for r in bounded_sample(text.select("text", F.lit(0).alias("kind")), "kind", "text", unlabelled)]
+    text = with_draw(docs.where(fold).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "doc_id")
+    good = text.join(known.where("quality = 1").select("doc_id"), "doc_id", "left_semi").withColumn("kind", F.lit(1))
+    pos = [r["text"] for r in bounded_sample(good, "kind", "text", positives, "doc_id")]
+    unl = [r["text"] for r in bounded_sample(text.withColumn("kind", F.lit(0)), "kind", "text", unlabelled, "doc_id")]
     if not pos or not unl or share in (0.0, 1.0):
         return QualityModel(None, blank, blank + 1, float(share))
     xp, xu = np.array([features(t) for t in pos]), np.array([features(t) for t in unl])
