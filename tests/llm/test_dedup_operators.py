@@ -127,6 +127,32 @@ def test_large_nodes_branch_and_send_outsiders(monkeypatch, docs):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_near(rows, 4, 80)
 
 
+def test_deep_nodes_get_more_trees(monkeypatch, docs):
+    """A template that all texts share makes deep nodes; the pairs in it are found from one tree on."""
+    monkeypatch.setattr(near_dedup, "SMALL", 30)
+    monkeypatch.setattr(near_dedup, "PACKED", 1)
+    monkeypatch.setattr(near_dedup, "LEADERS", 1)
+    monkeypatch.setattr(near_dedup, "BEST_ROUNDS", 0)
+    rng = random.Random(5)
+    rows = []
+    for g in range(30):
+        own = [f"g{g}w{rng.randrange(900)}" for _ in range(50)]
+        for k in range(2):
+            tail = [f"n{g}k{k}x{i}" for i in range(14)]
+            rows.append((len(rows), " ".join([*(f"common{i}" for i in range(90)), *own, *tail])))
+    want = brute_near(rows, 4, 80)
+    got = near_dedup.near_duplicates(docs(rows), 4, 80, trees=1).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want and len({c for _, c in want.values()}) == 30
+
+
+def test_trees_for_a_depth():
+    assert near_dedup.miss_chance(1, 0.8) == pytest.approx(0.16) and near_dedup.trees_for(1, 0.8, 1e-3) <= 4
+    for depth in (5, 10, 20, 40):
+        n, lost = near_dedup.trees_for(depth, 0.8, 1e-3), near_dedup.miss_chance(depth, 0.8)
+        assert lost**n <= 1e-3 < lost ** (n - 1)
+    assert near_dedup.trees_for(5, 0.8, 1e-3) <= near_dedup.TREES < near_dedup.trees_for(10, 0.8, 1e-3)
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, nothing, docs):
     got = near_dedup.near_duplicates(odd, 4, 80).collect()
     assert len(got) == 8

@@ -12,12 +12,14 @@
 4. Then the rest: a node whose classes are all in one component is done. In a small node, those outside its largest
    component are compared exhaustively with all that are not in their own component. In a larger node with few
    outsiders these are sent to all others, row by row. Any other node branches on. All candidates are confirmed.
+   After the last level the classes that were in nodes too deep for the trees there are get more trees of their own, as
+   many as bring the miss chance at the depth reached under `MISS`; these go through step 4 too.
 5. The components of the confirmed links, over classes, are contracted in rounds.
 
 No pairs inside a component are put out in step 4, so a group of many alike texts costs little more than its size.
 
-Recall: a pair at the threshold itself shares no node of the first level with a chance of 1e-8, none at a depth of five
-with about 3e-3; the sketches miss it with 1e-3, and a pair of similarity 0.85 with 1e-6. Most duplicates have more
+Recall: a pair at the threshold itself shares no node of the first level in any of ten trees with a chance of 1e-8; at the
+depth that is reached, whatever it is, the trees miss it with at most 1e-3 (`miss_chance`); the sketches miss it with 1e-3, and a pair of similarity 0.85 with 1e-6. Most duplicates have more
 than one path in their component. No pair is linked that is not confirmed.
 
 The empty set is linked with nothing. A null doc_id takes part like others; a component's id is the least id that is
@@ -39,7 +41,7 @@ from topicspark.llm.components import components
 from topicspark.llm.shingles import COORDINATES, U, chunks, enough, minwise, mixed, set_key, shingle_sets
 
 TREES, LEADERS, LEAST_ESTIMATE, SURE, MAX_DEPTH = 10, 4, 0.69, 0.84, 64
-BEST_ROUNDS = 2
+BEST_ROUNDS, MISS = 2, 1e-3
 SMALL, WORK, PACKED = 4096, 1 << 22, 64  # classes of a small node, comparisons in it, outsiders sent around
 SETS = "doc_id long, n_shingles long, key binary, tokens binary"
 
@@ -83,8 +85,23 @@ def children(node: np.ndarray, tokens: np.ndarray, similarity: float) -> tuple[n
     return np.concatenate([rows, more]), np.concatenate([child(rows, first), child(more, second[more])])
 
 
-def _descend(classes: DataFrame, trees: int | None, similarity: float) -> DataFrame:
-    """(node, key): the children of each row's node, or of the roots of all trees."""
+def miss_chance(depth: int, similarity: float) -> float:
+    """Chance that two classes of that similarity share no node of a tree at that depth."""
+    two, lost = 1 / similarity - 1, 0.0
+    for _ in range(depth):
+        kept = 1 - similarity + similarity * lost
+        lost = (1 - two) * kept + two * kept * kept
+    return lost
+
+
+def trees_for(depth: int, similarity: float, miss: float) -> int:
+    """The least number of trees of that depth that all miss such a pair with a chance of at most `miss`."""
+    lost = miss_chance(depth, similarity)
+    return int(np.ceil(np.log(miss) / np.log(lost))) if lost > 0 else 1
+
+
+def _descend(classes: DataFrame, trees: range | None, similarity: float) -> DataFrame:
+    """(node, key): the children of each row's node, or of the roots of the trees of these numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,7 +111,7 @@ def _descend(classes: DataFrame, trees: int | None, similarity: float) -> DataFr
             if trees is None:
                 starts = [batch.column("node").to_numpy().view(np.uint64)]
             else:
-                starts = [np.full(len(keys), mixed(np.array([t + 1], U))[0]) for t in range(trees)]
+                starts = [np.full(len(keys), mixed(np.array([t + 1], U))[0]) for t in trees]
             for node in starts:
                 row, child = children(node, tokens, similarity)
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), keys.take(pa.array(row))], ["node", "key"])
@@ -302,7 +319,7 @@ def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def linked_classes(
     docs: DataFrame, sets: DataFrame, size: int, percent: int, trees: int = TREES, least: float = LEAST_ESTIMATE,
-    max_depth: int = MAX_DEPTH,
+    max_depth: int = MAX_DEPTH, miss: float = MISS,
 ) -> tuple[DataFrame, DataFrame]:
     """((key, doc_id) of every class, (key, root) of the classes that are linked with others)."""
     similarity = percent / 100
@@ -311,7 +328,7 @@ def linked_classes(
     one = known.select("key", "n_shingles", "tokens").dropDuplicates(["key"])
     classes = stored(_sketched(one), "tokens")
     sketches = classes.select("key", "n_shingles", "sketch")
-    nodes = stored(_descend(classes.select("key", "tokens"), trees, similarity), "nodes")
+    nodes = stored(_descend(classes.select("key", "tokens"), range(trees), similarity), "nodes")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
@@ -343,18 +360,31 @@ def linked_classes(
         links = links.union(confirmed(apart))
         roots = components(links)
 
-    pool, depth, more = None, 1, True
-    while more:
-        found, nodes, more = _rest_pairs(nodes, sketches, roots, least, percent)
-        pool = found if pool is None else pool.union(found)
-        if more:
-            if depth >= max_depth:
-                raise RuntimeError(f"nodes of over {SMALL} classes remain after {max_depth} levels")
-            live = nodes.join(classes.select("key", "tokens"), "key").select("node", "key", "tokens")
-            nodes, depth = stored(_descend(live, None, similarity), "nodes"), depth + 1
-    rest = stored(pool.select("a", "b").distinct(), "rest")
-    if rest.limit(1).count():
-        roots = components(links.union(confirmed(rest)))
+    deepest, grown, deep = 1, trees, None
+    while True:
+        pool, depth, more = None, 1, True
+        while more:
+            found, nodes, more = _rest_pairs(nodes, sketches, roots, least, percent)
+            pool = found if pool is None else pool.union(found)
+            if more:
+                if depth >= max_depth:
+                    raise RuntimeError(f"nodes of over {SMALL} classes remain after {max_depth} levels")
+                live = nodes.join(classes.select("key", "tokens"), "key").select("node", "key", "tokens")
+                nodes, depth = stored(_descend(live, None, similarity), "nodes"), depth + 1
+                if grown == trees and trees_for(depth, similarity, miss) > trees:  # classes too deep for these trees
+                    here = nodes.select("key")
+                    deep = here if deep is None else deep.union(here)
+        rest = stored(pool.select("a", "b").distinct(), "rest")
+        if rest.limit(1).count():
+            links = links.union(confirmed(rest))
+            roots = components(links)
+        deepest = max(deepest, depth)
+        need = trees_for(deepest, similarity, miss)
+        if deep is None or need <= grown:
+            break
+        if grown == trees:
+            deep = stored(deep.distinct().join(classes.select("key", "tokens"), "key"), "deep")
+        nodes, grown = stored(_descend(deep, range(grown, need), similarity), "nodes"), need
     return named, roots
 
 
