@@ -252,6 +252,21 @@ def test_text_model_reads_back_and_checks_its_topics(spark, space, model, vocab)
         files.restore_topic_totals(spark, space.path("totals"), K - 1).collect()
 
 
+@pytest.mark.parametrize("single", [True, False])
+def test_topic_terms_are_written_as_they_come(spark, space, vocab, single):
+    """The files joined are the report's lines; topics without terms have a line too."""
+    counts = [(t, k, float(1 + (t * k) % 5)) for t in range(WORDS) for k in (1, 2, 5) if (t + k) % 3]
+    counts = spark.createDataFrame(counts, "term_id int, topic int, cnt double")
+    model = model_from_counters(counts, Params(8, WORDS, 0.1, 0.01, 0.1))
+    files.write_topic_terms(model, vocab, space.path("terms"), single_file=single)
+    parts = spark.read.text(space.path("terms"), wholetext=True).select("value", F.col("_metadata.file_path").alias("f"))
+    got = "".join(r["value"] for r in parts.sort("f").collect())
+    want = [r["value"] for r in topic_terms_report(model, vocab).sort("topic").collect()]
+    assert got.rstrip(" ").split("\n") == [*want[:-1], want[-1].rstrip(" ")]
+    back = files.restore_term_topic(spark, space.path("terms"), vocab, 8)
+    assert as_set(back) == as_set(counts)
+
+
 def test_a_sweep_that_moves_nothing_fails_the_checks(spark, monkeypatch):
     """The queries about sampling notice a sampler that does nothing."""
     from conftest import SMALL

@@ -152,3 +152,30 @@ def test_sample_and_select_is_distinct_only_with_ids(spark):
     df = lines(spark, "1 a", "1 a", "2 b")
     assert S.sample_and_select(df, 3, 1).count() == 3
     assert sorted(r[0] for r in S.sample_and_select(df, 3, 1, ["2"]).collect()) == ["1 a", "2 b"]
+
+
+def test_long_lines_are_read_in_splits(spark, space):
+    """Heads, pairs and line ends on both sides of every split, and a text that goes on in the next file."""
+    made = [f"{t} " + " ".join(f"w{t}x{i}:{i % 7}.00" for i in range(t * 300)) for t in range(6)]
+    whole = "\n".join(made) + "\n"
+    want = {(str(t), f"w{t}x{i}:{i % 7}.00") for t in range(6) for i in range(t * 300)}
+    folder = space.path("long")
+    spark.createDataFrame([(whole,)], "value string").coalesce(1).write.option("lineSep", "\n").text(folder)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("200", "1777", before):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            rows = text.long_line_pairs(spark, folder).collect()
+            assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_no_line_is_split_again_for_each_pair(spark):
+    """The split of a line lies below the explode, not beside it."""
+    rows = lines(spark, "1 0:2 1:3")
+    plan = text.parse_bow(rows, 5)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Generate")]
+    assert "split(substr(value" not in above and "split(substr(value" in plan

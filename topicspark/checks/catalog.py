@@ -241,6 +241,15 @@ def topic_term_probs_report(spark, sf):
     return R.topic_terms_report(model, vocab, 8, probs=True)
 
 
+@query
+def topic_terms_text(spark, sf):
+    """The pairs of the written text with their topics, read back from lines that no row holds."""
+    vocab, model, space = stored_two_starts(spark, sf)
+    model_files.write_topic_terms(model, vocab, space.path("counts"))
+    pairs = text.long_line_pairs(spark, space.path("counts"))
+    return pairs.select(F.col("head").cast("int").alias("topic"), F.substring_index("pair", ":", 1).alias("term"), "pair")
+
+
 @query
 def doc_topics_report(spark, sf):
     return R.doc_topics_report(P.doc_topic_dist(N.doc_topic(edges(spark, sf))))

@@ -123,6 +123,8 @@ for _name, _value, _places in (("topic_terms_report", "mt.cnt", 2), ("topic_term
         string_agg(term || ':' || {_decimals('x', _places)}, ' ' ORDER BY x DESC, term_id) AS value
         FROM (SELECT topic, term_id, term, {_value} AS x FROM mt JOIN mk USING (topic) JOIN vocab USING (term_id))
         GROUP BY topic""")
+oracle("topic_terms_text", "mt vocab", f"""SELECT topic, term, term || ':' || {_decimals('cnt', 2)} AS pair
+    FROM mt JOIN vocab USING (term_id)""")
 oracle("topic_terms_table", "mt vocab", """SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY cnt DESC, term_id) - 1 AS rank,
     term_id, term, cnt AS value FROM mt JOIN vocab USING (term_id)""")
 oracle("frequent_vocab", "w", """SELECT CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_id, term

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from topicspark.functions.ranking import dense_index
 from topicspark.operators.corpus import positive
 from topicspark.operators.models import Model, Params
+from topicspark.session import Workspace
 
 
 def topics_by_total(model: Model) -> DataFrame:
@@ -65,6 +66,29 @@ def topic_terms_report(model: Model, vocab: DataFrame, decimals: int = 2, probs:
     return joined.select("topic", F.concat(F.col("topic").cast("string"), F.lit(" "), F.coalesce("terms", F.lit(""))).alias("value"))
 
 
+def topic_terms_records(model: Model, vocab: DataFrame, decimals: int = 2, probs: bool = False) -> DataFrame:
+    """(topic, rank, value): the pieces of the same text, in the order of topic and rank, to be joined by blanks.
+
+    A piece is one `term:value`. The last one of a topic also holds the line's end and the heads of the lines that follow;
+    the first piece of all, of rank -1, holds the heads before the first pair. Only a list of the topics is collected.
+    """
+    table = topic_terms_table(model, vocab, probs)
+    space = Workspace(vocab.sparkSession)
+    table = space.store(table, "terms")
+    counts = {r["topic"]: r["n"] for r in table.groupBy("topic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    heads, at = {-1: []}, -1
+    for topic in range(model.params.num_topics):
+        heads[at].append(str(topic))
+        if topic in counts:
+            heads[topic], at = [], topic
+    tails = [(t, counts[t] - 1, "".join(f"\n{h} " for h in heads[t])[: -1 if heads[t] else None]) for t in counts]
+    spark = vocab.sparkSession
+    last = F.broadcast(spark.createDataFrame(tails, "topic int, rank bigint, tail string"))  # one row per topic
+    pair = F.concat(F.col("term"), F.format_string(f":%.{decimals}f", "value"), F.coalesce("tail", F.lit("")))
+    first = spark.createDataFrame([(-1, -1, " \n".join(heads[-1]))], "topic int, rank bigint, value string")
+    return table.join(last, ["topic", "rank"], "left").select("topic", "rank", pair.alias("value")).union(first)
+
+
 def top_topics(dist: DataFrame, n: int) -> DataFrame:
     """(doc_id, rank, topic, prob): the n most probable topics of each document; ties by topic."""
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("prob"), "topic"))

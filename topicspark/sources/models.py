@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from topicspark.operators.corpus import vocabulary_lookup
 from topicspark.operators.models import PARAMS_SCHEMA, Model, Params
-from topicspark.operators.report import model_dir, topic_terms_report, topic_totals_report
+from topicspark.operators.report import model_dir, topic_terms_records, topic_totals_report
 from topicspark.sources.sinks import write_text
+from topicspark.sources.text import long_line_pairs
 
 # Names of the files of a model in text form
 TOTALS_FILE = "TopicCounters.txt"
@@ -42,14 +43,15 @@ def _in_range(topic: Column, num_topics: int) -> Column:
 
 
 def restore_term_topic(spark: SparkSession, path: str, vocab: DataFrame, num_topics: int) -> DataFrame:
-    """(term_id, topic, cnt) from lines `topic term:count ...`, the terms looked up in today's vocabulary."""
-    tokens = F.split("value", " ")
-    pairs = spark.read.text(path).select(
-        _in_range(tokens[0].cast("int"), num_topics).alias("topic"),
-        F.explode(F.filter(F.slice(tokens, 2, F.size(tokens)), lambda t: t != "")).alias("pair"),
-    )
+    """(term_id, topic, cnt) from lines `topic term:count ...`, the terms looked up in today's vocabulary.
+
+    A line of any length is read by as many tasks as it has splits.
+    """
+    pairs = long_line_pairs(spark, path)
     fields = F.split("pair", ":")
-    counts = pairs.select("topic", fields[0].alias("term"), fields[1].cast("double").alias("cnt"))
+    counts = pairs.select(
+        _in_range(F.col("head").cast("int"), num_topics).alias("topic"), fields[0].alias("term"), fields[1].cast("double").alias("cnt")
+    )
     return vocabulary_lookup(counts, vocab).filter("cnt > 0").select("term_id", "topic", "cnt")
 
 
@@ -62,6 +64,18 @@ def load_text_model(spark: SparkSession, path: str, vocab: DataFrame, num_topics
     )
 
 
+def write_topic_terms(
+    model: Model, vocab: DataFrame, path: str, decimals: int = 2, probs: bool = False, single_file: bool = False
+) -> None:
+    """Write the lines `topic term:value ...`, largest value first, without a row per line.
+
+    The files one after another, in the order of their names, are the text; a long line goes on from one file to the next.
+    Tasks write their range of the sorted pairs as they come; a single file is written by one task that holds no line.
+    """
+    records = topic_terms_records(model, vocab, decimals, probs).sort("topic", "rank").select("value")
+    (records.coalesce(1) if single_file else records).write.mode("overwrite").option("lineSep", " ").text(path)
+
+
 def save_model(model: Model, vocab: DataFrame, path: str, reports: bool = True, single_file: bool = False) -> str:
     """Write the tables, and with `reports` the text form beside them. Returns the folder."""
     folder = f"{path.rstrip('/')}/{model_dir(model.params)}"
@@ -73,10 +87,8 @@ def save_model(model: Model, vocab: DataFrame, path: str, reports: bool = True,
     spark.createDataFrame([tuple(model.params)], PARAMS_SCHEMA).write.mode("overwrite").parquet(f"{folder}/params")
     if reports:
         write_text(topic_totals_report(model).select("value"), f"{folder}/{TOTALS_FILE}", single_file)
-        write_text(topic_terms_report(model, vocab, 2).select("value"), f"{folder}/{COUNTS_FILE}", single_file)
-        write_text(
-            topic_terms_report(model, vocab, 8, probs=True).select("value"), f"{folder}/{PROBS_FILE}", single_file
-        )
+        write_topic_terms(model, vocab, f"{folder}/{COUNTS_FILE}", 2, single_file=single_file)
+        write_topic_terms(model, vocab, f"{folder}/{PROBS_FILE}", 8, probs=True, single_file=single_file)
     return folder
 
 
