@@ -16,5 +16,5 @@ def test_query_matches_sql(spark, name):
     assert difference(spark, database(FOLDER), FOLDER, QUERIES[name], ORACLES[name]) is None
 
 
-def test_there_are_ten():
-    assert [int(n.split("_")[0][2:]) for n in QUERIES] == list(range(1, 11))
+def test_there_are_thirteen():
+    assert [int(n.split("_")[0][2:]) for n in QUERIES] == list(range(1, 14))

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicspark.llm import bpe, chat, decontaminate, exact_dedup, langid, line_dedup, near_dedup, quality, token_files, urls
+from topicspark.llm import (
+    bpe, chat, decontaminate, exact_dedup, langid, line_dedup, near_dedup, pii, quality, spelling, token_files, urls, whitening,
+)
 from topicspark.llm.common import fresh_path, in_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +114,22 @@ def op10_quality(spark, folder):
     docs = table(spark, folder, "documents")
     found = quality.score(docs, quality.fit(docs, table(spark, folder, "labels")))
     return found.withColumn("held_out", in_fold(F.col("doc_id"), 3, 1))
+
+
+@query
+def op11_spelling(spark, folder):
+    """word, form, root, n, n_near, form_n of every word of the whole texts."""
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
+@query
+def op12_whitening(spark, folder):
+    """vec_id, component, n, deviation, whitened, explained, identity_error of every embedding that has one."""
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_pii(spark, folder):
+    """doc_id, numbers of base spans by kind, base_sha256 and all spans of every document."""
+    docs = table(spark, folder, "documents")
+    return pii.report(docs, pii.fit(docs))
