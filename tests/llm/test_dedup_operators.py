@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from topicspark.llm import components, exact_dedup, line_dedup, near_dedup, shingles
-from topicspark.llm.common import fresh_path
+from topicspark.llm.common import ascii_lower_word, fresh_path
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -200,7 +200,7 @@ def test_components(spark):
 # lines
 
 
-def brute_lines(rows, size=5, percent=80):
+def brute_lines(rows, size=1, percent=80):
     """(doc_id, place) of lines that go, for rows of distinct ids."""
     lines = []
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
@@ -240,15 +240,52 @@ def test_lines_are_brute_force(docs, monkeypatch):
     assert {r["doc_id"]: r["n_lines"] for r in got}[203] == 151 and {r["doc_id"]: r["n_lines"] for r in got}[200] == 0
 
 
-def test_lines_by_words_are_brute_force(docs, monkeypatch):
-    """With single words as tokens a short line with one changed word goes too."""
+def test_lines_by_runs_are_brute_force(docs, monkeypatch):
+    """With runs of five words as tokens a short line with one changed word stays."""
     monkeypatch.setattr(line_dedup, "HOT_LEAST", 20)
+    monkeypatch.setattr(line_dedup, "WANTED", 3)
     base = [f"w{i}" for i in range(27)]
     rows = near_lines(3) + [(300, " ".join(base)), (301, " ".join([*base[:13], "other", *base[14:]]))]
-    want = brute_lines(rows, size=1)
-    got = line_dedup.line_report(docs(rows).repartition(3), size=1).collect()
+    want = brute_lines(rows, size=5)
+    got = line_dedup.line_report(docs(rows).repartition(3), size=5).collect()
     assert {(r["doc_id"], k) for r in got for k in r["removed"]} == want
-    assert (301, 0) in want and (301, 0) not in brute_lines(rows) and len(want) > len(brute_lines(rows))
+    assert (301, 0) not in want and (301, 0) in brute_lines(rows) and len(want) < len(brute_lines(rows))
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_lines_of_all_sizes_are_brute_force(docs, percent):
+    """Sizes around the borders of the size classes, similarities around the threshold, frequent words everywhere."""
+    rng = random.Random(percent)
+    rows = []
+    for d in range(60):
+        base = [f"w{rng.randrange(60)}" for _ in range(rng.choice((1, 2, 4, 5, 9, 10, 11, 25, 26, 60)))]
+        text = []
+        for _ in range(5):
+            w = [x if rng.random() > 0.08 else f"v{rng.randrange(30)}" for x in base if rng.random() > 0.06]
+            rng.shuffle(w)
+            text.append(" ".join(w))
+        rows.append((d, "\n".join(text)))
+    rows += [(300, "É a b c d"), (301, "é a b c d"), (302, "É A b c D"), (303, "ⅷ a b c d e f"), (304, "Ⅷ a b c d e f")]
+    got = line_dedup.line_report(docs(rows), percent=percent).collect()
+    want = brute_lines(rows, percent=percent)
+    assert {(r["doc_id"], k) for r in got for k in r["removed"]} == want and len(want) > 50
+
+
+def test_columns_of_any_name_come_back(spark):
+    """Names that the operator used itself once."""
+    given = spark.createDataFrame(
+        [(1, "a b c\nd", 5, "x", 1), (2, "A b c\ne", 6, "y", 2)], "doc_id bigint, text string, _row bigint, _removed string, m1 int"
+    )
+    got = {tuple(r) for r in line_dedup.without_similar_lines(given).collect()}
+    assert got == {(1, "a b c\nd", 5, "x", 1), (2, "e", 6, "y", 2)}
+
+
+def test_lower_casing_is_of_a_to_z_only(spark):
+    """Every character, alone and beside a capital letter."""
+    chars = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = [c + "Q" for c in chars if c.lower() != c or c.upper() != c or ord(c) % 97 == 0] + ["".join(chars[i : i + 500]) for i in range(0, 0x3000, 500)] + ["ΑΣ", "AΣ ", "İI", None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", ascii_lower_word(F.col("t")).alias("low")).collect()
+    assert all(r["low"] == (None if r["t"] is None else r["t"].translate(LOW)) for r in rows)
 
 
 def test_texts_without_similar_lines(docs, odd, nothing):

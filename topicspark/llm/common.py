@@ -30,6 +30,11 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
+def ascii_lower_word(word: Column) -> Column:
+    """The same for short texts most of which have no capital: those are told by `lower`, which is much faster."""
+    return F.when(F.lower(word) == word, word).otherwise(ascii_lower(word))
+
+
 def in_fold(doc_id: Column, mod: int, rest: int) -> Column:
     """crc32 of the id as text, modulo `mod`, is `rest`; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == rest, F.lit(False))

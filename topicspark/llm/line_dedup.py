@@ -1,156 +1,219 @@
 """Near-duplicate lines, by an exact set-similarity join in DataFrame expressions only.
 
 The lines of a text stand between newlines. A line's words stand between spaces, after lower-casing A-Z; its tokens are
-the distinct runs of `SHINGLE` consecutive words, or all its words as one token if they are fewer. Of two lines whose
-token sets have a Jaccard similarity of at least `percent` the later one goes; lines are ordered by doc_id (null first),
-row and place in the text. So a line stays if no earlier line is similar to it. Lines without words always stay.
-
-1. Lines of the same words are told by their hash; all but the first go. From here on they are one line.
-2. A count over all tokens, in hashed bins, gives their rarity: one order of all tokens, the rarest first. It is a table
-   of fixed size that each task holds.
-3. Prefix filter: two similar lines share a token among the first n - ceil(n * percent / 100) + 1 of each. These go
-   to the place of their token; a window there leaves the tokens that more than one line has.
-4. Length and positional filter, and then the sets themselves: first against the first line of each token only, which
-   settles most lines; the rest by a semi join on the token, which looks for an earlier similar line and stops at the
-   first it finds. So no pairs are put out, however many lines are alike.
-
-Lines seen in over 1 / HOT_SHARE of all places are at most HOT_SHARE many; only for these the copies are left out
-before step 3 by a broadcast of that bounded size, so that no token's place gets the copies of a hot line.
+its distinct words, or with `size` above 1 its distinct runs of so many words (all its words as one token if they are
+fewer). Of two lines whose token sets have a Jaccard similarity of at least `percent` the later one goes; lines are
+ordered by doc_id (null first), row and place in the text. So a line stays if no earlier line is similar to it. Lines
+without words always stay.
+
+1. Equal lines are told by 128 bits; all but the first go. From here on they are one line.
+2. A count over all words, in hashed bins, gives the tokens' rarity: one order of all tokens, the rarest first. It is a
+   table of fixed size that each task holds.
+3. Prefix and length filter: two similar lines share a token among the first few of each, by that order, and their sizes
+   are of one class or of neighbouring ones. Each line's first tokens go to the place of token and size class.
+4. There a semi join keeps the rows that have any partner within the length filter, the positional filter (so many tokens
+   as they need to share must be left from the shared one on) and the parity filter (the parities of the tokens' counts
+   in 64 hashed bins differ in at most as many bins as the lines may differ in tokens). It stops at the first partner it
+   finds and puts out no pairs. All that follows is on what is left, which is little more than the similar lines.
+5. Verification, on the words themselves: first with the earliest line at each place, which settles most lines; then what
+   is unsettled with all earlier lines of its places.
+
+Hot lines: those seen in over 1 / HOT_SHARE of all places are at most HOT_SHARE many; only for these the copies are left
+out before step 3 by a broadcast of that bounded size. The words of lines to be verified are fetched by a broadcast of
+their hashes up to WANTED of them, beyond that by a join.
 
 A null text stays null and an empty one empty. Rows of the same doc_id and text are one document, and are treated
-alike. A text whose lines all go becomes empty. Tokens are hashes of 48 bits, lines of 64.
+alike. A text whose lines all go becomes empty. Very long lines are sets like others. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicspark.llm.common import ascii_lower, stored
+from topicspark.llm.common import ascii_lower_word, stored
 
-SHINGLE, PERCENT = 5, 80
-BINS, CLASSES = 1 << 14, 128
+SIZE, PERCENT = 1, 80
+BINS, CLASSES = 1 << 17, 128
 HOT_SHARE, HOT_LEAST = 10_000, 100
+WANTED = 500_000
+ROW = ("r1", "r2")
+LINE = ("m1", "m2")
 
 
 def words_of(line: Column) -> Column:
-    return F.array_remove(F.split(ascii_lower(line), " "), "")
+    """The words as they stand; those who compare them lower-case them."""
+    return F.array_remove(F.split(line, " "), "")
+
+
+def lowered(words: Column) -> Column:
+    return F.transform(words, ascii_lower_word)
 
 
-def tokens_of(words: Column, size: int) -> Column:
-    """Hashes of 48 bits of the runs of `size` words; of all words if they are fewer."""
+def runs_of(words: Column, size: int) -> Column:
+    """The runs of `size` words, joined by blanks; all words as one run if they are fewer."""
     n = F.size(words)
-    run = lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(size)))
-    cut = lambda h: F.shiftrightunsigned(h, 16)
-    runs = F.transform(F.sequence(F.lit(0), n - size), lambda i: cut(run(i)))
-    return F.when(n >= size, runs).when(n > 0, F.array(cut(F.xxhash64(n, words))))
+    runs = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.array_join(F.slice(words, i + 1, size), " "))
+    return F.when(n >= size, runs).when(n > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
 
 
-def row_key(docs: DataFrame) -> Column:
-    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+def with_row(docs: DataFrame, *names: str) -> DataFrame:
+    """With two hashes of 64 bits that tell a document by its doc_id and text."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.withColumns({names[0]: F.xxhash64("doc_id", text), names[1]: F.xxhash64(F.lit(1), text, F.col("doc_id"))})
 
 
 def place(*prefix: str) -> Column:
-    return F.struct(*(F.col(".".join([*prefix, c])).alias(c) for c in ("doc_id", "row", "line_no")))
+    return F.struct(*(F.col(".".join([*prefix, c])).alias(c) for c in ("doc_id", *ROW, "line_no")))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, line_no, line) of every line that has a word."""
-    rows = docs.select("doc_id", row_key(docs).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return lines.where(F.trim(F.col("line")) != "")
+    """(doc_id, r1, r2, line_no, line, m1, m2) of every line that has a word; m1 and m2 tell lines, to the letter."""
+    rows = with_row(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), *ROW)
+    lines = rows.select("doc_id", *ROW, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    lines = lines.where(F.trim("line") != "")
+    return lines.withColumns({"m1": F.xxhash64("line"), "m2": F.xxhash64(F.lit(1), "line")})
+
+
+def token(word: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(word), 8)  # room for the rank
 
 
-def rarity(lines: DataFrame, size: int) -> Column:
+def rarity(docs: DataFrame, lines: DataFrame, size: int) -> Column:
     """One byte per bin of tokens: its class by the tokens counted in it, 0 the rarest. A literal of fixed length."""
-    spark = lines.sparkSession
-    words = lines.select(words_of(F.col("line")).alias("words"))
-    token = words.select(F.explode(tokens_of(F.col("words"), size)).alias("t"))
-    counted = token.groupBy((F.col("t") % BINS).alias("bin")).agg(F.count("*").alias("n"))
-    whole = counted.union(spark.range(BINS).select(F.col("id").alias("bin"), F.lit(0).alias("n")))
+    spark = docs.sparkSession
+    if size == 1:  # the words of a whole text at once
+        text = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" "))
+        words = docs.select(F.explode(F.split(text, " ")).alias("w")).where("w != ''").select(ascii_lower_word(F.col("w")).alias("w"))
+    else:
+        words = lines.select(lowered(words_of(F.col("line"))).alias("_words")).select(F.explode(runs_of(F.col("_words"), size)).alias("w"))
+    counted = words.groupBy((token(F.col("w")) % BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    whole = counted.union(spark.range(BINS).select(F.col("id").alias("bin"), F.lit(0).cast("long").alias("n")))
     sums = whole.groupBy("bin").agg(F.sum("n").alias("n"))
     ranks = sums.select("bin", (F.ntile(CLASSES).over(Window.orderBy("n", "bin")) - 1).alias("rank"))  # BINS rows
     return F.lit(bytes(r["rank"] for r in ranks.orderBy("bin").collect()))
 
 
-def ordered_tokens(words: Column, size: int, ranks: Column) -> Column:
-    """The distinct tokens, the rarest first, each with its rank in the high bits."""
+def ordered_tokens(tokens: Column, ranks: Column) -> Column:
+    """Distinct tokens, the rarest first: each with its rank in the high bits."""
+
     def ranked(t: Column) -> Column:
-        at = (t % BINS + 1).cast("int")
-        return F.shiftleft(F.ascii(F.substring(ranks, at, F.lit(1)).cast("string")).cast("long"), 48).bitwiseOR(t)
+        rank = F.ascii(F.substring(ranks, (t % BINS + 1).cast("int"), F.lit(1)).cast("string"))
+        return F.shiftleft(rank.cast("long"), 56).bitwiseOR(t)
+
+    return F.sort_array(F.transform(tokens, ranked))
+
+
+def _bit(t: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (F.shiftright(t, 20) % 64).cast("int"))
+
 
-    return F.sort_array(F.transform(F.array_distinct(tokens_of(words, size)), ranked))
+def prefixes(lines: DataFrame, size: int, percent: int, ranks: Column) -> DataFrame:
+    """(key, m1, meta, bits) of the first tokens of each line, by token and size class.
 
+    kind 0: at the line's own class, so many tokens as a partner of any size may need. kind 1: at the class above, for
+    larger partners only. meta holds size, place of the token and kind. Keys are hashes: more may meet there, none is lost.
+    """
+    width = math.log(104 / percent)  # sizes of similar lines are at most one class apart, whatever the rounding
 
-def similar_lines(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(row, line_no) of the lines that go."""
+    def need(n: Column, m: Column) -> Column:
+        return F.ceil((n + m) * percent / (100 + percent)).cast("int")
+
+    if size == 1:
+        plain = F.array_distinct(F.transform(words_of(F.col("line")), lambda w: token(ascii_lower_word(w))))
+    else:
+        lines = lines.withColumn("words", lowered(words_of(F.col("line"))))
+        plain = F.array_distinct(F.transform(runs_of(F.col("words"), size), token))
+    sets = lines.select("m1", plain.alias("plain"))
+    parity = F.aggregate("plain", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(_bit(t)))
+    sets = sets.select("m1", ordered_tokens(F.col("plain"), ranks).alias("tokens"), F.size("plain").alias("n"), parity.alias("bits"))
+    n = F.col("n")
+    sets = sets.withColumn("class", F.floor(F.log(n.cast("double")) / width).cast("int"))
+    above = F.greatest(F.floor(F.exp((F.col("class") + 1) * width) - 0.001).cast("int"), n)  # no partner there is smaller
+    own = n - F.ceil(n * percent / 100).cast("int") + 1
+    beyond = F.when(100 * n >= percent * above, F.greatest(n - need(n, above) + 1, F.lit(0))).otherwise(0)
+    sets = sets.withColumns({"own": own, "beyond": beyond})
+
+    def spots(length: str, kind: int) -> Column:
+        def one(t: Column, i: Column) -> Column:
+            meta = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(i.cast("long"), 1)).bitwiseOR(F.lit(kind).cast("long"))
+            return F.struct(F.xxhash64(t, F.col("class") + kind).alias("key"), meta.alias("meta"))
+
+        return F.transform(F.slice("tokens", F.lit(1), F.col(length)), one)
+
+    spotted = sets.select("m1", "bits", F.explode(F.concat(spots("own", 0), spots("beyond", 1))).alias("s"))
+    return spotted.select("s.key", "m1", "s.meta", "bits")
+
+
+def partners(percent: int) -> Column:
+    """Whether rows x and y at one key may be similar lines: length, position and parity."""
+    part = {}
+    for side in ("x", "y"):
+        meta = F.col(f"{side}.meta")
+        part[side] = F.shiftright(meta, 32), F.shiftright(meta, 1).bitwiseAND(F.lit(0x7FFFFFFF)), meta.bitwiseAND(F.lit(1))
+    (nx, ix, kx), (ny, iy, ky) = part["x"], part["y"]
+    need = F.ceil((nx + ny) * percent / (100 + percent))
+    fits = (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (F.least(nx - ix, ny - iy) >= need)
+    apart = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= nx + ny - 2 * need
+    return (F.col("x.key") == F.col("y.key")) & (F.col("x.m1") != F.col("y.m1")) & (kx + ky < 2) & fits & apart
+
+
+def similar_lines(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """(r1, r2, line_no) of the lines that go."""
     lines = lines_of(docs)
-    marks = stored(lines.select("doc_id", "row", "line_no", F.xxhash64(words_of(F.col("line"))).alias("mark")), "lines")
+    marks = stored(lines.select("doc_id", *ROW, "line_no", *LINE), "lines")
     total = marks.count()
-    firsts = marks.groupBy("mark").agg(F.min(place()).alias("first"), F.count("*").alias("n"))
-    copied = stored(firsts.where("n > 1"), "copied")
-    copies = marks.join(copied, "mark").where(place() > F.col("first")).select("row", "line_no")
-
-    hot = copied.where((F.col("n") >= HOT_LEAST) & (F.col("n") * HOT_SHARE >= total))
-    hot = F.broadcast(hot.select("mark", "first"))  # at most HOT_SHARE rows
-    ranks = rarity(lines, size)
-    worded = lines.select("doc_id", "row", "line_no", words_of(F.col("line")).alias("words"))
-    worded = worded.withColumn("mark", F.xxhash64("words")).join(hot, "mark", "left")
-    worded = worded.where(F.col("first").isNull() | (place() == F.col("first")))
-    sets = worded.select("mark", ordered_tokens(F.col("words"), size, ranks).alias("tokens")).withColumn("n", F.size("tokens"))
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    prefix = sets.select("mark", "n", F.posexplode(F.slice("tokens", F.lit(1), length)).alias("at", "token"))
-    here = Window.partitionBy("token")
-    seen = prefix.select("token", "mark", "n", "at", F.min("mark").over(here).alias("low"), F.max("mark").over(here).alias("high"))
-    shared = stored(seen.where("low != high").select("token", "mark", "n", "at").distinct(), "shared")
-
-    # the sets of the lines that share a token, from one place each
-    wanted = shared.select("mark").distinct()
-    one = stored(
-        marks.join(wanted, "mark", "left_semi").groupBy("mark").agg(F.min(place()).alias("first")).select("mark", "first"), "firsts"
-    )
-    spots = one.select("mark", "first", F.col("first.row").alias("row"), F.col("first.line_no").alias("line_no"))
-    picked = lines.select("row", "line_no", "line").join(spots, ["row", "line_no"])
-    # the words as a column of their own: inside the tokens' function they would be split again for each token
-    picked = picked.select("mark", "first", words_of(F.col("line")).alias("words"))
-    held = picked.select("mark", "first", ordered_tokens(F.col("words"), size, ranks).alias("tokens"))
-    held = stored(held.dropDuplicates(["mark"]), "sets")
-
-    sets = held.select("mark", "tokens")
-    placed = shared.join(held.select("mark", "first"), "mark")
-    x = placed.alias("x")
-    nx, ny = F.col("x.n"), F.col("y.n")
-    fits = 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
-    need = F.ceil((nx + ny) * percent / (100 + percent))
-    reach = 1 + F.least(nx - F.col("x.at") - 1, ny - F.col("y.at") - 1) + F.least("x.at", "y.at")
-    both = F.size(F.array_intersect("x_tokens", "y_tokens"))
-    same = 100 * both >= percent * (nx + ny - both)
-    earlier = F.col("y.first") < F.col("x.first")
-    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.mark") != F.col("y.mark")) & earlier & fits & (reach >= need)
-
-    # most lines resemble the first line that has one of their tokens: one candidate per line and token
-    leader = placed.groupBy("token").agg(F.min(F.struct("first", "mark", "n", "at")).alias("y")).select("token", "y.*")
-    leader = stored(leader, "leaders").alias("y")
-    tried = x.join(leader, on).select(F.col("x.mark").alias("mark"), F.col("y.mark").alias("other"), nx.alias("n"), ny.alias("m")).distinct()
-    tried = tried.join(sets.withColumnRenamed("tokens", "x_tokens"), "mark")
-    tried = tried.join(sets.select(F.col("mark").alias("other"), F.col("tokens").alias("y_tokens")), "other")
-    easy = stored(tried.where(100 * both >= percent * (F.col("n") + F.col("m") - both)).select("mark").distinct(), "easy")
-
-    # the rest against all earlier lines: first whether any fits, then with the sets themselves
-    left = stored(placed.join(easy, "mark", "left_anti"), "left")
-    left = stored(left.alias("x").join(placed.alias("y"), on, "left_semi"), "fitting")
-    right = placed.join(left.select("token").distinct(), "token", "left_semi")
-    x = left.join(sets.withColumnRenamed("tokens", "x_tokens"), "mark").alias("x")
-    y = right.join(sets.withColumnRenamed("tokens", "y_tokens"), "mark").alias("y")
-    near = x.join(y, on & same, "left_semi").select("mark").distinct()
-    near = stored(near.union(easy), "near")
-    return copies.union(marks.join(near, "mark", "left_semi").select("row", "line_no")).distinct()
-
-
-def removed_lines(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(row, removed): the places, from 0, of the lines that go, for each row key of which some line goes."""
+    copied = marks.groupBy(*LINE).agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copied = stored(copied, "copied")
+    copies = marks.join(copied, list(LINE)).where(place() > F.col("first")).select(*ROW, "line_no")
+    hot = copied.where((F.col("n") >= HOT_LEAST) & (F.col("n") * HOT_SHARE >= total)).select(*LINE, "first")
+
+    ranks = rarity(docs, lines, size)
+    once = lines.join(F.broadcast(hot), list(LINE), "left")  # at most HOT_SHARE rows
+    once = once.where(F.col("first").isNull() | (place() == F.col("first")))
+    first = prefixes(once, size, percent, ranks)
+    met = stored(first.alias("x").join(first.alias("y"), partners(percent), "left_semi").distinct(), "met")
+    sets = _sets(marks, lines, met.select("m1").distinct(), size)
+    order = sets.groupBy("m1").agg(F.coalesce(F.min("first.doc_id"), F.lit(-(2**63))).alias("doc"))
+    met = stored(met.join(order, "m1"), "ordered")
+
+    # the earliest line at each place, then all earlier ones for the lines that it leaves unsettled
+    lead = met.groupBy("key").agg(F.min(F.struct("doc", "m1", "meta", "bits")).alias("y")).select("key", "y.*")
+    earlier = F.col("y.doc") <= F.col("x.doc")
+    pair = [F.col("x.m1").alias("x"), F.col("y.m1").alias("y")]
+    tried = stored(met.alias("x").join(lead.alias("y"), partners(percent) & earlier).select(*pair).distinct(), "tried")
+    easy = stored(_verified(sets, tried, percent), "easy")
+    left = met.join(easy.select("m1"), "m1", "left_anti")
+    rest = left.alias("x").join(met.alias("y"), partners(percent) & earlier).select(*pair).distinct()
+    near = stored(easy.union(_verified(sets, rest.join(tried, ["x", "y"], "left_anti"), percent)).distinct(), "near")
+    return copies.union(marks.join(near, list(LINE), "left_semi").select(*ROW, "line_no")).distinct()
+
+
+def _sets(marks: DataFrame, lines: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(m1, m2, first, words) of the lines of these m1: where each is first, and its distinct tokens."""
+    wanted = stored(wanted, "wanted")
+    asked = F.broadcast(wanted) if wanted.count() <= WANTED else wanted
+    firsts = marks.join(asked, "m1", "left_semi").groupBy(*LINE).agg(F.min(place()).alias("first"))
+    found = lines.join(asked, "m1", "left_semi").select(*LINE, "line").dropDuplicates(list(LINE))
+    found = found.join(firsts, list(LINE)).select(*LINE, "first", lowered(words_of(F.col("line"))).alias("words"))
+    return stored(found.withColumn("words", F.array_distinct("words" if size == 1 else runs_of(F.col("words"), size))), "sets")
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(m1, m2) of the lines x that are similar to the line y of a pair (x, y) and later."""
+    joined = pairs.join(sets.alias("a"), F.col("x") == F.col("a.m1")).join(sets.alias("b"), F.col("y") == F.col("b.m1"))
+    both = F.size(F.array_intersect("a.words", "b.words"))
+    same = 100 * both >= percent * (F.size("a.words") + F.size("b.words") - both)
+    return joined.where((F.col("b.first") < F.col("a.first")) & same).select("a.m1", "a.m2").distinct()
+
+
+def removed_lines(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """(r1, r2, removed): the places, from 0, of the lines that go, for each document of which some line goes."""
     gone = similar_lines(docs, size, percent)
-    return stored(gone.groupBy("row").agg(F.sort_array(F.collect_list("line_no")).alias("removed")), "removed")
+    return stored(gone.groupBy(*ROW).agg(F.sort_array(F.collect_list("line_no")).alias("removed")), "removed")
 
 
 def line_report(docs: DataFrame, **options) -> DataFrame:
@@ -158,19 +221,20 @@ def line_report(docs: DataFrame, **options) -> DataFrame:
     gone = removed_lines(docs, **options)
     # the number of newlines plus one, without the text's lines as an array
     n = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
-    rows = docs.select("doc_id", row_key(docs).alias("row"), n.cast("long").alias("n_lines")).join(gone, "row", "left")
+    rows = with_row(docs.select("doc_id", "text"), *ROW).select("doc_id", *ROW, n.cast("long").alias("n_lines")).join(gone, list(ROW), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return rows.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def without_similar_lines(docs: DataFrame, **options) -> DataFrame:
     """The rows with all their columns; text without the lines that go, n_chars (if there is one) its length."""
-    gone = removed_lines(docs, **options).select(F.col("row").alias("_row"), F.col("removed").alias("_removed"))
-    rows = docs.withColumn("_row", row_key(docs)).join(gone, "_row", "left")
-    lines = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("_removed", i))
-    changed = {"text": F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))}
-    rows = rows.withColumns(changed)
+    own = [f"_{uuid.uuid4().hex}" for _ in range(3)]  # no column of the rows has these names
+    gone = removed_lines(docs, **options).toDF(*own)
+    rows = with_row(docs, *own[:2]).join(gone, own[:2], "left")
+    removed = F.col(own[2])
+    lines = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(removed, i))
+    rows = rows.withColumn("text", F.when(removed.isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")))
     if "n_chars" in docs.columns:
-        count = F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+        count = F.when(removed.isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
         rows = rows.withColumn("n_chars", count)
     return rows.select(*docs.columns)

@@ -61,8 +61,7 @@ WITH lines AS (
     FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (
         SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
 firsts AS (SELECT w, min((doc_id, line_no)) AS first FROM lines WHERE len(w) > 0 GROUP BY w),
-tokens AS (SELECT DISTINCT first, array_to_string(w[i : least(i + 4, len(w))], ' ') AS token
-    FROM (SELECT first, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM firsts)),
+tokens AS (SELECT DISTINCT first, unnest(w) AS token FROM firsts),
 sized AS (SELECT *, count(*) OVER (PARTITION BY first) AS n FROM tokens),
 pairs AS (SELECT x.first AS first, y.first AS earlier FROM sized x JOIN sized y ON x.token = y.token AND y.first < x.first
     GROUP BY x.first, y.first, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
