@@ -271,6 +271,20 @@ def test_lines_of_all_sizes_are_brute_force(docs, percent):
     assert {(r["doc_id"], k) for r in got for k in r["removed"]} == want and len(want) > 50
 
 
+@pytest.mark.parametrize("percent", [60, 80])
+def test_the_longest_prefixes_are_looked_at(docs, percent):
+    """Of each size a line, and the same line with as many rarer words as the threshold allows: the shared ones come last."""
+    rows = []
+    for n in range(2, 90):
+        base = [f"s{n}w{i}" for i in range(n)]
+        more = n * 100 // percent - n
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base + [f"only{n}w{i}" for i in range(more)]))]
+    rows += [(1000 + i, " ".join(f"s{n}w{j}" for n in range(2, 90, 3) for j in range(0, n, 2))) for i in range(2)]
+    got = line_dedup.line_report(docs(rows), percent=percent).collect()
+    want = brute_lines(rows, percent=percent)
+    assert {(r["doc_id"], k) for r in got for k in r["removed"]} == want and len(want) == 89
+
+
 def test_columns_of_any_name_come_back(spark):
     """Names that the operator used itself once."""
     given = spark.createDataFrame(

@@ -83,7 +83,7 @@ def token(word: Column) -> Column:
 
 
 def rarity(docs: DataFrame, lines: DataFrame, size: int) -> Column:
-    """One byte per bin of tokens: its class by the tokens counted in it, 0 the rarest. A literal of fixed length."""
+    """For each bin of tokens its class by the tokens counted in it, 0 the rarest: an array of fixed length."""
     spark = docs.sparkSession
     if size == 1:  # the words of a whole text at once
         text = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" "))
@@ -94,17 +94,13 @@ def rarity(docs: DataFrame, lines: DataFrame, size: int) -> Column:
     whole = counted.union(spark.range(BINS).select(F.col("id").alias("bin"), F.lit(0).cast("long").alias("n")))
     sums = whole.groupBy("bin").agg(F.sum("n").alias("n"))
     ranks = sums.select("bin", (F.ntile(CLASSES).over(Window.orderBy("n", "bin")) - 1).alias("rank"))  # BINS rows
-    return F.lit(bytes(r["rank"] for r in ranks.orderBy("bin").collect()))
+    # a constant array, made from one short string
+    return F.split(F.lit(",".join(str(r["rank"]) for r in ranks.orderBy("bin").collect())), ",").cast("array<tinyint>")
 
 
 def ordered_tokens(tokens: Column, ranks: Column) -> Column:
     """Distinct tokens, the rarest first: each with its rank in the high bits."""
-
-    def ranked(t: Column) -> Column:
-        rank = F.ascii(F.substring(ranks, (t % BINS + 1).cast("int"), F.lit(1)).cast("string"))
-        return F.shiftleft(rank.cast("long"), 56).bitwiseOR(t)
-
-    return F.sort_array(F.transform(tokens, ranked))
+    return F.sort_array(F.transform(tokens, lambda t: F.shiftleft(F.get(ranks, (t % BINS).cast("int")).cast("long"), 56).bitwiseOR(t)))
 
 
 def _bit(t: Column) -> Column:
@@ -132,15 +128,16 @@ def prefixes(lines: DataFrame, size: int, percent: int, ranks: Column) -> DataFr
     sets = sets.select("m1", ordered_tokens(F.col("plain"), ranks).alias("tokens"), F.size("plain").alias("n"), parity.alias("bits"))
     n = F.col("n")
     sets = sets.withColumn("class", F.floor(F.log(n.cast("double")) / width).cast("int"))
-    above = F.greatest(F.floor(F.exp((F.col("class") + 1) * width) - 0.001).cast("int"), n)  # no partner there is smaller
+    bound = lambda c: F.floor(F.exp(c * width) - 0.001).cast("int")  # noqa: E731  no size of the class is smaller
+    above = F.greatest(bound(F.col("class") + 1), n)
     own = n - F.ceil(n * percent / 100).cast("int") + 1
     beyond = F.when(100 * n >= percent * above, F.greatest(n - need(n, above) + 1, F.lit(0))).otherwise(0)
-    sets = sets.withColumns({"own": own, "beyond": beyond})
+    sets = sets.withColumns({"own": own, "beyond": beyond, "head": F.shiftleft(n.cast("long"), 32)})
+    sets = sets.withColumns({f"salt{k}": F.xxhash64(F.col("class") + k) for k in (0, 1)})
 
     def spots(length: str, kind: int) -> Column:
         def one(t: Column, i: Column) -> Column:
-            meta = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(i.cast("long"), 1)).bitwiseOR(F.lit(kind).cast("long"))
-            return F.struct(F.xxhash64(t, F.col("class") + kind).alias("key"), meta.alias("meta"))
+            return F.struct(t.bitwiseXOR(F.col(f"salt{kind}")).alias("key"), (F.col("head") + (i * 2 + kind)).alias("meta"))
 
         return F.transform(F.slice("tokens", F.lit(1), F.col(length)), one)
 
@@ -184,7 +181,9 @@ def similar_lines(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
     lead = met.groupBy("key").agg(F.min(F.struct("doc", "m1", "meta", "bits")).alias("y")).select("key", "y.*")
     earlier = F.col("y.doc") <= F.col("x.doc")
     pair = [F.col("x.m1").alias("x"), F.col("y.m1").alias("y")]
-    tried = stored(met.alias("x").join(lead.alias("y"), partners(percent) & earlier).select(*pair).distinct(), "tried")
+    alike = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
+    first_tries = met.alias("x").join(lead.alias("y"), partners(percent) & earlier).select(*pair, F.struct(alike.alias("apart"), F.col("y.m1").alias("y")).alias("best"))
+    tried = stored(first_tries.groupBy("x").agg(F.min("best").alias("best")).select("x", "best.y"), "tried")
     easy = stored(_verified(sets, tried, percent), "easy")
     left = met.join(easy.select("m1"), "m1", "left_anti")
     rest = left.alias("x").join(met.alias("y"), partners(percent) & earlier).select(*pair).distinct()
@@ -193,21 +192,23 @@ def similar_lines(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
 
 
 def _sets(marks: DataFrame, lines: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(m1, m2, first, words) of the lines of these m1: where each is first, and its distinct tokens."""
+    """(m1, m2, first, words) of the lines of these m1: where each is first, and its distinct tokens, one below the other."""
     wanted = stored(wanted, "wanted")
     asked = F.broadcast(wanted) if wanted.count() <= WANTED else wanted
     firsts = marks.join(asked, "m1", "left_semi").groupBy(*LINE).agg(F.min(place()).alias("first"))
     found = lines.join(asked, "m1", "left_semi").select(*LINE, "line").dropDuplicates(list(LINE))
     found = found.join(firsts, list(LINE)).select(*LINE, "first", lowered(words_of(F.col("line"))).alias("words"))
-    return stored(found.withColumn("words", F.array_distinct("words" if size == 1 else runs_of(F.col("words"), size))), "sets")
+    tokens = F.array_distinct("words" if size == 1 else runs_of(F.col("words"), size))
+    return stored(found.withColumn("words", F.array_join(tokens, "\n")), "sets")
 
 
 def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """(m1, m2) of the lines x that are similar to the line y of a pair (x, y) and later."""
     joined = pairs.join(sets.alias("a"), F.col("x") == F.col("a.m1")).join(sets.alias("b"), F.col("y") == F.col("b.m1"))
-    both = F.size(F.array_intersect("a.words", "b.words"))
-    same = 100 * both >= percent * (F.size("a.words") + F.size("b.words") - both)
-    return joined.where((F.col("b.first") < F.col("a.first")) & same).select("a.m1", "a.m2").distinct()
+    joined = joined.where(F.col("b.first") < F.col("a.first"))
+    told = joined.select("a.m1", "a.m2", F.split("a.words", "\n").alias("p"), F.split("b.words", "\n").alias("q"))
+    told = told.select(*LINE, F.size("p").alias("n"), F.size("q").alias("m"), F.size(F.array_intersect("p", "q")).alias("both"))
+    return told.where(100 * F.col("both") >= percent * (F.col("n") + F.col("m") - F.col("both"))).select(*LINE).distinct()
 
 
 def removed_lines(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
