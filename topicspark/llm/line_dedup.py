@@ -18,9 +18,9 @@ without words always stay.
 5. Verification, on the words themselves: first with the earliest line at each place, which settles most lines; then what
    is unsettled with all earlier lines of its places.
 
-Hot lines: those seen in over 1 / HOT_SHARE of all places are at most HOT_SHARE many; only for these the copies are left
-out before step 3 by a broadcast of that bounded size. The words of lines to be verified are fetched by a broadcast of
-their hashes up to WANTED of them, beyond that by a join.
+Copies are left out before step 3 by a broadcast of the lines that have some, up to WANTED of them; if there are more, of
+the hot ones: those seen in over 1 / HOT_SHARE of all places, at most HOT_SHARE many. The words of lines to be verified
+are fetched by a broadcast of their hashes, up to WANTED of them, beyond that by a join.
 
 A null text stays null and an empty one empty. Rows of the same doc_id and text are one document, and are treated
 alike. A text whose lines all go becomes empty. Very long lines are sets like others. An empty table gives no rows.
@@ -165,11 +165,10 @@ def similar_lines(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
     total = marks.count()
     copied = marks.groupBy(*LINE).agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copied = stored(copied, "copied")
-    copies = marks.join(copied, list(LINE)).where(place() > F.col("first")).select(*ROW, "line_no")
-    hot = copied.where((F.col("n") >= HOT_LEAST) & (F.col("n") * HOT_SHARE >= total)).select(*LINE, "first")
+    hot = copied.where((F.col("n") >= HOT_LEAST) & (F.col("n") * HOT_SHARE >= total)) if copied.count() > WANTED else copied
 
     ranks = rarity(docs, lines, size)
-    once = lines.join(F.broadcast(hot), list(LINE), "left")  # at most HOT_SHARE rows
+    once = lines.join(F.broadcast(hot.select(*LINE, "first")), list(LINE), "left")  # at most WANTED rows
     once = once.where(F.col("first").isNull() | (place() == F.col("first")))
     first = prefixes(once, size, percent, ranks)
     met = stored(first.alias("x").join(first.alias("y"), partners(percent), "left_semi").distinct(), "met")
@@ -188,7 +187,10 @@ def similar_lines(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
     left = met.join(easy.select("m1"), "m1", "left_anti")
     rest = left.alias("x").join(met.alias("y"), partners(percent) & earlier).select(*pair).distinct()
     near = stored(easy.union(_verified(sets, rest.join(tried, ["x", "y"], "left_anti"), percent)).distinct(), "near")
-    return copies.union(marks.join(near, list(LINE), "left_semi").select(*ROW, "line_no")).distinct()
+    told = copied.select(*LINE, "first", F.lit(False).alias("near")).unionByName(near.select(*LINE, F.lit(True).alias("near")), True)
+    told = told.groupBy(*LINE).agg(F.max("first").alias("first"), F.max("near").alias("near"))
+    gone = marks.join(told, list(LINE)).where(F.col("near") | (place() > F.col("first")))
+    return gone.select(*ROW, "line_no").distinct()
 
 
 def _sets(marks: DataFrame, lines: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
