@@ -145,6 +145,42 @@ def test_deep_nodes_get_more_trees(monkeypatch, docs):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want and len({c for _, c in want.values()}) == 30
 
 
+def test_nodes_that_never_get_small_are_compared(monkeypatch, docs):
+    """At the last level outsiders are sent to all classes of their node, in parts."""
+    monkeypatch.setattr(near_dedup, "SMALL", 6)
+    monkeypatch.setattr(near_dedup, "PACKED", 2)
+    monkeypatch.setattr(near_dedup, "BEST_ROUNDS", 0)
+    monkeypatch.setattr(near_dedup, "LEADERS", 1)
+    rows = planted(4, groups=5, copies=16, words=90)
+    got = near_dedup.near_duplicates(docs(rows), 4, 80, max_depth=1).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_near(rows, 4, 80)
+
+
+def test_half_alike_texts_put_out_few_pairs(spark, docs, monkeypatch):
+    """Texts of one template just below the threshold: next to no pair passes, the links among them all do."""
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(420)]
+    rows = []
+    for i in range(120):
+        own = [f"t{i // 2 if i < 20 else i}x{j}" for j in range(60)]
+        own = own[: 55] + [f"z{i}y{j}" for j in range(5)] if i < 20 else own
+        rows.append((i, " ".join(common[:360] + own)))
+    want = brute_near(rows, 4, 80)
+    sets = [shingles.shingle_sets([t], 4)[0] for _, t in rows]
+    odd = np.array([np.frombuffer(shingles.parity(s), "<u8") for s in sets])
+    size = np.array([len(s) for s in sets])
+    passed = linked = 0
+    for i in range(120):
+        for j in range(i):
+            may = bool(shingles.may_reach(np.bitwise_count(odd[i] ^ odd[j]).sum(dtype=np.int64), size[i], size[j], 80))
+            is_link = shingles.enough(sets[i], sets[j], 80)
+            assert may or not is_link
+            passed, linked = passed + may, linked + is_link
+    assert linked <= passed <= linked + 70
+    got = near_dedup.near_duplicates(docs(rows), 4, 80).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_trees_for_a_depth():
     assert near_dedup.miss_chance(1, 0.8) == pytest.approx(0.16) and near_dedup.trees_for(1, 0.8, 1e-3) <= 4
     for depth in (5, 10, 20, 40):

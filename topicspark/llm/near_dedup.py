@@ -38,16 +38,16 @@ from pyspark.sql import functions as F
 
 from topicspark.llm.common import stored
 from topicspark.llm.components import components
-from topicspark.llm.shingles import COORDINATES, U, chunks, enough, minwise, mixed, set_key, shingle_sets
+from topicspark.llm.shingles import COORDINATES, U, chunks, enough, may_reach, minwise, mixed, parity, set_key, shingle_sets
 
 TREES, LEADERS, LEAST_ESTIMATE, SURE, MAX_DEPTH = 10, 4, 0.69, 0.84, 64
 BEST_ROUNDS, MISS = 2, 1e-3
 SMALL, WORK, PACKED = 4096, 1 << 22, 64  # classes of a small node, comparisons in it, outsiders sent around
-SETS = "doc_id long, n_shingles long, key binary, tokens binary"
+SETS = "doc_id long, n_shingles long, key binary, tokens binary, parity binary"
 
 
 def shingled(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, key, tokens) of each row; the tokens are 32-bit integers, key and tokens null for no words."""
+    """SETS of each row; the tokens are 32-bit integers; key, tokens and parity are null for no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,8 +57,9 @@ def shingled(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()),
-                     pa.array([minwise(s).tobytes() if len(s) else None for s in sets], pa.binary())],
-                    ["doc_id", "n_shingles", "key", "tokens"],
+                     pa.array([minwise(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                     pa.array([parity(s) if len(s) else None for s in sets], pa.binary())],
+                    ["doc_id", "n_shingles", "key", "tokens", "parity"],
                 )
                 at += len(texts)
 
@@ -135,13 +136,15 @@ def _pair_batch(left: list, right: list, likeness) -> pa.RecordBatch:
 
 
 def _with_some(rows: DataFrame, some: DataFrame, classes: DataFrame, least: float, percent: int) -> DataFrame:
-    """Alike pairs of each row's class with the few of its node in `some` (node, key, root); never inside a root.
+    """Alike pairs of each row's class with those of its node in `some` (node, key, root, out); never inside a root.
 
-    The few of a node lie in one row, which the join brings to each class of the node: a node of any size is spread.
+    The `out` of a node lie in rows of about PACKED, which the join brings to each class of the node: a node of any size is
+    spread, whatever the number of them.
     """
     entry = F.struct("key", "root", "n_shingles", "sketch")
-    packed = some.join(classes.select("key", "n_shingles", "sketch"), "key").groupBy("node").agg(F.collect_list(entry).alias("some"))
-    packed = stored(packed, "some")
+    part = F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("out") / PACKED)).alias("part")
+    packed = some.join(classes.select("key", "n_shingles", "sketch"), "key").groupBy("node", part).agg(F.collect_list(entry).alias("some"))
+    packed = stored(packed.drop("part"), "some")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,20 +172,21 @@ def _exhaustive(rows: DataFrame, least: float, percent: int, best: bool) -> Data
 
     `best`: only the most alike partner of each outsider.
     """
-    names = ["node", "key", "root", "top_root", "n_shingles", "sketch"]
+    names = ["node", "key", "root", "top_root", "n_shingles", "sketch", *(["parity"] if "parity" in rows.columns else [])]
 
     def found(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not table.num_rows:
             return
         keys, roots, tops = (table.column(c).to_pylist() for c in ("key", "root", "top_root"))
         size, sketch = table.column("n_shingles").to_numpy(), _matrix(table.column("sketch"), "u1")
+        odd = np.frombuffer(b"".join(table.column("parity").to_pylist()), "<u8").reshape(len(keys), -1) if "parity" in names else None
         left, right, likeness = [], [], []
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
-            names = {}
-            root = np.array([names.setdefault(r, len(names)) for r in roots[a:b]])
-            out = np.flatnonzero(root != names.get(tops[a], -1))
+            numbers = {}
+            root = np.array([numbers.setdefault(r, len(numbers)) for r in roots[a:b]])
+            out = np.flatnonzero(root != numbers.get(tops[a], -1))
             at = np.arange(b - a)
-            inside = root == names.get(tops[a], -1)
+            inside = root == numbers.get(tops[a], -1)
             if best:
                 for i in out.tolist():
                     j = np.flatnonzero((root != root[i]) & (100 * np.minimum(size[a + i], size[a:b]) >= percent * np.maximum(size[a + i], size[a:b])))
@@ -204,6 +208,9 @@ def _exhaustive(rows: DataFrame, least: float, percent: int, best: bool) -> Data
                     u, v = x[p[j : j + 65536]], q[j : j + 65536]
                     like = _likeness(sketch[a + u], sketch[a + v])
                     good = np.flatnonzero(like >= least)
+                    if odd is not None and len(good):
+                        differ = np.bitwise_count(odd[a + u[good]] ^ odd[a + v[good]]).sum(axis=1, dtype=np.int64)
+                        good = good[may_reach(differ, size[a + u[good]], size[a + v[good]], percent)]
                     left += [keys[a + k] for k in u[good]]
                     right += [keys[a + k] for k in v[good]]
                     likeness += like[good].tolist()
@@ -235,15 +242,19 @@ def _easy_pairs(nodes: DataFrame, classes: DataFrame, least: float, percent: int
     part = F.pmod(F.xxhash64("key", "node"), F.lit(LEADERS)).alias("part")
     sums = nodes.groupBy("node", part).agg(F.min("key").alias("key"), F.count("*").alias("n"))
     shared = F.sum("n").over(Window.partitionBy("node"))  # LEADERS rows per node
-    leaders = stored(sums.withColumn("all", shared).where(F.col("all") > 1).select("node", "key", F.col("key").alias("root")), "leaders")
+    leaders = stored(sums.withColumn("all", shared).where(F.col("all") > 1).select("node", "key", F.col("key").alias("root"), F.lit(LEADERS).alias("out")), "leaders")
     held = nodes.join(leaders.select("node").distinct(), "node", "left_semi").join(classes, "key")
     return stored(_distinct(_with_some(held.withColumn("root", F.col("key")), leaders, classes, least, percent)), "pairs")
 
 
-def _rest_pairs(nodes: DataFrame, classes: DataFrame, roots: DataFrame, least: float, percent: int, best: bool = False):
+def _rest_pairs(
+    nodes: DataFrame, classes: DataFrame, roots: DataFrame, least: float, percent: int, best: bool = False, parities: DataFrame | None = None,
+    last: bool = False,
+):
     """(alike pairs between roots, (node, key) of the nodes that branch on, whether there are any).
 
-    `best`: of the exhaustively compared nodes only, and there each outsider's most alike partner.
+    `best`: of the exhaustively compared nodes only, and there each outsider's most alike partner. Else pairs in such nodes
+    also pass the `parities` (key, parity), which leave little more than links. `last`: no node branches on; all are compared.
     """
     rooted = nodes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     rooted = stored(rooted, "rooted")
@@ -253,14 +264,15 @@ def _rest_pairs(nodes: DataFrame, classes: DataFrame, roots: DataFrame, least: f
         "node", "n", (F.col("n") - F.col("top.n")).alias("out"), F.col("top.root").alias("top_root")
     )
     small = (F.col("n") <= SMALL) & (F.col("n") * F.col("out") <= WORK)
-    way = F.when(small, 0).when(F.col("out") <= PACKED, 1).otherwise(2)
-    sums = stored(sums.select("node", "top_root", way.alias("way")), "sums")
+    way = F.when(small, 0).when((F.col("out") <= PACKED) | F.lit(last), 1).otherwise(2)
+    sums = stored(sums.select("node", "top_root", "out", way.alias("way")), "sums")
     rows = rooted.join(sums, "node").join(classes.select("key", "n_shingles", "sketch"), "key")
     rows = stored(rows, "rows")
-    pairs = _exhaustive(rows.where("way = 0"), least, percent, best)
+    near = rows.where("way = 0")
+    pairs = _exhaustive(near if best else near.join(parities, "key"), least, percent, best)
     if best:
         return stored(_distinct(pairs), "pairs"), None, False
-    few = rows.where("way = 1 AND root != top_root").select("node", "key", "root")
+    few = rows.where("way = 1 AND root != top_root").select("node", "key", "root", "out")
     pairs = pairs.unionByName(_with_some(rows.where("way = 1"), few, classes, least, percent))
     onward = rows.where("way = 2").select("node", "key")
     return stored(_distinct(pairs), "pairs"), onward, bool(onward.limit(1).count())
@@ -325,9 +337,9 @@ def linked_classes(
     similarity = percent / 100
     known = sets.where("key IS NOT NULL")
     named = stored(known.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "classes")
-    one = known.select("key", "n_shingles", "tokens").dropDuplicates(["key"])
+    one = known.select("key", "n_shingles", "tokens", "parity").dropDuplicates(["key"])
     classes = stored(_sketched(one), "tokens")
-    sketches = classes.select("key", "n_shingles", "sketch")
+    sketches, parities = classes.select("key", "n_shingles", "sketch"), classes.select("key", "parity")
     nodes = stored(_descend(classes.select("key", "tokens"), range(trees), similarity), "nodes")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -364,11 +376,9 @@ def linked_classes(
     while True:
         pool, depth, more = None, 1, True
         while more:
-            found, nodes, more = _rest_pairs(nodes, sketches, roots, least, percent)
+            found, nodes, more = _rest_pairs(nodes, sketches, roots, least, percent, parities=parities, last=depth >= max_depth)
             pool = found if pool is None else pool.union(found)
             if more:
-                if depth >= max_depth:
-                    raise RuntimeError(f"nodes of over {SMALL} classes remain after {max_depth} levels")
                 live = nodes.join(classes.select("key", "tokens"), "key").select("node", "key", "tokens")
                 nodes, depth = stored(_descend(live, None, similarity), "nodes"), depth + 1
                 if grown == trees and trees_for(depth, similarity, miss) > trees:  # classes too deep for these trees
@@ -396,7 +406,7 @@ def _sketched(one: DataFrame) -> DataFrame:
             low = np.ascontiguousarray(_matrix(batch.column("tokens"), "<u4").astype(np.uint8))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in low], pa.binary())], [*batch.schema.names, "sketch"])
 
-    return one.mapInArrow(run, "key binary, n_shingles long, tokens binary, sketch binary")
+    return one.mapInArrow(run, "key binary, n_shingles long, tokens binary, parity binary, sketch binary")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, **options) -> DataFrame:

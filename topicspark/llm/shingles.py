@@ -17,7 +17,7 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = U(0x9E3779B97F4A7C15)
 _BACK = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
-COORDINATES = 128
+COORDINATES, PARITIES = 128, 4096
 _A = _RNG.integers(0, 1 << 32, COORDINATES, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)
 
@@ -112,3 +112,17 @@ def enough(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
         return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def parity(shingles: np.ndarray) -> bytes:
+    """For each of PARITIES bins whether the set has an odd number of shingles in it.
+
+    Two sets differ in at least as many shingles as their parities differ in bins.
+    """
+    return np.packbits(np.bincount((shingles >> U(20)) & U(PARITIES - 1), minlength=PARITIES).astype(np.uint8) & 1).tobytes()
+
+
+def may_reach(differ: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and m elements that differ in at least `differ` of them can have that similarity."""
+    need = -(-(n + m) * percent // (100 + percent))
+    return differ <= n + m - 2 * need
