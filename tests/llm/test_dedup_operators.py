@@ -60,6 +60,21 @@ def test_state_outlives_a_run(spark, docs):
     assert row["locator"]["file"].endswith(".parquet") and row["locator"]["row"] >= 0
 
 
+def test_an_old_file_that_comes_late_is_read(spark, docs):
+    """A file whose time lies years before the others'."""
+    import glob
+    import os
+
+    path, folder = written(docs([(1, "a"), (2, "b")]), spark), fresh_path(spark, "state")
+    exact_dedup.update_state(spark, path, folder)
+    before = set(glob.glob(f"{path}/*.parquet"))
+    docs([(3, "A"), (4, "c")]).write.mode("append").parquet(path)
+    for name in set(glob.glob(f"{path}/*.parquet")) - before:
+        os.utime(name, (10**9, 10**9))
+    got = results(exact_dedup.exact_duplicates(spark, path, folder))
+    assert got == brute_exact([(1, "a"), (2, "b"), (3, "A"), (4, "c")])
+
+
 def test_exact_of_nothing(spark, nothing):
     path = fresh_path(spark, "source")
     nothing.write.parquet(path)

@@ -176,6 +176,28 @@ def test_language_of_odd_rows(spark, odd, nothing, docs):
     assert {r["lang_pred"] for r in langid.predict(odd, blank).collect()} == {"und"} and langid.identified(nothing, blank).count() == 0
 
 
+def test_an_unknown_language_is_rejected(spark):
+    """A language that the model has never seen goes, the others stay, whatever their length."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang IS NOT NULL")
+    for left_out in ("de", "fr"):
+        model = langid.fit(docs.where(F.col("lang") != left_out))
+        found = langid.predict(docs, model).join(docs.select("doc_id", "lang", F.length("text").alias("n")), "doc_id").collect()
+        strange = [r["accepted"] for r in found if r["lang"] == left_out and r["n"] > 300]
+        known = [r["accepted"] for r in found if r["lang"] != left_out]
+        assert len(strange) > 50 and np.mean(strange) < 0.2 and np.mean(known) > 0.97
+
+
+def test_number_signs_are_no_letters(docs):
+    model = langid.fit(docs([(i, "the cat sat on the mat " * 9) for i in range(20)]))
+    rows = [(1, "½ ² Ⅷ"), (2, "12 ٣ _ !"), (3, "½ a ²"), (4, "日本")]
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs(rows), model).collect()} == {1: "und", 2: "und", 3: "en", 4: "en"}
+
+
+def test_equal_sizes_go_to_the_first_name():
+    model = langid.LanguageModel(("aa", "bb"), (b"the same words", b"the same words"), (0.0,) * 5)
+    assert langid.Compressors(model).judge("the same words")[:3] == ("aa", 0.5, 0.0)
+
+
 def test_a_language_is_not_guessed_from_other_columns(docs):
     """Rows of the held-out fold and rows without a language teach nothing."""
     apart = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 0]

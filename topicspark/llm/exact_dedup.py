@@ -51,7 +51,8 @@ def update_state(
     `folder` keeps the stream's checkpoint with its state, and what each micro-batch changed.
     """
     schema = spark.read.parquet(source).select("doc_id", "text").schema
-    stream = spark.readStream.schema(schema)
+    # no file is too old to be read, whatever has come before it
+    stream = spark.readStream.schema(schema).option("maxFileAge", "36500d")
     if files_per_batch:
         stream = stream.option("maxFilesPerTrigger", files_per_batch)
     # a file stream takes a folder or a pattern; this pattern fits a table of one file too
@@ -111,15 +112,17 @@ def members(docs: DataFrame, state: DataFrame, digest: Callable[[Column], Column
     clashes = clash.count()
     light = rows.select("doc_id", "digest", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
     told = state.select("digest", "keep_id", F.col("n").alias("group_size"))
+    # a row without its digest in the state would be lost in silence
+    known = F.when(F.col("keep_id").isNull() & F.col("group_size").isNull(), F.raise_error(F.lit("a row's digest is not in the state")))
+    sure = lambda rows: rows.withColumn("group_size", F.coalesce(known.cast("long"), "group_size"))
     if not clashes:
-        return light.join(told, "digest")
-    clash = clash.persist()
+        return sure(light.join(told, "digest", "left"))
     apart = rows.join(clash, "digest", "left_semi")
     groups = apart.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     exact = apart.join(groups, "text").select(
         "digest", "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size"
     )
-    return light.join(clash, "digest", "left_anti").join(told, "digest").unionByName(exact)
+    return sure(light.join(clash, "digest", "left_anti").join(told, "digest", "left")).unionByName(exact)
 
 
 def exact_duplicates(

@@ -125,6 +125,12 @@ def _likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
 
 
+def _may_link(odd: np.ndarray, size: np.ndarray, u: np.ndarray, v: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
+    """Those of the numbers `at` of pairs (u, v) whose parities allow a link."""
+    differ = np.bitwise_count(odd[u[at]] ^ odd[v[at]]).sum(axis=1, dtype=np.int64)
+    return at[may_reach(differ, size[u[at]], size[v[at]], percent)]
+
+
 PAIRS = "a binary, b binary, likeness double"
 
 
@@ -208,9 +214,8 @@ def _exhaustive(rows: DataFrame, least: float, percent: int, best: bool) -> Data
                     u, v = x[p[j : j + 65536]], q[j : j + 65536]
                     like = _likeness(sketch[a + u], sketch[a + v])
                     good = np.flatnonzero(like >= least)
-                    if odd is not None and len(good):
-                        differ = np.bitwise_count(odd[a + u[good]] ^ odd[a + v[good]]).sum(axis=1, dtype=np.int64)
-                        good = good[may_reach(differ, size[a + u[good]], size[a + v[good]], percent)]
+                    if odd is not None:
+                        good = np.concatenate([good[:0], *(_may_link(odd, size, a + u, a + v, good[k : k + 4096], percent) for k in range(0, len(good), 4096))])
                     left += [keys[a + k] for k in u[good]]
                     right += [keys[a + k] for k in v[good]]
                     likeness += like[good].tolist()
@@ -309,7 +314,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
         for batch in batches:
             at = 0
             left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
-            step = max(1, int(batch.num_rows * (4 << 20) / max(batch.nbytes, 1)))
+            step = max(1, int(batch.num_rows * (1 << 20) / max(batch.nbytes, 1)))
             for at in range(0, batch.num_rows, step):
                 x, y = shingle_sets(left[at : at + step], size), shingle_sets(right[at : at + step], size)
                 keep = pa.array([enough(p, q, percent) for p, q in zip(x, y)], pa.bool_())

@@ -18,6 +18,7 @@ _BASE = U(0x9E3779B97F4A7C15)
 _BACK = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
 COORDINATES, PARITIES = 128, 4096
+KEPT_POWERS = 1 << 20
 _A = _RNG.integers(0, 1 << 32, COORDINATES, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)
 
@@ -32,9 +33,11 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     """base ** 0 .. n - 1, modulo 2 ** 64."""
     held = _POWERS.get(name)
     if held is None or len(held) < n:
-        factors = np.full(max(n, 1 << 20), base, U)
+        factors = np.full(max(n, KEPT_POWERS), base, U)
         factors[0] = U(1)
-        held = _POWERS[name] = np.cumprod(factors)
+        held = np.cumprod(factors)
+        if n <= KEPT_POWERS:  # those of a longer text go with it
+            _POWERS[name] = held
     return held[:n]
 
 
@@ -74,7 +77,7 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     return out
 
 
-def chunks(texts: list, limit: int = 4 << 20):
+def chunks(texts: list, limit: int = 1 << 20):
     """Runs of texts of about `limit` characters in all; a longer text is a run of its own."""
     held, size = [], 0
     for t in texts:
