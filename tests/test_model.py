@@ -14,12 +14,14 @@ from jobs import sample as sample_job
 from jobs import train as train_job
 from topicspark.operators import counters as N
 from topicspark.operators.corpus import bow_lines
+from topicspark.operators.frozen import frozen_sweep, log_likelihood
 from topicspark.operators.models import Model, Params, averaged_model, model_from_counters
 from topicspark.operators.report import topic_terms_report, topic_totals_report
 from topicspark.operators.similarity import min_similar_topic, topic_similarity
 from topicspark.plans import infer as I
 from topicspark.plans import shards
 from topicspark.plans import train as T
+from topicspark.plans.log import Log
 from topicspark.sources import models as files
 from topicspark.sources.sinks import write_text
 from topicspark.sources.text import read_num_terms, read_vocab
@@ -231,6 +233,69 @@ def test_a_lost_token_is_noticed(spark, planted):
         T._counted(state.sharded._replace(tokens=int(state.n_k.sum()) + 1), state.params, 1, 1, state.space)
 
 
+def test_perplexity_in_columns_is_the_kernel_s(spark, planted):
+    state = T.gibbs_sweep(T.start(planted, Params(K, WORDS, 0.1, 0.01, 0.1), 3, 8))
+    for compat in (False, True):
+        scores = shards.run_shards(state.sharded, state.term_topic, state.n_k, state.params, "score", compat=compat)
+        want = math.exp(-scores.agg(F.sum("loglik")).first()[0] / state.n_k.sum())
+        assert T.perplexity(state, compat) == pytest.approx(want, rel=1e-12)
+    told = log_likelihood(state.edges, state.term_topic, N.topic_total(state.term_topic, K), state.params)
+    assert "Arrow" not in told._jdf.queryExecution().toString()
+
+
+def test_a_frozen_sweep_follows_the_weights(spark):
+    """Two terms, each all of one topic, in documents of one topic each: new topics go to the own ones in nearly all draws."""
+    rows = [(d, t, 40) for d in range(20) for t in range(2) if d % 2 == t]
+    edges = N.init_topics(spark.createDataFrame(rows, "doc_id bigint, term_id int, cnt bigint"), 1, 1)
+    edges = edges.withColumn("topics", F.transform("topics", lambda t: (t + F.col("term_id")).cast("int")))
+    tt, dt = N.term_topic(edges), N.doc_topic(edges)
+    moved = frozen_sweep(edges, dt, tt, N.topic_total(tt, 3), 800, Params(3, 2, 0.1, 0.01, 0.1), 7, 1).collect()
+    assert len(moved) == 800 and all(0 <= r["new"] < 3 for r in moved)
+    assert sum(r["new"] == r["topic"] for r in moved) > 780
+
+
+class _Stopped(Exception):
+    pass
+
+
+@pytest.mark.parametrize("stop", ["warm", "averaged", "between"])
+def test_a_stopped_training_goes_on(spark, space, planted, monkeypatch, stop):
+    """Stopped after a sweep, while averaging, or when edges were written and counters were not; then resumed elsewhere."""
+    options = dict(num_topics=K, total_iter=5, burn_in=2, alpha=0.1, beta=0.01, alpha_as=0.1, seed=9, num_shards=8)
+    want = T.train(planted, WORDS, **options)
+    log = space.path("log")
+    add, counted = Log.add, T._counted
+
+    def stopping(self, number, facts, tables):
+        add(self, number, facts, tables)
+        if number == {"warm": 2, "averaged": 4}.get(stop):
+            raise _Stopped
+
+    def counting(sharded, params, seed, sweep, space):
+        if stop == "between" and sweep == 3:
+            raise _Stopped
+        return counted(sharded, params, seed, sweep, space)
+
+    with monkeypatch.context() as m:
+        m.setattr(Log, "add", stopping)
+        m.setattr(T, "_counted", counting)
+        with pytest.raises(_Stopped):
+            T.train(planted, WORDS, log=log, space=space, **options)
+    for table in spark.catalog.listTables():  # another session knows no tables
+        if table.name.startswith("edges_"):
+            spark.sql(f"DROP TABLE `{table.name}`")
+    seen = []
+    got = T.resume(spark, log, report=lambda i, x: seen.append(i))
+    assert seen == {"warm": [3], "averaged": [], "between": [3]}[stop]
+    assert as_set(got.term_topic) == as_set(want.term_topic) and as_set(got.topic_total) == as_set(want.topic_total)
+    assert got.params._replace(perplexity=0) == want.params._replace(perplexity=0)
+    assert got.params.perplexity == pytest.approx(want.params.perplexity, rel=1e-12)
+    with pytest.raises(ValueError, match="is done"):
+        T.resume(spark, log)
+    with pytest.raises(ValueError, match="no sweep"):
+        T.resume(spark, space.path("nowhere"))
+
+
 def test_mean_counts_absent_topics_as_zero(spark):
     a = spark.createDataFrame([(0, 0, 4), (0, 1, 2)], "term_id int, topic int, cnt bigint")
     b = spark.createDataFrame([(0, 0, 6)], "term_id int, topic int, cnt bigint")

@@ -12,6 +12,7 @@ from topicspark.functions.ranking import dense_index
 from topicspark.functions.text import balanced_brackets, first_three_fields
 from topicspark.operators import corpus as C
 from topicspark.operators import counters as N
+from topicspark.operators import frozen
 from topicspark.operators import models as M
 from topicspark.operators import priors as P
 from topicspark.operators import report as R
@@ -551,6 +552,13 @@ def mh_acceptance(spark, sf):
     return rounded(P.mh_acceptance(asked, dt, tt, totals, total, p), "acceptance")
 
 
+@query
+def frozen_sweep(spark, sf):
+    """The new topic of every token in a sweep whose counters stand still."""
+    e, dt, tt, totals, total, p = counters(spark, sf)
+    return frozen.frozen_sweep(e, dt, tt, totals, total, p, SEED, 1)
+
+
 @query
 def doc_topic_dist(spark, sf):
     return rounded(P.doc_topic_dist(N.doc_topic(edges(spark, sf))), "prob")

@@ -240,6 +240,15 @@ oracle("mh_acceptance", "e dt tt nk size", f"""SELECT doc_id, term_id, occ, topi
         JOIN nk c ON c.topic = t.topic JOIN nk z ON z.topic = t.proposal
         LEFT JOIN dt x ON x.doc_id = t.doc_id AND x.topic = t.proposal
         LEFT JOIN tt y ON y.term_id = t.term_id AND y.topic = t.proposal, size))""")
+oracle("frozen_sweep", "e dt tt nk size", f"""SELECT doc_id, term_id, occ, topic, min(k) AS new FROM (
+    SELECT *, sum(weight) OVER (PARTITION BY doc_id, term_id, occ ORDER BY k ROWS UNBOUNDED PRECEDING) AS cdf,
+        sum(weight) OVER (PARTITION BY doc_id, term_id, occ) * u AS goal
+    FROM (SELECT t.doc_id, t.term_id, t.occ, t.topic, z.topic AS k, {_UNIFORM.format(f'{SEED}, 1').replace("doc_id", "t.doc_id").replace("term_id", "t.term_id").replace("occ)", "t.occ)")} / pow(2, 52) AS u,
+        CASE WHEN z.topic = t.topic THEN {_word('coalesce(y.cnt, 0)', 'z.cnt', 1)} * {_doc('coalesce(x.cnt, 0)', 'z.cnt', 1)}
+            ELSE {_word('coalesce(y.cnt, 0)', 'z.cnt')} * {_doc('coalesce(x.cnt, 0)', 'z.cnt')} END AS weight
+    FROM e t JOIN nk z ON true LEFT JOIN dt x ON x.doc_id = t.doc_id AND x.topic = z.topic
+        LEFT JOIN tt y ON y.term_id = t.term_id AND y.topic = z.topic, size))
+    WHERE cdf >= goal GROUP BY doc_id, term_id, occ, topic""")
 oracle("doc_topic_dist", "dt", "SELECT doc_id, topic, round(cnt / sum(cnt) OVER (PARTITION BY doc_id), 6) AS prob FROM dt")
 oracle("perplexity", "perp", "SELECT round(perplexity, 6) AS perplexity FROM perp")
 oracle("perplexity_compat", "perp", "SELECT round(compat, 6) AS perplexity FROM perp")

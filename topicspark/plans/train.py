@@ -7,13 +7,15 @@ from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicspark.operators import similarity
-from topicspark.operators.counters import accumulate, term_topic
+from topicspark.operators.counters import accumulate, term_topic, topic_total
+from topicspark.operators.frozen import log_likelihood
 from topicspark.operators.models import Model, Params, model_from_counters
-from topicspark.plans.shards import Sharded, run_shards, shard_bow, store_edges
+from topicspark.plans.log import Log
+from topicspark.plans.shards import EDGE_SCHEMA, Sharded, buckets_of, run_shards, shard_bow, store_edges
 from topicspark.session import Workspace
 
 # Defaults of training
@@ -109,15 +111,16 @@ def _next(state: State, score: bool = False) -> State:
 
 
 def run_gibbs(
-    state: State, sweeps: int, trace: bool = True, report: Callable[[int, float], None] | None = None
+    state: State, sweeps: int, trace: bool = True, report: Callable[[int, float], None] | None = None,
+    done: int = 0, commit: Callable[[State], None] | None = None,
 ) -> tuple[State, list[tuple[int, float]]]:
     """(state after the sweeps, [(iteration, perplexity before it)]).
 
     The perplexities are found by the sweeps themselves, without a job of their own. Each is also
-    given to `report` once its sweep is done.
+    given to `report` once its sweep is done. The first `done` sweeps are left out; `commit` is called after each.
     """
     found = []
-    for i in range(1, sweeps + 1):
+    for i in range(done + 1, sweeps + 1):
         tokens = state.n_k.sum()
         state = _next(state, score=trace)
         if trace:
@@ -125,6 +128,8 @@ def run_gibbs(
             found.append((i, math.exp(-loglik / tokens)))
             if report:
                 report(*found[-1])
+        if commit:
+            commit(state)
     return state, found
 
 
@@ -134,20 +139,24 @@ def perplexity(state: State, compat: bool = False) -> float:
     compat: the historical formula, which adds p / (N_d + K alpha) to p where the predictive
     probability divides by it. Its values are no true perplexities.
     """
-    scores = run_shards(state.sharded, state.term_topic, state.n_k, state.params, "score", compat=compat)
-    return math.exp(-scores.agg(F.sum("loglik")).first()[0] / state.n_k.sum())
+    told = log_likelihood(state.edges, state.term_topic, topic_total(state.term_topic, state.params.num_topics), state.params, compat).first()
+    return math.exp(-told["loglik"] / told["num_tokens"])
 
 
-def save_averaged(state: State, burn_in: int) -> tuple[State, Model]:
+def save_averaged(
+    state: State, burn_in: int, total: DataFrame | None = None, done: int = 0, commit: Callable[[State, DataFrame], None] | None = None
+) -> tuple[State, Model]:
     """`burn_in` more sweeps, and the model of their mean counters with the final perplexity.
 
-    The counters are added up sweep by sweep, so one sum is kept, whatever burn_in is.
+    The counters are added up sweep by sweep, so one sum is kept, whatever burn_in is. `total` is the sum of the first
+    `done` of them, if these are done; `commit` is called after each.
     """
-    total = None
-    for _ in range(burn_in):
+    for _ in range(done, burn_in):
         state = _next(state)
         total = state.space.store(state.term_topic if total is None else accumulate(total, state.term_topic), "sum")
-        state.space.keep_last("sum", 1)
+        state.space.keep_last("sum", 2)
+        if commit:
+            commit(state, total)
     params = state.params._replace(perplexity=perplexity(state), burn_in=burn_in)
     mean = total.select("term_id", "topic", (F.col("cnt") / F.lit(float(burn_in))).alias("cnt"))
     model = model_from_counters(state.space.store(mean, "model_term_topic"), params)
@@ -159,15 +168,54 @@ def _check_iterations(total_iter: int, burn_in: int) -> None:
         raise ValueError("total_iter must be above burn_in, and burn_in above 0")
 
 
-def _finish(state: State, total_iter: int, burn_in: int, report: Callable[[int, float], None] | None) -> Model:
+def _finish(
+    state: State, total_iter: int, burn_in: int, report: Callable[[int, float], None] | None, log: str | None = None, done: int = 0,
+    total: DataFrame | None = None,
+) -> Model:
+    """The sweeps after the first `done`; `total` is the sum of the averaged ones among these."""
     state = state._replace(params=state.params._replace(total_iter=total_iter))
-    state, _ = run_gibbs(state, total_iter - burn_in, report is not None, report)
-    state, model = save_averaged(state, burn_in)
+    warm = total_iter - burn_in
+    book = Log(state.space.spark, log) if log else None
+
+    def commit(state: State, total: DataFrame | None = None) -> None:
+        if book:
+            tables = {"edges": state.edges, "term_topic": state.term_topic, "needs": state.sharded.needs, "copies": state.sharded.copies}
+            tables |= {"sum": total} if total is not None else {}
+            facts = {
+                "seed": state.seed, "sweep": state.sweep, "num_shards": state.sharded.num_shards, "tokens": state.sharded.tokens,
+                "params": list(state.params), "total_iter": total_iter, "burn_in": burn_in, "folder": state.space.folder,
+            }
+            book.add(state.sweep, facts, tables)
+
+    if not done:
+        commit(state)
+    state, _ = run_gibbs(state, warm, report is not None, report, min(done, warm), commit)
+    state, model = save_averaged(state, burn_in, total, max(0, done - warm), commit)
+    if book:
+        book.close()
     for name in ("edges", "term_topic", "sum", "needs", "copies", "numbers"):
         state.space.keep_last(name, 0)
     return model
 
 
+def resume(spark: SparkSession, log: str, report: Callable[[int, float], None] | None = None) -> Model:
+    """Go on with a training that stopped, from the last sweep that its `log` holds; the model is that of an undisturbed one.
+
+    Draws belong to seed, sweep and token, so a sweep that is done again is the same sweep.
+    """
+    facts, tables = Log(spark, log).last()
+    space = Workspace(spark, facts["folder"])
+    params = Params(*facts["params"])
+    edges = space.bucketed_table(tables["edges"], "edges", "shard", EDGE_SCHEMA, buckets_of(facts["num_shards"]))
+    read = {name: space.table(path, name) for name, path in tables.items() if name != "edges"}
+    sharded = Sharded(edges, read["needs"], read["copies"], facts["num_shards"], facts["tokens"])
+    n_k = np.zeros(params.num_topics)
+    for row in read["term_topic"].groupBy("topic").agg(F.sum("cnt").alias("cnt")).collect():  # one row per topic
+        n_k[row["topic"]] = row["cnt"]
+    state = State(sharded, read["term_topic"], n_k, params, facts["seed"], facts["sweep"], space)
+    return _finish(state, facts["total_iter"], facts["burn_in"], report, log, facts["sweep"], read.get("sum"))
+
+
 def train(
     bow: DataFrame,
     num_terms: int,
@@ -181,14 +229,16 @@ def train(
     num_shards: int | None = None,
     space: Workspace | None = None,
     report: Callable[[int, float], None] | None = None,
+    log: str | None = None,
 ) -> Model:
     """total_iter - burn_in sweeps, then burn_in sweeps whose counters are averaged.
 
-    report(iteration, perplexity) is called for the former, if given.
+    report(iteration, perplexity) is called for the former, if given. With a folder `log` that all machines share, each
+    sweep that is done is noted there, and `resume` goes on from the last one.
     """
     _check_iterations(total_iter, burn_in)
     params = Params(num_topics, num_terms, alpha, beta, alpha_as)
-    return _finish(start(bow, params, seed, num_shards, space), total_iter, burn_in, report)
+    return _finish(start(bow, params, seed, num_shards, space), total_iter, burn_in, report, log)
 
 
 def train_incremental(
@@ -201,11 +251,12 @@ def train_incremental(
     num_shards: int | None = None,
     space: Workspace | None = None,
     report: Callable[[int, float], None] | None = None,
+    log: str | None = None,
 ) -> Model:
     """As train, from topics that fit the old model, with its topics, alpha and beta."""
     _check_iterations(total_iter, burn_in)
     state = init_topics_from_model(bow, model, seed, num_shards, space, alpha_as)
-    return _finish(state, total_iter, burn_in, report)
+    return _finish(state, total_iter, burn_in, report, log)
 
 
 def merge_duplicate_topics(state: State, threshold: float = 0.95) -> tuple[State, dict[int, int]]:

@@ -85,6 +85,20 @@ class Workspace:
         df.write.format("parquet").bucketBy(buckets, column).option("path", path).saveAsTable(table)
         return self.spark.table(table)
 
+    def table(self, path: str, name: str) -> DataFrame:
+        """A table of this name that another session has written."""
+        self.written.setdefault(name, []).append(path)
+        return self.spark.read.parquet(path)
+
+    def bucketed_table(self, path: str, name: str, column: str, schema: str, buckets: int) -> DataFrame:
+        """The same with its buckets, which the path alone does not tell."""
+        self.written.setdefault(name, []).append(path)
+        table = path.rsplit("/", 1)[-1].replace("-", "_")
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS `{table}` ({schema}) USING parquet CLUSTERED BY ({column}) INTO {buckets} BUCKETS LOCATION '{path}'"
+        )
+        return self.spark.table(table)
+
     def keep_last(self, name: str, number: int) -> None:
         """Delete all tables of this name but the last `number`."""
         paths = self.written.get(name, [])
