@@ -18,13 +18,39 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: list[str] = []  # paths of the tables that `stored` has written and `release` has not deleted
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows as a written table: it cuts the lineage and survives a lost executor."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """A mark for `release`: what is stored from now on."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete the tables stored since that mark, but for those that the frames `keep` read.
+
+    Spark deletes the shuffle files of finished jobs once the driver's collector has found these jobs out of use; it is
+    asked to look now, for by itself it may take half an hour.
+    """
+    jvm = spark._jvm
+    read = [f.rstrip("/") for df in keep for f in df.inputFiles()]
+    kept = [p for p in _WRITTEN[since:] if any(p.rsplit("/", 1)[-1] in f for f in read)]
+    for path in _WRITTEN[since:]:
+        if path not in kept:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN[since:] = kept
+    jvm.System.gc()
+
+
 def ascii_lower(column: Column) -> Column:
     """A-Z to a-z and nothing else, whatever the locale."""
     return F.translate(column, UPPER, LOWER)

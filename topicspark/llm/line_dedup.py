@@ -34,7 +34,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicspark.llm.common import ascii_lower_word, stored
+from topicspark.llm.common import ascii_lower_word, release, stored, written
 
 SIZE, PERCENT = 1, 80
 BINS, CLASSES = 1 << 17, 128
@@ -160,6 +160,7 @@ def partners(percent: int) -> Column:
 
 def similar_lines(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(r1, r2, line_no) of the lines that go."""
+    spark, mark = docs.sparkSession, written()
     lines = lines_of(docs)
     marks = stored(lines.select("doc_id", *ROW, "line_no", *LINE), "lines")
     total = marks.count()
@@ -172,6 +173,7 @@ def similar_lines(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
     once = once.where(F.col("first").isNull() | (place() == F.col("first")))
     first = prefixes(once, size, percent, ranks)
     met = stored(first.alias("x").join(first.alias("y"), partners(percent), "left_semi").distinct(), "met")
+    release(spark, mark, marks, copied, met)  # the prefixes are the largest shuffle
     sets = _sets(marks, lines, met.select("m1").distinct(), size)
     order = sets.groupBy("m1").agg(F.coalesce(F.min("first.doc_id"), F.lit(-(2**63))).alias("doc"))
     met = stored(met.join(order, "m1"), "ordered")
@@ -186,6 +188,7 @@ def similar_lines(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
     easy = stored(_verified(sets, tried, percent), "easy")
     left = met.join(easy.select("m1"), "m1", "left_anti")
     rest = left.alias("x").join(met.alias("y"), partners(percent) & earlier).select(*pair).distinct()
+    release(spark, mark, marks, copied, sets, met, tried, easy)
     near = stored(easy.union(_verified(sets, rest.join(tried, ["x", "y"], "left_anti"), percent)).distinct(), "near")
     told = copied.select(*LINE, "first", F.lit(False).alias("near")).unionByName(near.select(*LINE, F.lit(True).alias("near")), True)
     told = told.groupBy(*LINE).agg(F.max("first").alias("first"), F.max("near").alias("near"))
@@ -215,8 +218,11 @@ def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 def removed_lines(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(r1, r2, removed): the places, from 0, of the lines that go, for each document of which some line goes."""
+    mark = written()
     gone = similar_lines(docs, size, percent)
-    return stored(gone.groupBy(*ROW).agg(F.sort_array(F.collect_list("line_no")).alias("removed")), "removed")
+    removed = stored(gone.groupBy(*ROW).agg(F.sort_array(F.collect_list("line_no")).alias("removed")), "removed")
+    release(docs.sparkSession, mark, removed)
+    return removed
 
 
 def line_report(docs: DataFrame, **options) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicspark.llm.common import stored
+from topicspark.llm.common import release, stored, written
 from topicspark.llm.components import components
 from topicspark.llm.shingles import COORDINATES, U, chunks, enough, may_reach, minwise, mixed, parity, set_key, shingle_sets
 
@@ -416,12 +416,14 @@ def _sketched(one: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, **options) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
+    mark = written()
     sets = stored(shingled(docs, size), "sets")
     named, roots = linked_classes(docs, sets, size, percent, **options)
     joined = named.join(roots, "key").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = roots.join(joined, "root").select("key", "component_id")
     every = named.join(linked, "key", "left").select("key", F.coalesce("component_id", "doc_id").alias("component_id"))
     every = stored(every, "members")
+    release(docs.sparkSession, mark, sets, every)
     found = sets.select("doc_id", "n_shingles", "key").join(every, "key", "left")
     ident = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select("doc_id", "n_shingles", ident.alias("component_id"), F.col("doc_id").eqNullSafe(ident).alias("kept"))

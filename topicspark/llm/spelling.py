@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicspark.llm.acceptor import Acceptor
-from topicspark.llm.common import ascii_lower, stored
+from topicspark.llm.common import ascii_lower, release, stored, written
 
 LETTERS = "A-Za-zÀ-ÿ"
 LEAST_LENGTH, LEAST_COUNT, EVERY, RATIO = 7, 2, 31, 10
@@ -149,6 +149,7 @@ def _roots(forms: DataFrame) -> DataFrame:
 
 def spelling_variants(docs: DataFrame, ratio: int = RATIO, limit: int = LIMIT, **options) -> DataFrame:
     """(word, form, root, n, n_near, form_n) of every word of the texts."""
+    mark = written()
     words = stored(spelled(docs, **options), "words")
     near = stored(words.join(near_words(words, limit), "word", "left"), "near")
     form_n = -F.col("best.less")
@@ -158,4 +159,5 @@ def spelling_variants(docs: DataFrame, ratio: int = RATIO, limit: int = LIMIT, *
         F.when(fits, form_n).alias("form_n"),
     )
     roots = _roots(told.where("form IS NOT NULL"))
+    release(docs.sparkSession, mark, near, roots)
     return told.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
