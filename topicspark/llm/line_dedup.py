@@ -15,7 +15,7 @@ without words always stay.
    as they need to share must be left from the shared one on) and the parity filter (the parities of the tokens' counts
    in 64 hashed bins differ in at most as many bins as the lines may differ in tokens). It stops at the first partner it
    finds and puts out no pairs. All that follows is on what is left, which is little more than the similar lines.
-5. Verification, on the words themselves: first with the earliest line at each place, which settles most lines; then what
+5. Verification, after the parity filter in more bins, on the words themselves: first with the earliest line at each place, which settles most lines; then what
    is unsettled with all earlier lines of its places.
 
 Copies are left out before step 3 by a broadcast of the lines that have some, up to WANTED of them; if there are more, of
@@ -39,7 +39,7 @@ from topicspark.llm.common import ascii_lower_word, release, stored, written
 SIZE, PERCENT = 1, 80
 BINS, CLASSES = 1 << 17, 128
 HOT_SHARE, HOT_LEAST = 10_000, 100
-WANTED = 500_000
+WANTED, WIDE = 500_000, 8
 ROW = ("r1", "r2")
 LINE = ("m1", "m2")
 
@@ -158,6 +158,13 @@ def partners(percent: int) -> Column:
     return (F.col("x.key") == F.col("y.key")) & (F.col("x.m1") != F.col("y.m1")) & (kx + ky < 2) & fits & apart
 
 
+def may_be_similar(percent: int) -> Column:
+    """The parity filter once more, in the bins of `wide`: long lines fill the 64 of `bits`."""
+    nx, ny = F.shiftright("x.meta", 32), F.shiftright("y.meta", 32)
+    apart = F.aggregate(F.zip_with("x.wide", "y.wide", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, c: a + c)
+    return F.coalesce(apart <= nx + ny - 2 * F.ceil((nx + ny) * percent / (100 + percent)), F.lit(True))
+
+
 def similar_lines(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(r1, r2, line_no) of the lines that go."""
     spark, mark = docs.sparkSession, written()
@@ -175,12 +182,13 @@ def similar_lines(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
     met = stored(first.alias("x").join(first.alias("y"), partners(percent), "left_semi").distinct(), "met")
     release(spark, mark, marks, copied, met)  # the prefixes are the largest shuffle
     sets = _sets(marks, lines, met.select("m1").distinct(), size)
-    order = sets.groupBy("m1").agg(F.coalesce(F.min("first.doc_id"), F.lit(-(2**63))).alias("doc"))
+    wide = F.when(F.count(F.lit(1)) == 1, F.first("wide")).alias("wide")  # of two lines that share m1 neither speaks
+    order = sets.groupBy("m1").agg(F.coalesce(F.min("first.doc_id"), F.lit(-(2**63))).alias("doc"), wide)
     met = stored(met.join(order, "m1"), "ordered")
 
     # the earliest line at each place, then all earlier ones for the lines that it leaves unsettled
-    lead = met.groupBy("key").agg(F.min(F.struct("doc", "m1", "meta", "bits")).alias("y")).select("key", "y.*")
-    earlier = F.col("y.doc") <= F.col("x.doc")
+    lead = met.groupBy("key").agg(F.min(F.struct("doc", "m1", "meta", "bits", "wide")).alias("y")).select("key", "y.*")
+    earlier = (F.col("y.doc") <= F.col("x.doc")) & may_be_similar(percent)
     pair = [F.col("x.m1").alias("x"), F.col("y.m1").alias("y")]
     alike = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
     first_tries = met.alias("x").join(lead.alias("y"), partners(percent) & earlier).select(*pair, F.struct(alike.alias("apart"), F.col("y.m1").alias("y")).alias("best"))
@@ -197,14 +205,18 @@ def similar_lines(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
 
 
 def _sets(marks: DataFrame, lines: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(m1, m2, first, words) of the lines of these m1: where each is first, and its distinct tokens, one below the other."""
+    """(m1, m2, first, words, wide) of the lines of these m1: where each is first, its distinct tokens, one below the other,
+    and the parities of their counts in WIDE times 64 bins."""
     wanted = stored(wanted, "wanted")
     asked = F.broadcast(wanted) if wanted.count() <= WANTED else wanted
     firsts = marks.join(asked, "m1", "left_semi").groupBy(*LINE).agg(F.min(place()).alias("first"))
     found = lines.join(asked, "m1", "left_semi").select(*LINE, "line").dropDuplicates(list(LINE))
     found = found.join(firsts, list(LINE)).select(*LINE, "first", lowered(words_of(F.col("line"))).alias("words"))
-    tokens = F.array_distinct("words" if size == 1 else runs_of(F.col("words"), size))
-    return stored(found.withColumn("words", F.array_join(tokens, "\n")), "sets")
+    found = found.withColumn("words", F.array_distinct("words" if size == 1 else runs_of(F.col("words"), size)))
+    found = found.withColumn("hashes", F.transform("words", token))
+    part = lambda q: F.filter("hashes", lambda t: F.shiftright(t, 30) % WIDE == q)
+    odd = [F.aggregate(part(q), F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(_bit(t))) for q in range(WIDE)]
+    return stored(found.select(*LINE, "first", F.array_join("words", "\n").alias("words"), F.array(*odd).alias("wide")), "sets")
 
 
 def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
