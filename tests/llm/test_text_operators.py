@@ -214,6 +214,27 @@ def test_quality_of_held_out_documents(spark):
     assert len(apart) > 1000 and np.mean([r["quality"] == r["predicted"] for r in apart]) > 0.97
 
 
+def test_positives_alone_give_a_model(spark):
+    """Without any label of 0 the prior is estimated, and held-out documents are still told apart."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = quality.fit(docs, labels.filter("quality = 1"))
+    share = labels.agg(F.avg("quality")).first()[0]
+    assert model.weights is not None and abs(model.prior - share) < 0.15
+    found = quality.score(docs.join(labels, "doc_id").select("doc_id", "text"), model).join(labels, "doc_id").collect()
+    apart = [r for r in found if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    assert np.mean([r["quality"] == r["predicted"] for r in apart]) > 0.9
+
+
+def test_the_prior_is_estimated():
+    """A mixture of known share, with overlap."""
+    rng = np.random.default_rng(5)
+    for share in (0.2, 0.5, 0.8):
+        good, bad = rng.normal(2, 1, 20_000), rng.normal(-2, 1, 20_000)
+        mixed = np.where(rng.random(20_000) < share, good, bad)
+        assert quality.estimated_prior(rng.normal(2, 1, 4_000), mixed) == pytest.approx(share, abs=0.05)
+
+
 def test_quality_of_odd_rows(spark, odd, nothing):
     labels = spark.createDataFrame([(3, 1, 0), (3, 1, 0), (6, 0, 0), (None, 1, 0), (2, None, 0)], "doc_id bigint, quality int, toxic int")
     got = quality.score(odd, quality.fit(odd, labels)).collect()

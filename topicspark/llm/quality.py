@@ -5,7 +5,8 @@ linear model over text features minimises the non-negative unbiased risk of the
 
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)),
 
-where the class prior is the share of good ones among the labelled documents of the learning fold. Where the second
+where the class prior is the share of good ones among the labelled documents of the learning fold, if some are labelled
+bad; with trusted positives alone it is estimated from the scores of positives and unlabelled text. Where the second
 part falls below 0, the step goes against it, so the model does not learn the positives by heart.
 
 The features of a whole text are shares and lengths of its characters, words and lines, and repetition, all scaled by
@@ -13,7 +14,7 @@ the unlabelled sample, with squares. At last a line search puts the decision whe
 
 Fitted on a bounded sample of the learning fold, by a hash of text and doc_id: `positives` and `unlabelled` documents. Labels
 are only read of rows outside the held-out fold. Null texts count as empty; empty texts have the features of no words
-and get a score. Without positives or unlabelled rows every score is the prior, or 0.5 without labels.
+and get a score. With fewer than four positives or unlabelled rows every score is the share of positive labels, or 0.5 without labels.
 Several labels of one document: the lowest counts. Rows of a null doc_id teach nothing.
 """
 
@@ -119,6 +120,23 @@ def pu_weights(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 1500
     return w
 
 
+def estimated_prior(pos: np.ndarray, unl: np.ndarray, least: float = 0.6) -> float:
+    """The share of good ones among the unlabelled, from their scores and those of positives.
+
+    Above any threshold the unlabelled hold at least the share of positives times the prior, so each ratio is an upper
+    bound; the least of them is taken over thresholds that leave at least `least` of the positives.
+    """
+    cuts = np.quantile(pos, np.linspace(0.0, 1 - least, 50))
+    above = lambda x: 1 - np.searchsorted(np.sort(x), cuts) / len(x)
+    return float(np.clip((above(unl) / above(pos)).min(), 0.01, 0.99))
+
+
+def _prior_from_positives(zp: np.ndarray, zu: np.ndarray) -> float:
+    """By a classifier of positives against unlabelled rows, learned on one half of both and looked at on the other."""
+    w = pu_weights(zp[::2], zu[::2], 0.5)
+    return estimated_prior(zp[1::2] @ w, zu[1::2] @ w)
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, mod: int = 3, rest: int = 1
 ) -> QualityModel:
@@ -133,11 +151,13 @@ def fit(
     good = text.join(known.where("quality = 1").select("doc_id"), "doc_id", "left_semi").withColumn("kind", F.lit(1))
     pos = [r["text"] for r in bounded_sample(good, "kind", "text", positives, "doc_id")]
     unl = [r["text"] for r in bounded_sample(text.withColumn("kind", F.lit(0)), "kind", "text", unlabelled, "doc_id")]
-    if not pos or not unl or share in (0.0, 1.0):
+    if min(len(pos), len(unl)) < 4 or share == 0.0:
         return QualityModel(None, blank, blank + 1, float(share))
     xp, xu = np.array([features(t) for t in pos]), np.array([features(t) for t in unl])
     model = QualityModel(None, xu.mean(axis=0), xu.std(axis=0) + 1e-3, float(share))
     zp, zu = model.inputs(xp), model.inputs(xu)
+    if share == 1.0:
+        model.prior = _prior_from_positives(zp, zu)
     w = pu_weights(zp, zu, model.prior)
     # the shift of least estimated risk, 0-1 loss
     sp, su = np.sort(zp @ w), np.sort(zu @ w)
