@@ -27,9 +27,10 @@ def topic_totals_report(model: Model) -> DataFrame:
 def top_terms(model: Model, vocab: DataFrame, n: int) -> DataFrame:
     """(topic, rank, term, cnt): the n most frequent terms of each topic; ties by term.
 
-    Spark keeps n rows per topic in each task before the shuffle.
+    Spark keeps n rows per topic, and those tied with the last, in each task before the shuffle; only these get their names.
     """
-    named = positive(model.term_topic).join(vocab, "term_id")
+    tied = F.rank().over(Window.partitionBy("topic").orderBy(F.desc("cnt")))
+    named = positive(model.term_topic).withColumn("_tied", tied).filter(F.col("_tied") <= n).drop("_tied").join(vocab, "term_id")
     rank = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("cnt"), "term"))
     return named.withColumn("rank", rank).filter(F.col("rank") <= n).select("topic", "rank", "term", "cnt")
 
