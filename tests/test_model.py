@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import os
+import pathlib
 
 import numpy as np
 import pytest
@@ -25,6 +27,7 @@ from topicspark.plans.log import Log
 from topicspark.sources import models as files
 from topicspark.sources.sinks import write_text
 from topicspark.sources.text import read_num_terms, read_vocab
+from topicspark.streaming.infer import infer_stream, read_inferred, stream_lines
 
 K, WORDS = 4, 40
 
@@ -96,6 +99,43 @@ def test_a_document_is_inferred_alike_alone_and_in_any_shards(spark, model, plan
     assert alone == {r for r in every[0] if r[0] == 17}
 
 
+@pytest.mark.parametrize("files, at_once", [(1, 1), (7, 2), (3, 100)])
+def test_a_stream_is_inferred_as_a_table_is(spark, space, model, planted, files, at_once):
+    """For any split into files and batches; also when files come later, an old one too, and when a batch fails and is run again."""
+    arrived, sink, log = space.path("arrived"), space.path("sink"), space.path("log")
+    lines = bow_lines(planted).union(spark.createDataFrame([("900",), ("",)], "value string"))  # no pairs, no document
+    lines.filter("not startswith(value, '17 ')").repartition(files).write.text(arrived)
+    run = lambda **more: infer_stream(
+        stream_lines(spark, arrived, at_once), model, sink, log, seed=3, num_shards=4, space=space, **more
+    ).awaitTermination()
+    run()
+    lines.filter("startswith(value, '17 ')").coalesce(1).write.mode("append").text(arrived)
+    late = max(pathlib.Path(arrived).glob("part-*"), key=lambda f: f.stat().st_mtime_ns)
+    os.utime(late, (1_000_000_000, 1_000_000_000))
+    run()
+    run()  # nothing new
+    want = as_set(I.infer(planted, model, seed=3, num_shards=5))
+    told = read_inferred(spark, sink)
+    assert told.count() == len(want) and as_set(told.drop("batch")) == want
+    last = told.agg(F.max("batch")).first()[0]
+    os.remove(f"{log}/commits/{last}")  # the batch was written, but the driver was lost before it could say so
+    for crc in pathlib.Path(log, "commits").glob(f".{last}.crc"):
+        os.remove(crc)
+    run()
+    again = read_inferred(spark, sink)
+    assert again.count() == len(want) and as_set(again.drop("batch")) == want
+    assert not [f for f in pathlib.Path(space.folder).rglob("edges-*")]  # a batch leaves no tables behind
+
+
+def test_a_stream_checks_its_lines_and_iterations(spark, space, model):
+    write_text(spark.createDataFrame([("1 40:1",)], "value string"), space.path("in"))
+    lines = stream_lines(spark, space.path("in"))
+    with pytest.raises(ValueError):
+        infer_stream(lines, model, space.path("sink"), space.path("log"), 3, 3)
+    with pytest.raises(Exception, match="out of range"):
+        infer_stream(lines, model, space.path("sink"), space.path("log"), space=space).awaitTermination()
+
+
 def test_results_of_a_shared_space_stay_readable(spark, space, planted):
     """Two trainings and two inferences that are read later, in one space."""
     models = [T.train(planted, WORDS, K, 2, 1, 0.1, 0.01, 0.1, seed=s, num_shards=4, space=space) for s in (1, 2)]

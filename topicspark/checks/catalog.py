@@ -23,6 +23,7 @@ from topicspark.plans import train as training
 from topicspark.session import Workspace, read_table
 from topicspark.sources import models as model_files
 from topicspark.sources import sinks, text
+from topicspark.streaming import infer as streaming
 
 SEED, TOPICS, SHARDS = 42, 8, 16
 ALPHA, BETA, ALPHA_AS = 0.1, 0.01, 0.1
@@ -722,6 +723,24 @@ def run_inference(spark, sf):
     )
 
 
+@query
+def infer_stream(spark, sf):
+    """Per document: do the rows of a stream of its line, among files of lines, equal those of `infer`? With a batch run twice."""
+    c, model, _ = _trained(spark, sf)
+    space = Workspace(spark)
+    C.bow_lines(c.bow).repartition(8).write.text(space.path("lines"))
+    for checkpoint in ("first", "again"):  # another checkpoint knows of no batch and runs all of them again
+        arriving = streaming.stream_lines(spark, space.path("lines"), 3)
+        streaming.infer_stream(arriving, model, space.path("sink"), space.path(checkpoint), seed=SEED, num_shards=SHARDS).awaitTermination()
+    told = streaming.read_inferred(spark, space.path("sink")).withColumn("streamed", F.lit(1))
+    want = inference.infer(c.bow, model, seed=SEED, num_shards=SHARDS).withColumn("streamed", F.lit(0))
+    both = told.drop("batch").unionByName(want).groupBy("doc_id", "topic").agg(
+        F.sum("streamed").alias("streamed"), F.count(F.lit(1)).alias("rows"), (F.min("prob") == F.max("prob")).alias("same")
+    )
+    alike = (F.col("streamed") == 1) & (F.col("rows") == 2) & F.col("same")
+    return both.groupBy("doc_id").agg(F.min(alike).alias("ok"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Top terms per topic after a training of 20 sweeps, the last 5 averaged."""
     c = stored_corpus(spark, sf)

@@ -270,3 +270,4 @@ oracle("save_averaged", "bow", _PER_TERM)
 oracle("init_topics_from_model", "bow", "SELECT *, true AS ok FROM bow")
 oracle("infer", "bow", "SELECT DISTINCT doc_id, 1.0::DOUBLE AS total, true AS ok FROM bow")
 oracle("run_inference", "bow", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_index, doc_id, true AS ok FROM (SELECT DISTINCT doc_id FROM bow)")
+oracle("infer_stream", "bow", "SELECT DISTINCT doc_id, true AS ok FROM bow")

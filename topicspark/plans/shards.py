@@ -97,7 +97,7 @@ def shard_bow(bow: DataFrame, num_topics: int, seed: int, space: Workspace, num_
     return Sharded(stored, needs, copies, count, int(tokens))
 
 
-def _packed(counts: DataFrame) -> DataFrame:
+def pack_counters(counts: DataFrame) -> DataFrame:
     """One row per term with its counts by topic; at most one entry per topic."""
     held = F.collect_list(F.struct("topic", F.col("cnt").cast("double").alias("cnt")))
     return (
@@ -121,12 +121,13 @@ def run_shards(
     score: bool = False,
     compat: bool = False,
 ) -> DataFrame:
-    """Apply the kernel to every shard. See kernel.run_shard for the tasks.
+    """Apply the kernel to every shard. See kernel.run_shard for the tasks. The counters may be packed already.
 
     The edges lie in buckets by shard already; only the counters are shuffled, to their shards. A counter row wanted
     by very many shards is copied, and each copy serves COPY_ROWS of them, so that no join key is hot.
     """
-    copied = _packed(term_topics).join(sharded.copies, "id", "left").withColumn(
+    packed = term_topics if "cnts" in term_topics.columns else pack_counters(term_topics)
+    copied = packed.join(sharded.copies, "id", "left").withColumn(
         "copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))
     )
     counters = sharded.needs.join(copied, ["id", "copy"]).select("shard", "id", "topics", "cnts")

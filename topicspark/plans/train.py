@@ -163,7 +163,7 @@ def save_averaged(
     return state, model._replace(topic_total=state.space.store(model.topic_total, "model_topic_total"))
 
 
-def _check_iterations(total_iter: int, burn_in: int) -> None:
+def check_iterations(total_iter: int, burn_in: int) -> None:
     if not total_iter > burn_in > 0:
         raise ValueError("total_iter must be above burn_in, and burn_in above 0")
 
@@ -236,7 +236,7 @@ def train(
     report(iteration, perplexity) is called for the former, if given. With a folder `log` that all machines share, each
     sweep that is done is noted there, and `resume` goes on from the last one.
     """
-    _check_iterations(total_iter, burn_in)
+    check_iterations(total_iter, burn_in)
     params = Params(num_topics, num_terms, alpha, beta, alpha_as)
     return _finish(start(bow, params, seed, num_shards, space), total_iter, burn_in, report, log)
 
@@ -254,7 +254,7 @@ def train_incremental(
     log: str | None = None,
 ) -> Model:
     """As train, from topics that fit the old model, with its topics, alpha and beta."""
-    _check_iterations(total_iter, burn_in)
+    check_iterations(total_iter, burn_in)
     state = init_topics_from_model(bow, model, seed, num_shards, space, alpha_as)
     return _finish(state, total_iter, burn_in, report, log)
 

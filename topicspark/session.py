@@ -108,3 +108,8 @@ class Workspace:
             self.spark.sql(f"DROP TABLE IF EXISTS `{path.rsplit('/', 1)[-1].replace('-', '_')}`")
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def clear(self) -> None:
+        """Delete all tables of this workspace; those of its children stay."""
+        for name in self.written:
+            self.keep_last(name, 0)
