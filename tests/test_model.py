@@ -14,6 +14,7 @@ from jobs import infer as infer_job
 from jobs import rows as rows_job
 from jobs import sample as sample_job
 from jobs import train as train_job
+from topicspark.functions.ranking import sum_before
 from topicspark.operators import counters as N
 from topicspark.operators.corpus import bow_lines
 from topicspark.operators.frozen import frozen_sweep, log_likelihood
@@ -212,6 +213,27 @@ def test_hot_document_and_hot_counters(spark, space, monkeypatch):
     assert as_set(N.edges_to_bow(warm.edges)) == as_set(bow.filter("cnt > 0"))
 
 
+def test_no_shard_holds_over_twice_its_part(spark, space):
+    """24 documents of a third of a shard each, which hold all shards' tokens but a third, and 3,000 small ones."""
+    rows = [(d, t, 500) for d in range(0, 24_000, 1_000) for t in range(20)]
+    rows += [(d, 5, 5) for d in range(1, 4_000) if d % 1_000][:3_000]
+    bow = spark.createDataFrame(rows, "doc_id bigint, term_id int, cnt bigint")
+    cut = shards.shard_bow(bow, 3, 1, space, 8)
+    held = cut.edges.groupBy("shard").agg(F.sum(F.size("topics")).alias("n"), F.countDistinct("doc_id").alias("docs")).collect()
+    assert len(held) == 8 and sum(r["n"] for r in held) == cut.tokens == cut.written["tokens"] == 255_000
+    assert max(r["n"] for r in held) < 2 * 255_000 / 8
+    assert sum(r["docs"] for r in held) == 3_024  # no document is in two shards
+    assert as_set(N.edges_to_bow(cut.edges)) == as_set(bow)
+
+
+def test_sums_before(spark):
+    rows = [(i, (i * 7) % 11) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, v int").repartition(13)
+    got = {r["id"]: r["s"] for r in sum_before(df, [F.col("id")], "v", "s").collect()}
+    assert got == {i: sum(v for _, v in rows[:i]) for i, _ in rows}
+    assert sum_before(df.limit(0), [F.col("id")], "v", "s").count() == 0
+
+
 def test_more_shards_than_tasks(spark, planted, monkeypatch):
     p = Params(K, WORDS, 0.1, 0.01, 0.1)
     many = T.gibbs_sweep(T.start(planted, p, 1, 8))
@@ -267,6 +289,17 @@ def test_planted_duplicates_are_merged(spark, planted, model):
     assert none == {} and same is state
 
 
+def test_a_sweep_is_checked_by_its_own_write(spark, planted, monkeypatch):
+    """Tokens and log-likelihood come with the edges; a sampler that drops a document stops the sweep."""
+    state = T.gibbs_sweep(T.start(planted, Params(K, WORDS, 0.1, 0.01, 0.1), 1, 8), 1, score=True)
+    told = state.edges.agg(F.sum(F.size("topics")), F.sum("loglik")).first()
+    assert state.sharded.written == {"tokens": told[0], "loglik": pytest.approx(told[1], rel=1e-12)}
+    run = T.run_shards
+    monkeypatch.setattr(T, "run_shards", lambda *a, **k: run(*a, **k).filter("doc_id != 17"))
+    with pytest.raises(RuntimeError, match="were written"):
+        T.gibbs_sweep(state, 1)
+
+
 def test_a_lost_token_is_noticed(spark, planted):
     state = T.start(planted, Params(K, WORDS, 0.1, 0.01, 0.1), 1, 8)
     with pytest.raises(RuntimeError, match="tokens"):

@@ -1,8 +1,9 @@
 """Cutting token tables into shards, and bringing each shard the counters it needs.
 
-A shard holds whole documents, chosen by hash, and on average TOKENS_PER_SHARD tokens. The edges are a bucketed table,
-one bucket per shard: a sweep reads them where they are, writes them bucketed again, and shuffles counters only. Each
-shard gets each of its counters once.
+A shard holds whole documents, and on average TOKENS_PER_SHARD tokens. Small documents are dealt by hash, large ones in
+equal stretches of a running sum of their tokens, so no shard gets far more than its part unless one document is that
+large. The edges are a bucketed table, one bucket per shard: a sweep reads them where they are, writes them bucketed again,
+and shuffles counters only. Each shard gets each of its counters once.
 """
 
 from __future__ import annotations
@@ -13,9 +14,10 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from topicspark.functions.ranking import sum_before
 from topicspark.operators.corpus import positive
 from topicspark.operators.counters import blocks, uniform_topics
 from topicspark.operators.models import Params
@@ -28,6 +30,7 @@ MIN_SHARDS = 16
 TOKENS_PER_SHARD = 1_000_000
 COPY_ROWS = 1_000  # shards served by one copy of a counter row
 MAX_TASKS = 100_000
+LARGE = 64  # a document of more than this part of a shard is dealt by the running sum
 
 EDGE_SCHEMA = "shard int, doc_id bigint, term_id int, block int, topics array<int>, loglik double"
 _EDGE_ARROW = pa.schema([
@@ -46,6 +49,7 @@ class Sharded(NamedTuple):
     copies: DataFrame  # id, copies: only ids with more than one
     num_shards: int
     tokens: int
+    written: dict | None = None  # what was measured while the edges were written: tokens, loglik
 
 
 def buckets_of(num_shards: int) -> int:
@@ -63,30 +67,53 @@ def _shard_numbers(spark: SparkSession, num_shards: int) -> DataFrame:
     return placed.select((F.col("round") * buckets + F.col("bucket")).alias("slot"), "shard").filter(F.col("slot") < num_shards)
 
 
-def store_edges(edges: DataFrame, space: Workspace, num_shards: int) -> DataFrame:
-    return space.store_bucketed(edges, "edges", "shard", buckets_of(num_shards))
+def with_edges(sharded: Sharded, edges: DataFrame, space: Workspace) -> Sharded:
+    """The same shards with new edges, written as a table. Their tokens and log-likelihood are summed as they are written."""
+    seen = Observation()
+    sums = F.sum(F.size("topics")).alias("tokens"), F.sum("loglik").alias("loglik")
+    stored = space.store_bucketed(edges.observe(seen, *sums), "edges", "shard", buckets_of(sharded.num_shards))
+    return sharded._replace(edges=stored, written={"tokens": seen.get["tokens"] or 0, "loglik": seen.get["loglik"]})
+
+
+def _sizes(bow: DataFrame, space: Workspace) -> tuple[DataFrame, int]:
+    """(doc_id, size) as a table, and the sum of the sizes, found while it is written."""
+    seen = Observation()
+    sizes = positive(bow).groupBy("doc_id").agg(F.sum("cnt").cast("bigint").alias("size"))
+    stored = space.store(sizes.observe(seen, F.sum("size").alias("tokens")), "sizes")
+    return stored, seen.get["tokens"] or 0
+
+
+def large_slots(sizes: DataFrame, tokens: int, num_shards: int) -> DataFrame:
+    """(doc_id, packed): the slots of the documents that hold more than 1 / LARGE of a shard.
+
+    Every slot takes an equal stretch of the running sum of their sizes, and so at most one document more than that.
+    """
+    large = sizes.filter(F.col("size") * LARGE * num_shards > tokens)
+    total = large.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    before = sum_before(large, [F.col("doc_id")], "size", "before")
+    return before.select("doc_id", F.floor(F.col("before") * (num_shards / max(total, 1))).cast("int").alias("packed"))
 
 
 def shard_bow(bow: DataFrame, num_topics: int, seed: int, space: Workspace, num_shards: int | None = None) -> Sharded:
     """Cut a bag of words into shards and give every occurrence a uniform topic.
 
     The topics are drawn after the rows were moved to their shards, so the small rows are shuffled, once. The bag of
-    words is read twice, for the number of tokens and for the rows: it had better be a table.
+    words is read twice, for the documents' sizes and for the rows: it had better be a table. The tables of shard
+    numbers and of large documents are broadcast only where their files' sizes allow.
     """
     spark = bow.sparkSession
-    tokens = positive(bow).agg(F.coalesce(F.sum("cnt"), F.lit(0))).first()[0]
+    sizes, tokens = _sizes(bow, space)
     count = num_shards or max(MIN_SHARDS, math.ceil(tokens / TOKENS_PER_SHARD))
     numbers = space.store(_shard_numbers(spark, count), "numbers")
-    placed = blocks(bow).withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int"))
-    placed = placed.join(F.broadcast(numbers), "slot")  # one row per shard
-    stored = store_edges(
-        placed.repartition(buckets_of(count), "shard").select(
-            "shard", "doc_id", "term_id", "block", uniform_topics(num_topics, seed).alias("topics"),
-            F.lit(None).cast("double").alias("loglik"),
-        ),
-        space,
-        count,
+    packed = space.store(large_slots(sizes, tokens, count), "packed")
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int")
+    placed = blocks(bow).join(packed, "doc_id", "left").withColumn("slot", F.coalesce("packed", hashed)).join(numbers, "slot")
+    placed = placed.repartition(buckets_of(count), "shard").select(
+        "shard", "doc_id", "term_id", "block", uniform_topics(num_topics, seed).alias("topics"),
+        F.lit(None).cast("double").alias("loglik"),
     )
+    bare = with_edges(Sharded(placed, placed, placed, count, int(tokens)), placed, space)
+    stored = bare.edges
     ids = stored.select("shard", F.col("term_id").cast("bigint").alias("id")).distinct()
     served = ids.groupBy("id").agg(F.count(F.lit(1)).alias("shards"))
     many = served.filter(F.col("shards") > COPY_ROWS)
@@ -94,7 +121,7 @@ def shard_bow(bow: DataFrame, num_topics: int, seed: int, space: Workspace, num_
     needs = space.store(
         ids.join(copies, "id", "left").select("shard", "id", F.pmod("shard", F.coalesce("copies", F.lit(1))).alias("copy")), "needs"
     )
-    return Sharded(stored, needs, copies, count, int(tokens))
+    return bare._replace(needs=needs, copies=copies)
 
 
 def pack_counters(counts: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from topicspark.operators.counters import accumulate, term_topic, topic_total
 from topicspark.operators.frozen import log_likelihood
 from topicspark.operators.models import Model, Params, model_from_counters
 from topicspark.plans.log import Log
-from topicspark.plans.shards import EDGE_SCHEMA, Sharded, buckets_of, run_shards, shard_bow, store_edges
+from topicspark.plans.shards import EDGE_SCHEMA, Sharded, buckets_of, run_shards, shard_bow, with_edges
 from topicspark.session import Workspace
 
 # Defaults of training
@@ -47,7 +47,9 @@ class State(NamedTuple):
 
 
 def _counted(sharded: Sharded, params: Params, seed: int, sweep: int, space: Workspace) -> State:
-    """Recount the terms' topics, and check that no token was lost."""
+    """Recount the terms' topics, and check that no token was lost: by the sums that came with the edges and the counters."""
+    if sharded.written and sharded.written["tokens"] != sharded.tokens:
+        raise RuntimeError(f"{sharded.written['tokens']} tokens were written, but there are {sharded.tokens} tokens")
     counters = space.store(term_topic(sharded.edges), "term_topic")
     n_k = np.zeros(params.num_topics)
     for row in counters.groupBy("topic").agg(F.sum("cnt").alias("cnt")).collect():  # one row per topic
@@ -78,7 +80,7 @@ def init_topics_from_model(
     p = model.params
     sharded = shard_bow(bow, p.num_topics, seed, space, num_shards)
     new = run_shards(sharded, model.term_topic, topic_totals(model), p, "warm", seed, 0, WARM_SWEEPS, own=False)
-    sharded = sharded._replace(edges=store_edges(new, space, sharded.num_shards))
+    sharded = with_edges(sharded, new, space)
     params = p if alpha_as is None else p._replace(alpha_as=alpha_as)
     return _counted(sharded, params, seed, 0, space)
 
@@ -98,7 +100,7 @@ def gibbs_sweep(state: State, passes: int = PASSES, score: bool = False) -> Stat
     """
     s = state
     new = run_shards(s.sharded, s.term_topic, s.n_k, s.params, "train", s.seed, s.sweep + 1, passes, score=score)
-    sharded = s.sharded._replace(edges=store_edges(new, s.space, s.sharded.num_shards))
+    sharded = with_edges(s.sharded, new, s.space)
     return _counted(sharded, s.params, s.seed, s.sweep + 1, s.space)
 
 
@@ -124,8 +126,7 @@ def run_gibbs(
         tokens = state.n_k.sum()
         state = _next(state, score=trace)
         if trace:
-            loglik = state.edges.agg(F.sum("loglik")).first()[0]
-            found.append((i, math.exp(-loglik / tokens)))
+            found.append((i, math.exp(-state.sharded.written["loglik"] / tokens)))
             if report:
                 report(*found[-1])
         if commit:
@@ -193,7 +194,7 @@ def _finish(
     state, model = save_averaged(state, burn_in, total, max(0, done - warm), commit)
     if book:
         book.close()
-    for name in ("edges", "term_topic", "sum", "needs", "copies", "numbers"):
+    for name in ("edges", "term_topic", "sum", "needs", "copies", "numbers", "sizes", "packed"):
         state.space.keep_last(name, 0)
     return model
 
@@ -266,6 +267,6 @@ def merge_duplicate_topics(state: State, threshold: float = 0.95) -> tuple[State
     )
     if not mapping:
         return state, mapping
-    sharded = state.sharded._replace(edges=store_edges(edges, state.space, state.sharded.num_shards))
+    sharded = with_edges(state.sharded, edges, state.space)
     merged = _counted(sharded, state.params, state.seed, state.sweep + 1, state.space)
     return merged, mapping
