@@ -20,7 +20,7 @@ from topicspark.operators.corpus import bow_lines
 from topicspark.operators.frozen import frozen_sweep, log_likelihood
 from topicspark.operators.models import Model, Params, averaged_model, model_from_counters
 from topicspark.operators.report import topic_terms_report, topic_totals_report
-from topicspark.operators.similarity import min_similar_topic, topic_similarity
+from topicspark.operators.similarity import min_similar_topic, partial_products, topic_similarity
 from topicspark.plans import infer as I
 from topicspark.plans import shards
 from topicspark.plans import train as T
@@ -275,6 +275,28 @@ def test_merge_goes_one_hop(spark):
     assert N.relabel(edges, {2: 1}, 3).first()["topics"] == [3, 1, 1, 0]  # a topic beyond the map stays
 
 
+@pytest.mark.parametrize("topics, width, tasks", [(70, 16, None), (70, 16, 40), (70, 64, 3), (70, 256, None), (2048, 256, None)])
+def test_similarity_by_tiles(spark, topics, width, tasks):
+    """Against numpy; a topic without terms, one with a single term, and a term of all topics. No task emits topics x topics."""
+    rng = np.random.default_rng(topics)
+    dense = np.where(rng.random((300, topics)) < 0.05, rng.integers(1, 9, (300, topics)), 0).astype(float)
+    dense[7], dense[:, 3], dense[:, 5] = 1, 0, 0
+    dense[9, 5] = 4
+    t, k = np.nonzero(dense)
+    rows = spark.createDataFrame(zip(t.tolist(), k.tolist(), dense[t, k].tolist()), "term_id int, topic int, cnt double")
+    with np.errstate(invalid="ignore"):
+        unit = np.nan_to_num(dense / np.linalg.norm(dense, axis=0))
+    want = np.triu(unit.T @ unit, 1)
+    got = topic_similarity(rows, topics, tasks, width).toPandas()
+    found = np.zeros((topics, topics))
+    found[got["topic_a"], got["topic_b"]] = got["sim"]
+    assert len(got) == (want > 0).sum() and np.allclose(found, want, atol=1e-12)
+    if topics == 2048:
+        emitted = partial_products(rows, topics, tasks, width)
+        sizes = [r["n"] for r in emitted.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(sizes) <= len(t) * (topics // width) + topics * topics / 2 and max(sizes) < topics * topics / 8
+
+
 def test_planted_duplicates_are_merged(spark, planted, model):
     """Topic 1 is split at random over topics 1 and 4."""
     twin = model.term_topic.withColumn("cnt", F.when(F.col("topic") == 1, F.col("cnt") / 2).otherwise(F.col("cnt")))

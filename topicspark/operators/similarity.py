@@ -12,50 +12,85 @@ from pyspark.sql import functions as F
 from topicspark.operators.counters import relabel
 
 _BLOCK_CELLS = 1 << 22  # cells of a dense block of terms x topics
-LEAST_TASKS, TERMS_PER_TASK = 256, 65_536
+TILE = 256  # topics in a tile
+ENTRIES_PER_TASK = TILE * TILE  # so that a task emits no more rows than it reads entries
 
 
-def _partial_products(num_topics: int):
-    """Per task: the sum over its terms of count x count for every pair of topics a <= b."""
-    rows_per_block = max(1, _BLOCK_CELLS // num_topics)
+def _dense(topics: pa.ListArray, counts: pa.ListArray, width: int) -> np.ndarray:
+    """Terms x topics of one tile."""
+    held = np.zeros((len(topics), width))
+    row = np.repeat(np.arange(len(topics)), topics.value_lengths().to_numpy(zero_copy_only=False))
+    held[row, topics.flatten().to_numpy()] = counts.flatten().to_numpy()
+    return held
+
+
+def _products(width: int):
+    """Per task and pair of tiles: the sum over its terms of count x count for every pair of topics a <= b."""
+    rows_per_block = max(1, _BLOCK_CELLS // width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram = np.zeros((num_topics, num_topics))
+        grams: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for first in range(0, batch.num_rows, rows_per_block):
-                topics = batch.column("topics").slice(first, rows_per_block)
-                counts = batch.column("cnts").slice(first, rows_per_block)
-                lengths = topics.value_lengths().to_numpy(zero_copy_only=False)
-                dense = np.zeros((len(topics), num_topics))
-                row = np.repeat(np.arange(len(topics)), lengths)
-                dense[row, topics.flatten().to_numpy()] = counts.flatten().to_numpy()
-                gram += dense.T @ dense
-        a, b = np.nonzero(np.triu(gram))
-        yield pa.RecordBatch.from_pydict(
-            {"topic_a": a.astype(np.int32), "topic_b": b.astype(np.int32), "dot": gram[a, b]}
-        )
+            a, b = (batch.column(x).to_numpy() for x in ("tile_a", "tile_b"))
+            for pair in set(zip(a.tolist(), b.tolist())):
+                rows = batch.filter(pa.array((a == pair[0]) & (b == pair[1])))
+                gram = grams.setdefault(pair, np.zeros((width, width)))
+                for first in range(0, rows.num_rows, rows_per_block):
+                    block = rows.slice(first, rows_per_block)
+                    left = _dense(block.column("topics_a"), block.column("cnts_a"), width)
+                    same = pair[0] == pair[1]
+                    gram += left.T @ (left if same else _dense(block.column("topics_b"), block.column("cnts_b"), width))
+        for pair, gram in grams.items():
+            a, b = np.nonzero(np.triu(gram) if pair[0] == pair[1] else gram)
+            yield pa.RecordBatch.from_pydict({
+                "topic_a": (a + pair[0] * width).astype(np.int32), "topic_b": (b + pair[1] * width).astype(np.int32), "dot": gram[a, b],
+            })
 
     return run
 
 
-def topic_similarity(term_topics: DataFrame, num_topics: int, tasks: int | None = None) -> DataFrame:
-    """(topic_a, topic_b, sim), a < b: cosine of two topics' counts over all terms, where it is not 0.
+def partial_products(term_topics: DataFrame, num_topics: int, tasks: int | None = None, width: int = TILE) -> DataFrame:
+    """(topic_a, topic_b, dot), a <= b: sums of products over the terms of a task, to be added up.
 
-    Every task multiplies its own terms' rows into one topics x topics table, so what is shuffled
-    depends on the number of topics and tasks and not on the number of term pairs. The terms are
-    spread over at most `tasks` tasks, by default one per TERMS_PER_TASK terms and LEAST_TASKS at least.
+    The topics are cut into tiles of `width`. A task gets some terms' rows of one pair of tiles and multiplies them into a table
+    of width x width, so no task holds or emits topics x topics. An entry is shuffled once per tile, and as a task has
+    about ENTRIES_PER_TASK entries, no more rows come out than entries went in, beside one table of topics x topics.
     """
+    tiles = -(-num_topics // width)
+    pairs_of_tiles = tiles * (tiles + 1) // 2
     if tasks is None:
-        terms = term_topics.agg(F.approx_count_distinct("term_id")).first()[0]
-        tasks = max(LEAST_TASKS, terms // TERMS_PER_TASK)
-    rows = term_topics.groupBy("term_id").agg(
-        F.collect_list(F.struct("topic", F.col("cnt").cast("double").alias("cnt"))).alias("held")
-    )  # at most one entry per topic
-    if int(term_topics.sparkSession.conf.get("spark.sql.shuffle.partitions")) > tasks:
-        rows = rows.repartition(tasks, "term_id")
-    partial = rows.select(F.col("held.topic").alias("topics"), F.col("held.cnt").alias("cnts")).mapInArrow(
-        _partial_products(num_topics), "topic_a int, topic_b int, dot double"
+        entries = term_topics.count()
+        tasks = pairs_of_tiles * max(1, -(-2 * entries // (tiles * ENTRIES_PER_TASK)))
+    few = int(term_topics.sparkSession.conf.get("spark.sql.shuffle.partitions")) > tasks and tiles == 1
+    spread = term_topics.repartition(tasks, "term_id") if few else term_topics.repartition("term_id")
+    tile = F.floor(F.col("topic") / width).cast("int")
+    entry = F.struct(F.pmod("topic", F.lit(width)).alias("topic"), F.col("cnt").cast("double").alias("cnt"))
+    held = spread.groupBy("term_id", tile.alias("tile")).agg(F.collect_list(entry).alias("held"))  # at most one entry per topic
+    held = held.select("term_id", F.struct("tile", F.col("held.topic").alias("topics"), F.col("held.cnt").alias("cnts")).alias("a"))
+    none = F.lit(None).cast("struct<tile: int, topics: array<int>, cnts: array<double>>")
+    if tiles == 1:
+        both = held.select("term_id", "a", none.alias("b"))
+    else:
+        term = held.groupBy("term_id").agg(F.collect_list("a").alias("tiles"))
+        each = term.select("term_id", "tiles", F.explode("tiles").alias("a"))
+        both = each.select("term_id", "a", F.explode(F.filter("tiles", lambda b: b["tile"] >= F.col("a.tile"))).alias("b"))
+    apart = F.col("a.tile") < F.col("b.tile")  # on the diagonal one side is enough
+    rows = both.select(
+        "term_id", F.col("a.tile").alias("tile_a"), F.coalesce("b.tile", "a.tile").alias("tile_b"), F.col("a.topics").alias("topics_a"),
+        F.col("a.cnts").alias("cnts_a"), F.when(apart, F.col("b.topics")).alias("topics_b"), F.when(apart, F.col("b.cnts")).alias("cnts_b"),
     )
+    if tiles > 1:
+        chunk = F.pmod(F.hash("term_id"), F.lit(-(-tasks // pairs_of_tiles)))
+        rows = rows.repartition(tasks, "tile_a", "tile_b", chunk)
+    return rows.drop("term_id").mapInArrow(_products(min(width, num_topics)), "topic_a int, topic_b int, dot double")
+
+
+def topic_similarity(term_topics: DataFrame, num_topics: int, tasks: int | None = None, width: int = TILE) -> DataFrame:
+    """(topic_a, topic_b, sim), a < b: cosine of two topics' counts over all terms, where it is not 0.
+
+    What is shuffled follows the entries and the tiles of topics, see partial_products.
+    """
+    partial = partial_products(term_topics, num_topics, tasks, width)
     gram = partial.groupBy("topic_a", "topic_b").agg(F.sum("dot").alias("dot"))
     square = F.when(F.col("topic_a") == F.col("topic_b"), F.col("dot"))
     # topics x topics rows; the squares, one per topic, are broadcast
