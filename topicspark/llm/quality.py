@@ -5,9 +5,9 @@ linear model over text features minimises the non-negative unbiased risk of the
 
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)),
 
-where the class prior is the share of good ones among the labelled documents of the learning fold, if some are labelled
-bad; with trusted positives alone it is estimated from the scores of positives and unlabelled text. Where the second
-part falls below 0, the step goes against it, so the model does not learn the positives by heart.
+where the class prior, the share of good ones in all text, is estimated from the scores of positives and unlabelled text;
+labels of bad documents are not learned from. Where the second part falls below 0, the step goes against it, so the
+model does not learn the positives by heart.
 
 The features of a whole text are shares and lengths of its characters, words and lines, and repetition, all scaled by
 the unlabelled sample, with squares. At last a line search puts the decision where the estimated risk is least.
@@ -156,8 +156,7 @@ def fit(
     xp, xu = np.array([features(t) for t in pos]), np.array([features(t) for t in unl])
     model = QualityModel(None, xu.mean(axis=0), xu.std(axis=0) + 1e-3, float(share))
     zp, zu = model.inputs(xp), model.inputs(xu)
-    if share == 1.0:
-        model.prior = _prior_from_positives(zp, zu)
+    model.prior = _prior_from_positives(zp, zu)  # labels of 0 have no part in it
     w = pu_weights(zp, zu, model.prior)
     # the shift of least estimated risk, 0-1 loss
     sp, su = np.sort(zp @ w), np.sort(zu @ w)
