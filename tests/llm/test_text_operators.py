@@ -130,6 +130,31 @@ def test_contamination_is_brute_force(spark, docs):
         assert sum(len(_WORD.findall(text[s["start"] : s["stop"]].lower())) for s in r["spans"]) == hit
 
 
+def test_many_automata_find_what_one_finds(spark, docs, odd, monkeypatch):
+    """A benchmark of many parts, and an item that is cut: rows as from one automaton; clashing names, repeated and null rows stay."""
+    monkeypatch.setattr(decontaminate, "PIECE", 7)
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(9)]
+    say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    long = say(120)
+    items = [(i, say(rng.choice((2, 13, 14, 40)))) for i in range(10)] + [(None, say(20)), (3, say(20)), (11, long), (12, "!"), (13, None)]
+    texts = [(i, " ".join(rng.choice([say(9), x or "", long[50:200]]) for _, x in rng.sample(items, 3))) for i in range(60)]
+    texts += [(200, None), (201, ""), (1, texts[1][1]), (202, long)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    table = docs(texts)
+    assert decontaminate._parts(table, bench, 13, None, 100)[0] > 5
+    rows = lambda **more: sorted(map(str, decontaminate.contamination(table, bench, **more).collect()))
+    assert rows(part_chars=100) == rows()
+    for r in decontaminate.contamination(table.limit(30), bench, part_chars=100).collect():
+        assert (r["n_words"], r["n_hit"], r["items"]) == brute_contamination(dict(texts)[r["doc_id"]], items)
+    clash = odd.withColumn("_found", F.lit("mine"))
+    small = spark.createDataFrame([(1, "one TWO three"), (2, "four"), (3, "five six")], "item_id bigint, text string")
+    kept = decontaminate.decontaminated(clash, small, part_chars=6)
+    one = decontaminate.decontaminated(clash, small)
+    assert kept.columns == clash.columns and sorted(map(str, kept.collect())) == sorted(map(str, one.collect()))
+    assert decontaminate.contamination(table.limit(0), bench, part_chars=100).count() == 0
+
+
 def test_clean_documents_stay(spark, odd, nothing):
     bench = spark.createDataFrame([(1, "one TWO three")], "item_id bigint, text string")
     kept = decontaminate.decontaminated(odd, bench)

@@ -5,8 +5,11 @@ An item gives a window for each `window` consecutive words; an item of fewer wor
 one Aho-Corasick automaton, and each text passes it once. The automaton reads the text's words joined by single
 spaces; where something is found, the words' places are mapped back to character offsets of the original text.
 
-The automaton is built in each Python worker from the windows, which the driver collects. Benchmarks are small by
-nature; `max_chars` is the checked bound on their size, beyond which the call fails rather than fill the workers.
+The automaton is built in each Python worker from the items, which the driver collects. It takes some 600 bytes per
+character of the benchmark, so it holds at most about `part_chars` characters. A larger benchmark is cut into pieces,
+items of any length too, and dealt to several automata: the texts pass one after the other, and what the earlier ones
+hit goes along with each text as a written column, so driver and workers hold one part at a time. The result is that of
+one automaton. With `max_chars` a call fails beyond that size instead.
 
 Null texts and texts without words have no words and no hits. Items without words have no window. Items of a null id
 count as contamination, but cannot be named. Repeated items and documents are treated one by one; an item id is named
@@ -16,16 +19,21 @@ once. An empty benchmark finds nothing.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicspark.llm.common import release, stored, written
+
 WINDOW = 13
-MAX_CHARS = 64 << 20
+PART_CHARS = 1 << 18
+PIECE = 2000  # windows of an item that stay together where the benchmark is cut
+FOUND = "struct<ranges: array<struct<start: long, stop: long>>, items: array<string>>"
 SCHEMA = (
     "doc_id long, n_words long, n_hit long, items array<string>, "
     "spans array<struct<start: long, stop: long>>, contaminated boolean"
@@ -84,48 +92,122 @@ class Scanner:
         return len(w), np.cumsum(step[: len(w)]) > 0, ids
 
 
+def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of each run of hit words."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+
+
 def spans_of(text: str, hit: np.ndarray) -> list[dict]:
     """Character offsets in the original text of each run of hit words."""
     places = [m.span() for m in _WORD.finditer(text)]
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-    return [{"start": places[a][0], "stop": places[b - 1][1]} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
+    return [{"start": places[a][0], "stop": places[b - 1][1]} for a, b in _runs(hit)]
 
 
-def _scanners(docs: DataFrame, benchmark: DataFrame, window: int, max_chars: int):
-    """A function that gives the Python worker's scanner for this benchmark."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("text").isNotNull())
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    if size > max_chars:
-        raise ValueError(f"the benchmark has {size} characters; the automaton is built for at most {max_chars}")
-    held = sorted(((r["item_id"], r["text"]) for r in items.collect()), key=str)
-    key = hashlib.sha256(repr((window, held)).encode()).hexdigest()
-    sent = docs.sparkSession.sparkContext.broadcast(held)
+def _pieces(items: DataFrame, window: int) -> DataFrame:
+    """The items cut so that each window is whole in one piece, and no piece has another window."""
 
-    def scanner() -> Scanner:
-        if key not in _AUTOMATA:
-            _AUTOMATA.clear()
-            _AUTOMATA[key] = Scanner(sent.value, window)
-        return _AUTOMATA[key]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
+                w = words(text)
+                for a in range(0, max(1, len(w) - window + 1) if w else 0, PIECE):
+                    piece = b" ".join(w[a : a + PIECE + window - 1]).decode()
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([piece])], ["item_id", "text"])
+
+    return items.mapInArrow(run, "item_id string, text string")
 
-    return scanner
+
+def _parts(docs: DataFrame, benchmark: DataFrame, window: int, max_chars: int | None, part_chars: int):
+    """(number of automata, i -> a function that gives the Python worker's scanner for the i-th of them)."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("text").isNotNull())
+    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    if max_chars is not None and size > max_chars:
+        raise ValueError(f"the benchmark has {size} characters; at most {max_chars} are allowed")
+    parts = max(1, math.ceil(size / part_chars))
+    if parts > 1:
+        items = stored(_pieces(items, window), "benchmark")
+
+    def part(i: int) -> Callable[[], Scanner]:
+        mine = items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(parts)) == i) if parts > 1 else items
+        held = sorted(((r["item_id"], r["text"]) for r in mine.collect()), key=str)
+        key = hashlib.sha256(repr((window, held)).encode()).hexdigest()
+        sent = docs.sparkSession.sparkContext.broadcast(held)
+
+        def scanner() -> Scanner:
+            if key not in _AUTOMATA:
+                _AUTOMATA.clear()
+                _AUTOMATA[key] = Scanner(sent.value, window)
+            return _AUTOMATA[key]
+
+        return scanner
+
+    return parts, part
+
+
+def _looked(scanner: Scanner, text: str | None, before: dict | None):
+    """As Scanner.scan, with what earlier automata have found in the text."""
+    n, hit, ids = scanner.scan(text)
+    if before and before["ranges"]:
+        hit = np.zeros(n, bool) if hit is None else hit
+        for r in before["ranges"]:
+            hit[r["start"] : r["stop"]] = True
+        ids = set(ids) | set(before["items"])
+    return n, hit, ids
+
+
+def _all_but_last(docs: DataFrame, benchmark: DataFrame, window: int, max_chars: int | None, part_chars: int):
+    """(rows, name, scanner): the rows after all automata but the last, what these found in column `name`, and the last one."""
+    mark = written()
+    parts, part = _parts(docs, benchmark, window, max_chars, part_chars)
+    if parts == 1:
+        return docs, None, part(0)
+    name = "_found"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    rows = docs.withColumn(name, F.lit(None).cast(FOUND))
+
+    def add(scanners: Callable[[], Scanner]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scanner = scanners()
+            for batch in batches:
+                found = []
+                for value, before in zip(batch.column("text"), batch.column(name).to_pylist()):
+                    _, hit, ids = _looked(scanner, value.as_py(), before)
+                    ranges = [] if hit is None else [{"start": a, "stop": b} for a, b in _runs(hit)]
+                    found.append({"ranges": ranges, "items": list(ids)})
+                at = batch.schema.get_field_index(name)
+                yield batch.set_column(at, name, pa.array(found, batch.schema.field(at).type))
+
+        return run
+
+    for i in range(parts - 1):
+        scanner = part(i)
+        done = stored(rows.mapInArrow(add(scanner), rows.schema), "scanned")
+        if i < parts - 2:
+            rows = done
+            continue
+        last = part(parts - 1)
+        release(docs.sparkSession, mark, done)
+        return done, name, last
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, one_in: int = 20, max_chars: int = MAX_CHARS
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, one_in: int = 20, max_chars: int | None = None, part_chars: int = PART_CHARS
 ) -> DataFrame:
     """Per document its words, hit words, item ids found (sorted as text), spans, and whether it is contaminated.
 
     Contaminated: some word is hit, and hit words are at least one in `one_in` of all.
     """
-    scanners = _scanners(docs, benchmark, window, max_chars)
+    rows, earlier, scanners = _all_but_last(docs.select("doc_id", "text"), benchmark, window, max_chars, part_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = scanners()
         for batch in batches:
             n_words, n_hit, names, spans = [], [], [], []
-            for value in batch.column("text"):
+            for value, before in zip(batch.column("text"), _before(batch, earlier)):
                 text = value.as_py()
-                n, hit, ids = scanner.scan(text)
+                n, hit, ids = _looked(scanner, text, before)
                 n_words.append(n)
                 n_hit.append(0 if hit is None else int(hit.sum()))
                 names.append(sorted(x for x in ids if x is not None))
@@ -139,23 +221,28 @@ def contamination(
                 ["doc_id", "n_words", "n_hit", "items", "spans", "contaminated"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, SCHEMA)
+
+
+def _before(batch: pa.RecordBatch, name: str | None) -> list:
+    return batch.column(name).to_pylist() if name else [None] * batch.num_rows
 
 
 def decontaminated(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, one_in: int = 20, max_chars: int = MAX_CHARS
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, one_in: int = 20, max_chars: int | None = None, part_chars: int = PART_CHARS
 ) -> DataFrame:
     """The rows, with all their columns, that are not contaminated."""
-    scanners = _scanners(docs, benchmark, window, max_chars)
+    rows, earlier, scanners = _all_but_last(docs, benchmark, window, max_chars, part_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = scanners()
         for batch in batches:
             keep = []
-            for value in batch.column("text"):
-                n, hit, _ = scanner.scan(value.as_py())
+            for value, before in zip(batch.column("text"), _before(batch, earlier)):
+                n, hit, _ = _looked(scanner, value.as_py(), before)
                 hits = 0 if hit is None else int(hit.sum())
                 keep.append(not (hits > 0 and one_in * hits >= n))
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            yield kept.select([c for c in kept.schema.names if c != earlier]) if earlier else kept
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)
