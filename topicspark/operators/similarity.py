@@ -16,30 +16,52 @@ TILE = 256  # topics in a tile
 ENTRIES_PER_TASK = TILE * TILE  # so that a task emits no more rows than it reads entries
 
 
-def _dense(topics: pa.ListArray, counts: pa.ListArray, width: int) -> np.ndarray:
-    """Terms x topics of one tile."""
-    held = np.zeros((len(topics), width))
-    row = np.repeat(np.arange(len(topics)), topics.value_lengths().to_numpy(zero_copy_only=False))
-    held[row, topics.flatten().to_numpy()] = counts.flatten().to_numpy()
-    return held
+def _square(num_topics: int):
+    """Per task: the sum over its terms of count x count for every pair of topics a <= b."""
+    rows_per_block = max(1, _BLOCK_CELLS // num_topics)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram = np.zeros((num_topics, num_topics))
+        for batch in batches:
+            for first in range(0, batch.num_rows, rows_per_block):
+                topics = batch.column("topics").slice(first, rows_per_block)
+                counts = batch.column("cnts").slice(first, rows_per_block)
+                lengths = topics.value_lengths().to_numpy(zero_copy_only=False)
+                dense = np.zeros((len(topics), num_topics))
+                row = np.repeat(np.arange(len(topics)), lengths)
+                dense[row, topics.flatten().to_numpy()] = counts.flatten().to_numpy()
+                gram += dense.T @ dense
+        a, b = np.nonzero(np.triu(gram))
+        yield pa.RecordBatch.from_pydict(
+            {"topic_a": a.astype(np.int32), "topic_b": b.astype(np.int32), "dot": gram[a, b]}
+        )
+
+    return run
 
 
 def _products(width: int):
     """Per task and pair of tiles: the sum over its terms of count x count for every pair of topics a <= b."""
     rows_per_block = max(1, _BLOCK_CELLS // width)
 
+    def dense(topics: pa.ListArray, counts: pa.ListArray) -> np.ndarray:  # in here, so that a task needs no import of this package
+        held = np.zeros((len(topics), width))
+        row = np.repeat(np.arange(len(topics)), topics.value_lengths().to_numpy(zero_copy_only=False))
+        held[row, topics.flatten().to_numpy()] = counts.flatten().to_numpy()
+        return held
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             a, b = (batch.column(x).to_numpy() for x in ("tile_a", "tile_b"))
-            for pair in set(zip(a.tolist(), b.tolist())):
-                rows = batch.filter(pa.array((a == pair[0]) & (b == pair[1])))
+            found = set(zip(a.tolist(), b.tolist()))
+            for pair in found:
+                rows = batch if len(found) == 1 else batch.filter(pa.array((a == pair[0]) & (b == pair[1])))
                 gram = grams.setdefault(pair, np.zeros((width, width)))
                 for first in range(0, rows.num_rows, rows_per_block):
                     block = rows.slice(first, rows_per_block)
-                    left = _dense(block.column("topics_a"), block.column("cnts_a"), width)
+                    left = dense(block.column("topics_a"), block.column("cnts_a"))
                     same = pair[0] == pair[1]
-                    gram += left.T @ (left if same else _dense(block.column("topics_b"), block.column("cnts_b"), width))
+                    gram += left.T @ (left if same else dense(block.column("topics_b"), block.column("cnts_b")))
         for pair, gram in grams.items():
             a, b = np.nonzero(np.triu(gram) if pair[0] == pair[1] else gram)
             yield pa.RecordBatch.from_pydict({
@@ -58,31 +80,30 @@ def partial_products(term_topics: DataFrame, num_topics: int, tasks: int | None
     """
     tiles = -(-num_topics // width)
     pairs_of_tiles = tiles * (tiles + 1) // 2
+    schema = "topic_a int, topic_b int, dot double"
     if tasks is None:
         entries = term_topics.count()
         tasks = pairs_of_tiles * max(1, -(-2 * entries // (tiles * ENTRIES_PER_TASK)))
-    few = int(term_topics.sparkSession.conf.get("spark.sql.shuffle.partitions")) > tasks and tiles == 1
-    spread = term_topics.repartition(tasks, "term_id") if few else term_topics.repartition("term_id")
-    tile = F.floor(F.col("topic") / width).cast("int")
     entry = F.struct(F.pmod("topic", F.lit(width)).alias("topic"), F.col("cnt").cast("double").alias("cnt"))
-    held = spread.groupBy("term_id", tile.alias("tile")).agg(F.collect_list(entry).alias("held"))  # at most one entry per topic
-    held = held.select("term_id", F.struct("tile", F.col("held.topic").alias("topics"), F.col("held.cnt").alias("cnts")).alias("a"))
-    none = F.lit(None).cast("struct<tile: int, topics: array<int>, cnts: array<double>>")
+    gathered = F.collect_list(entry).alias("held")  # at most one entry per topic
     if tiles == 1:
-        both = held.select("term_id", "a", none.alias("b"))
-    else:
-        term = held.groupBy("term_id").agg(F.collect_list("a").alias("tiles"))
-        each = term.select("term_id", "tiles", F.explode("tiles").alias("a"))
-        both = each.select("term_id", "a", F.explode(F.filter("tiles", lambda b: b["tile"] >= F.col("a.tile"))).alias("b"))
+        held = term_topics.groupBy("term_id").agg(gathered)
+        if int(term_topics.sparkSession.conf.get("spark.sql.shuffle.partitions")) > tasks:
+            held = held.repartition(tasks, "term_id")
+        return held.select(F.col("held.topic").alias("topics"), F.col("held.cnt").alias("cnts")).mapInArrow(_square(num_topics), schema)
+    tile = F.floor(F.col("topic") / width).cast("int")
+    held = term_topics.repartition("term_id").groupBy("term_id", tile.alias("tile")).agg(gathered)
+    held = held.select("term_id", F.struct("tile", F.col("held.topic").alias("topics"), F.col("held.cnt").alias("cnts")).alias("a"))
+    term = held.groupBy("term_id").agg(F.collect_list("a").alias("tiles"))
+    each = term.select("term_id", "tiles", F.explode("tiles").alias("a"))
+    both = each.select("term_id", "a", F.explode(F.filter("tiles", lambda b: b["tile"] >= F.col("a.tile"))).alias("b"))
     apart = F.col("a.tile") < F.col("b.tile")  # on the diagonal one side is enough
     rows = both.select(
-        "term_id", F.col("a.tile").alias("tile_a"), F.coalesce("b.tile", "a.tile").alias("tile_b"), F.col("a.topics").alias("topics_a"),
+        "term_id", F.col("a.tile").alias("tile_a"), F.col("b.tile").alias("tile_b"), F.col("a.topics").alias("topics_a"),
         F.col("a.cnts").alias("cnts_a"), F.when(apart, F.col("b.topics")).alias("topics_b"), F.when(apart, F.col("b.cnts")).alias("cnts_b"),
     )
-    if tiles > 1:
-        chunk = F.pmod(F.hash("term_id"), F.lit(-(-tasks // pairs_of_tiles)))
-        rows = rows.repartition(tasks, "tile_a", "tile_b", chunk)
-    return rows.drop("term_id").mapInArrow(_products(min(width, num_topics)), "topic_a int, topic_b int, dot double")
+    chunk = F.pmod(F.hash("term_id"), F.lit(-(-tasks // pairs_of_tiles)))
+    return rows.repartition(tasks, "tile_a", "tile_b", chunk).drop("term_id").mapInArrow(_products(width), schema)
 
 
 def topic_similarity(term_topics: DataFrame, num_topics: int, tasks: int | None = None, width: int = TILE) -> DataFrame:
