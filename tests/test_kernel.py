@@ -165,3 +165,23 @@ def test_steps_and_the_plain_loop_agree(monkeypatch):
         s.train(3, 4, 2)
         found.append(s.z.tolist())
     assert found[0] == found[1] == found[2] and found[0] != z.tolist()
+
+
+def test_few_topics_or_many_the_sampling_is_the_same(monkeypatch):
+    """Rows with an entry for every topic, and blocks of few tokens, change no draw."""
+    rng = np.random.default_rng(5)
+    doc, term = np.repeat(np.arange(60), 30), rng.integers(0, 50, 1800)
+    topic = rng.integers(0, 5, 1800)
+
+    def trained(full, tokens):
+        monkeypatch.setattr(kernel, "FULL", full)
+        monkeypatch.setattr(kernel, "BATCH_TOKENS", tokens)
+        key, cnt = np.unique(term * 5 + topic, return_counts=True)
+        rows = kernel.Rows(key // 5, key % 5, cnt, 50, 5)
+        assert rows.full == (full > 0)
+        s = kernel.Shard(doc, term, topic.copy(), rows, np.bincount(topic, minlength=5), 50, 0.1, 0.01, 0.1, 1)
+        assert len(s.batches) == (1 if tokens > 1800 else 60)
+        s.train(4, 3, 1)
+        return s.z.tolist()
+
+    assert trained(8, 1 << 21) == trained(0, 1 << 21) == trained(8, 30) == trained(0, 30)
