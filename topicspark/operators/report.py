@@ -10,6 +10,8 @@ from topicspark.operators.corpus import positive
 from topicspark.operators.models import Model, Params
 from topicspark.session import Workspace
 
+PIECE = 4096  # terms of a topic's line that are joined at once
+
 
 def topics_by_total(model: Model) -> DataFrame:
     """(rank, topic, cnt), largest total first; ties by topic. One row per topic."""
@@ -57,11 +59,17 @@ def topic_terms_table(model: Model, vocab: DataFrame, probs: bool = False) -> Da
 def topic_terms_report(model: Model, vocab: DataFrame, decimals: int = 2, probs: bool = False) -> DataFrame:
     """(topic, value): the table as text, one line `topic term:value ...` per topic, whatever its length.
 
-    A line holds all terms of its topic and so has to fit a task; `topic_terms_table` is the form for any size.
+    A line holds all terms of its topic and so has to fit a task; `topic_terms_table` is the form for any size. It is put
+    together from texts of PIECE terms, so no task holds an entry per term of a line.
     """
     table = topic_terms_table(model, vocab, probs)
     text = F.concat(F.col("term"), F.format_string(f":%.{decimals}f", "value")).alias("text")
-    held = table.select("topic", F.struct("rank", text).alias("entry")).groupBy("topic").agg(F.sort_array(F.collect_list("entry")).alias("terms"))
+    piece = F.floor(F.col("rank") / PIECE).alias("piece")
+    held = table.select("topic", piece, F.struct("rank", text).alias("entry")).groupBy("topic", "piece").agg(
+        F.sort_array(F.collect_list("entry")).alias("terms")
+    )
+    held = held.select("topic", F.struct("piece", F.array_join(F.col("terms.text"), " ").alias("text")).alias("entry"))
+    held = held.groupBy("topic").agg(F.sort_array(F.collect_list("entry")).alias("terms"))
     every = vocab.sparkSession.range(model.params.num_topics).select(F.col("id").cast("int").alias("topic"))
     joined = every.join(held.select("topic", F.array_join(F.col("terms.text"), " ").alias("terms")), "topic", "left")
     return joined.select("topic", F.concat(F.col("topic").cast("string"), F.lit(" "), F.coalesce("terms", F.lit(""))).alias("value"))
