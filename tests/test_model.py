@@ -16,6 +16,8 @@ from jobs import sample as sample_job
 from jobs import train as train_job
 from topicspark.functions.ranking import sum_before
 from topicspark.operators import counters as N
+from topicspark.operators import frozen
+from topicspark.operators import report as R
 from topicspark.operators.corpus import bow_lines
 from topicspark.operators.frozen import frozen_sweep, log_likelihood
 from topicspark.operators.models import Model, Params, averaged_model, model_from_counters
@@ -499,3 +501,56 @@ def test_our_training_is_no_worse_than_variational(spark, planted, model):
         for t, c in docs[row["id"]].items():
             loglik += c * math.log(phi[t] @ theta)
     assert model.params.perplexity < 1.1 * math.exp(-loglik / (200 * 40))
+
+
+def test_a_shard_holds_a_bounded_part_whatever_number_is_asked_for(spark, space, planted, monkeypatch):
+    monkeypatch.setattr(shards, "TOKENS_PER_SHARD", 500)
+    cut = shards.shard_bow(planted, K, 1, space, 2)
+    sizes = [r["n"] for r in cut.edges.groupBy("shard").agg(F.sum(F.size("topics")).alias("n")).collect()]
+    assert cut.num_shards == 16 and len(sizes) == 16 and sum(sizes) == cut.tokens == 8000 and max(sizes) <= 1000
+    assert shards.shard_bow(planted, K, 1, space, 20).num_shards == 20
+
+
+def test_topics_are_drawn_once_per_occurrence(spark, planted):
+    for counted in (N.term_topic, N.doc_topic, N.edge_topics, N.edge_tokens):
+        plan = counted(N.init_topics(planted, K, 1))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("sequence(") <= 3, plan  # the blocks, guarded by a filter, and the occurrences
+
+
+def test_perplexity_leaves_the_edges_where_they_are(spark, planted):
+    state = T.start(planted, Params(K, WORDS, 0.1, 0.01, 0.1), 3, 8)
+    totals = N.topic_total(state.term_topic, K)
+    with frozen.planned_by_shard(spark):
+        told = log_likelihood(state.edges, state.term_topic, totals, state.params)
+        plan, there = told._jdf.queryExecution().executedPlan().toString(), told.first()
+    assert "size(topics" in plan and plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan
+    assert "hashpartitioning(doc_id" not in plan and "hashpartitioning(shard" not in plan
+    bare = log_likelihood(state.edges.drop("shard"), state.term_topic, totals, state.params).first()
+    assert there["num_tokens"] == bare["num_tokens"] == 8000 and there["loglik"] == bare["loglik"]
+
+
+def test_triplets_shuffle_no_row_per_topic(spark):
+    rows = [(d, t, 1 + (d * t) % 4) for d in range(30) for t in range(12) if (d + t) % 3]
+    edges = N.init_topics(spark.createDataFrame(rows, "doc_id bigint, term_id int, cnt bigint"), K, 1)
+    dt, tt = N.doc_topic(edges).filter("doc_id != 7"), N.term_topic(edges).filter("term_id != 5 and topic != 2")
+    got = N.triplets(edges, tt, dt)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join")
+    n_dk, n_kw = ({tuple(r)[:2]: tuple(r)[2] for r in x.collect()} for x in (dt, tt))
+    want = {(d, t, n, k, n_dk[d, k], n_kw.get((t, k), 0)) for d, t, n in rows for k in range(K) if (d, k) in n_dk}
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_a_report_s_line_is_put_together_from_pieces(spark, monkeypatch):
+    monkeypatch.setattr(R, "PIECE", 3)
+    counts = spark.createDataFrame([(t, t % 2, float(1 + t * 7 % 11)) for t in range(22)], "term_id int, topic int, cnt double")
+    names = spark.createDataFrame([(t, f"w{t:02d}") for t in range(22)], "term_id int, term string")
+    report = topic_terms_report(model_from_counters(counts, Params(3, 22)), names)
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 2
+    want = {2: "2 "}
+    for k in (0, 1):
+        held = sorted((-(1 + t * 7 % 11), t) for t in range(22) if t % 2 == k)
+        want[k] = f"{k} " + " ".join(f"w{t:02d}:{-c:.2f}" for c, t in held)
+    assert {r["topic"]: r["value"] for r in report.collect()} == want
