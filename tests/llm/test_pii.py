@@ -7,6 +7,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from topicspark.llm import pii
 
@@ -102,3 +103,13 @@ def test_texts_are_redacted(docs, model):
 def test_expressions_only(docs, model):
     for df in (pii.report(docs([(1, "a@b.c")]), model), pii.redacted(docs([(1, "a@b.c")]), model)):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
+
+
+def test_trees_learn_from_all_texts(spark):
+    """More texts than a sample would hold, a candidate each: all are counted, those that rewriting leaves alone twice."""
+    n = 8_000
+    rows = [(i, f"write to user{i}@mail.example.org now" if i % 2 else f"order 12.34.5{i % 9}.999 sent") for i in range(n)]
+    found = pii.examples(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+    got = {(r["kind"], r["label"]): r["n"] for r in found.groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got[("email", 1.0)] == n  # as it is written, and in its looser form
+    assert got[("ip", 0.0)] == n

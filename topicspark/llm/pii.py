@@ -5,7 +5,7 @@
 2. Generators of high recall propose more spans, which may overlap: the same kinds in looser forms (`at` and `dot` spelled
    out, marks in brackets, other separators, no plus sign).
 3. Boosted trees score each candidate by its format (digits, runs, separators, Luhn, parts) and its context (neighbouring
-   characters, key words, share of digits around). They learn from a sample: base spans, and the same spans rewritten in looser forms
+   characters, key words, share of digits around). They learn from all texts: base spans, and the same spans rewritten in looser forms
    inside their own texts, are positive; all else that the generators propose there is negative. The learned trees are
    then one expression, so texts are scored without leaving the plan.
 4. For each kind the threshold is calibrated on left-out documents: it lies below the least margin from which on the share
@@ -18,7 +18,7 @@ own, so `docs` must give the same rows in the same order whenever it is read, as
 
 Null texts are empty; texts without any span have no spans and the digest of nothing; null and repeated doc_ids are
 rows like others; ties of score go to the longer span, then to the kind listed first. An empty table gives no rows, and
-an empty or plain sample adds nothing.
+texts without any candidate add nothing.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from topicspark.llm.common import stored
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, TREES, DEPTH, PRECISION, LEAST_EVIDENCE = 6000, 20, 3, 0.99, 10
+TREES, DEPTH, PRECISION, LEAST_EVIDENCE = 20, 3, 0.99, 10
 CONTEXT = 24
 
 # Quantifiers that never give back and looks behind: what these patterns find is what the plain ones find, in one pass.
@@ -205,30 +205,38 @@ class Redactor:
         return out
 
 
-def examples(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Candidates of a sample of about `sample` texts and of these texts rewritten: fold, kind, label and the features."""
-    total = docs.count()
-    draw = F.pmod(F.xxhash64(F.lit(23), "doc_id", "text"), F.lit(1 << 40))
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text", draw.alias("_draw"))
-    rows = rows.where(F.col("_draw") < int(min(1.0, sample / max(total, 1)) * (1 << 40)))
+def examples(docs: DataFrame) -> DataFrame:
+    """Candidates of all texts and of these texts rewritten: fold, kind, label and the features.
+
+    All texts are matched once; a rewritten text that differs is matched beside its own, and one that does not counts twice.
+    """
+    draw = F.xxhash64(F.lit(23), "doc_id", "text")
+    apart = F.pmod(draw, F.lit(1 << 40)) % 3 == 0
+    rows = docs.where(F.col("text").isNotNull()).select("text", draw.alias("_draw"), apart.alias("apart"))
     loose = F.col("text")
     for pattern, form in (r for k in KINDS for r in REWRITES[k]):
         loose = F.regexp_replace(loose, pattern, form)
-    rows = stored(rows.select((F.col("_draw") % 3 == 0).alias("apart"), "_draw", "text", loose.alias("loose")), "pii-sample")
-    plain = matches(rows, "_draw", "apart").where("kind IS NOT NULL")
-    known = plain.where("base").groupBy("_draw").agg(F.collect_set(canonical(F.col("kind"), F.col("match"))).alias("known"))
-    rewritten = matches(rows.select("_draw", "apart", F.col("loose").alias("text")), "_draw", "apart").where("kind IS NOT NULL")
-    both = plain.union(rewritten).where("NOT base").join(known, "_draw", "left")
+
+    def version(text: Column, times: int, plain: bool) -> Column:
+        return F.struct(text.alias("text"), F.lit(times).alias("times"), F.lit(plain).alias("plain"))
+
+    own = F.col("text")
+    versions = let(loose, lambda t: F.when(t == own, F.array(version(own, 2, True))).otherwise(F.array(version(own, 1, True), version(t, 1, False))))
+    read = rows.select("_draw", "apart", F.explode_outer(versions).alias("_version")).select("_draw", "apart", "_version.*")
+    keep = ("_draw", "apart", "times", "plain")
+    found = stored(matches(read, *keep).where("kind IS NOT NULL").drop("row", "start", "end"), "pii-found")
+    known = found.where("base AND plain").groupBy("_draw").agg(F.collect_set(canonical(F.col("kind"), F.col("match"))).alias("known"))
+    both = found.where("NOT base").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("times")))).join(known, "_draw", "left")
     label = F.coalesce(F.array_contains("known", canonical(F.col("kind"), F.col("match"))), F.lit(False))
     return both.select("apart", "kind", label.cast("double").alias("label"), *(c.alias(n) for n, c in features().items()))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION, least: int = LEAST_EVIDENCE) -> Redactor:
-    """Trees and thresholds from a sample of the texts; left-out texts calibrate."""
+def fit(docs: DataFrame, precision: float = PRECISION, least: int = LEAST_EVIDENCE) -> Redactor:
+    """Trees and thresholds from all texts; a third of them is left out of the trees and calibrates."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = stored(examples(docs, sample), "pii-examples")
+    rows = stored(examples(docs), "pii-examples")
     names = list(features())
     learn = VectorAssembler(inputCols=names, outputCol="features").transform(rows.where("NOT apart")).select("label", "features")
     kinds = {r["label"]: r["n"] for r in learn.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
