@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from topicspark.functions.ranking import dense_index
 from topicspark.functions.text import balanced_brackets, first_three_fields
+from topicspark.operators import counters as N
 from topicspark.operators import sampling as S
 from topicspark.operators.corpus import bow_lines, build_corpus, tokens
 from topicspark.sources import text
@@ -179,3 +180,15 @@ def test_no_line_is_split_again_for_each_pair(spark):
     plan = text.parse_bow(rows, 5)._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("Generate")]
     assert "split(substr(value" not in above and "split(substr(value" in plan
+
+
+@pytest.mark.parametrize("topics", [1, 2, 7, 8, 16, 32])
+def test_a_topic_is_the_remainder_of_the_draw(spark, topics):
+    """By the last digit or by all of them; rows of few and of many occurrences draw alike."""
+    bow = spark.createDataFrame([(d, t, c) for d, t, c in zip(range(60), range(60), [1, 2, 3, 4, 5, 9] * 10)], "doc_id bigint, term_id int, cnt bigint")
+    for r in N.init_topics(bow, topics, 42).collect():
+        texts = [f"42|0|{r['doc_id']}|{r['term_id']}|{i}" for i in range(len(r["topics"]))]
+        assert r["topics"] == [int(hashlib.md5(t.encode()).hexdigest()[:13], 16) % topics for t in texts]
+        assert len(texts) == [1, 2, 3, 4, 5, 9][r["doc_id"] % 6]
+    plan = N.init_topics(bow, topics, 42)._jdf.queryExecution().optimizedPlan().toString()
+    assert ("conv(" in plan) == (topics in (7, 32))
