@@ -185,3 +185,24 @@ def test_few_topics_or_many_the_sampling_is_the_same(monkeypatch):
         return s.z.tolist()
 
     assert trained(8, 1 << 21) == trained(0, 1 << 21) == trained(8, 30) == trained(0, 30)
+
+
+def test_proposals_that_change_nothing_are_not_visited(monkeypatch):
+    """A term proposal of the token's own topic is left out before the steps, and the topics are those of all tokens visited."""
+    rng = np.random.default_rng(7)
+    doc = np.repeat(np.arange(50), 40)
+    term, z = rng.integers(0, 30, len(doc)), rng.integers(0, 3, len(doc))
+    seen = []
+    plain = kernel.Shard._one_by_one
+
+    def spy(self, topic, held, zero, at, z, cell, source, left, *rest):
+        known = left != zero
+        assert (topic[source[known]] != z[known]).all()
+        seen.append(len(at))
+        plain(self, topic, held, zero, at, z, cell, source, left, *rest)
+
+    monkeypatch.setattr(kernel, "ABREAST", 10**6)  # all tokens in the plain loop
+    monkeypatch.setattr(kernel.Shard, "_one_by_one", spy)
+    s = make_shard(doc, term, z.copy(), 30, 3, 1)
+    s.train(3, 4, 2)
+    assert len(seen) == 3 and max(seen) < 0.9 * len(doc)
