@@ -206,3 +206,21 @@ def test_proposals_that_change_nothing_are_not_visited(monkeypatch):
     s = make_shard(doc, term, z.copy(), 30, 3, 1)
     s.train(3, 4, 2)
     assert len(seen) == 3 and max(seen) < 0.9 * len(doc)
+
+
+@pytest.mark.parametrize("own", [0, 1])
+def test_pieces_of_any_length_give_the_same_topics(monkeypatch, own):
+    rng = np.random.default_rng(8)
+    doc = np.repeat(np.arange(40), rng.integers(1, 60, 40))
+    term, z = rng.integers(0, 30, len(doc)), rng.integers(0, 5, len(doc))
+    counts = None if own else rng.integers(0, 9, (30, 5)).astype(float)
+    found = []
+    for piece in (1 << 15, 100, 1):
+        monkeypatch.setattr(kernel, "PIECE", piece)
+        s = make_shard(doc, term, z.copy(), 30, 5, own, counts)
+        if own:
+            s.train(3, 4, 2)
+        else:
+            s.infer(3, 1, 4)
+        found.append(s.z.tolist())
+    assert found[0] == found[1] == found[2] and found[0] != z.tolist()
