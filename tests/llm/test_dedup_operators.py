@@ -336,6 +336,29 @@ def test_the_longest_prefixes_are_looked_at(docs, percent):
     assert {(r["doc_id"], k) for r in got for k in r["removed"]} == want and len(want) == 89
 
 
+def test_long_lines_without_partner_go_no_further(docs):
+    """Lines of 100 to 250 words that share some rare ones with others: with parities in 64 bins nearly all of them stay."""
+    rng = random.Random(5)
+    rows = [(d, " ".join(f"w{rng.randrange(4000)}" for _ in range(rng.randint(100, 250)))) for d in range(120)]
+    rows += [(500 + d, rows[d][1] + " one more") for d in range(6)]
+    lines = line_dedup.lines_of(docs(rows))
+    first = line_dedup.prefixes(lines, 1, 80, line_dedup.rarity(docs(rows), lines, 1)).localCheckpoint()
+    met = line_dedup.with_partner(first, 80)
+    assert met.select("m1").distinct().count() == 12
+    coarse = first.select(*(F.when(F.lit(c not in ("half", "third", "fourth")), F.col(c)).alias(c) for c in first.columns))
+    assert line_dedup.with_partner(coarse, 80).select("m1").distinct().count() > 60
+    got = line_dedup.line_report(docs(rows)).collect()
+    assert {(r["doc_id"], k) for r in got for k in r["removed"]} == brute_lines(rows) == {(500 + d, 0) for d in range(6)}
+
+
+def test_tokens_are_made_once(docs):
+    """A filter below the explode of the first tokens would make all of them again for each line."""
+    lines = line_dedup.lines_of(docs([(1, "a b c"), (2, "a b d")]))
+    met = line_dedup.with_partner(line_dedup.prefixes(lines, 1, 80, line_dedup.rarity(docs([]), lines, 1)), 80)
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and ("aggregate(" in line or "array_distinct" in line)]
+
+
 def test_columns_of_any_name_come_back(spark):
     """Names that the operator used itself once."""
     given = spark.createDataFrame(

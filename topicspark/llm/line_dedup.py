@@ -13,9 +13,10 @@ without words always stay.
    are of one class or of neighbouring ones. Each line's first tokens go to the place of token and size class.
 4. There a semi join keeps the rows that have any partner within the length filter, the positional filter (so many tokens
    as they need to share must be left from the shared one on) and the parity filter (the parities of the tokens' counts
-   in 64 hashed bins differ in at most as many bins as the lines may differ in tokens). It stops at the first partner it
+   in 64 hashed bins, 128 or 256 for longer lines, differ in at most as many bins as the lines may differ in tokens; with 64
+   alone nearly all lines of over 100 words would stay). It stops at the first partner it
    finds and puts out no pairs. All that follows is on what is left, which is little more than the similar lines.
-5. Verification, after the parity filter in more bins, on the words themselves: first with the earliest line at each place, which settles most lines; then what
+5. Verification on the words themselves: first with the earliest line at each place, which settles most lines; then what
    is unsettled with all earlier lines of its places.
 
 Copies are left out before step 3 by a broadcast of the lines that have some, up to WANTED of them; if there are more, of
@@ -38,8 +39,10 @@ from topicspark.llm.common import ascii_lower_word, release, stored, written
 
 SIZE, PERCENT = 1, 80
 BINS, CLASSES = 1 << 17, 128
+FINE, FINER = 64, 128  # lines of more tokens have parities in 128, in 256 bins
 HOT_SHARE, HOT_LEAST = 10_000, 100
-WANTED, WIDE = 500_000, 8
+WANTED = 500_000
+PARITIES = "bits", "half", "third", "fourth"
 ROW = ("r1", "r2")
 LINE = ("m1", "m2")
 
@@ -85,9 +88,9 @@ def token(word: Column) -> Column:
 def rarity(docs: DataFrame, lines: DataFrame, size: int) -> Column:
     """For each bin of tokens its class by the tokens counted in it, 0 the rarest: an array of fixed length."""
     spark = docs.sparkSession
-    if size == 1:  # the words of a whole text at once
-        text = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" "))
-        words = docs.select(F.explode(F.split(text, " ")).alias("w")).where("w != ''").select(ascii_lower_word(F.col("w")).alias("w"))
+    if size == 1:  # the words of a whole text at once; all that is lower-cased here beyond A-Z only changes a rarity, not a token
+        text = F.lower(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")))
+        words = docs.select(F.explode(F.split(text, " ")).alias("w")).where("w != ''")
     else:
         words = lines.select(lowered(words_of(F.col("line"))).alias("_words")).select(F.explode(runs_of(F.col("_words"), size)).alias("w"))
     counted = words.groupBy((token(F.col("w")) % BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -100,7 +103,7 @@ def rarity(docs: DataFrame, lines: DataFrame, size: int) -> Column:
 
 def ordered_tokens(tokens: Column, ranks: Column) -> Column:
     """Distinct tokens, the rarest first: each with its rank in the high bits."""
-    return F.sort_array(F.transform(tokens, lambda t: F.shiftleft(F.get(ranks, (t % BINS).cast("int")).cast("long"), 56).bitwiseOR(t)))
+    return F.sort_array(F.transform(tokens, lambda t: F.shiftleft(F.get(ranks, t.bitwiseAND(F.lit(BINS - 1)).cast("int")).cast("long"), 56).bitwiseOR(t)))
 
 
 def _bit(t: Column) -> Column:
@@ -108,10 +111,12 @@ def _bit(t: Column) -> Column:
 
 
 def prefixes(lines: DataFrame, size: int, percent: int, ranks: Column) -> DataFrame:
-    """(key, m1, meta, bits) of the first tokens of each line, by token and size class.
+    """(key, m1, meta, bits, half, third, fourth) of the first tokens of each line, by token and size class.
 
     kind 0: at the line's own class, so many tokens as a partner of any size may need. kind 1: at the class above, for
     larger partners only. meta holds size, place of the token and kind. Keys are hashes: more may meet there, none is lost.
+    The tokens are dealt to four parts. bits are the parities of all of them; half those of the second and the fourth part, for lines of
+    over FINE tokens; third and fourth those of one part, for lines of over FINER: with these, lines of any two lengths can be compared.
     """
     width = math.log(104 / percent)  # sizes of similar lines are at most one class apart, whatever the rounding
 
@@ -125,7 +130,14 @@ def prefixes(lines: DataFrame, size: int, percent: int, ranks: Column) -> DataFr
         plain = F.array_distinct(F.transform(runs_of(F.col("words"), size), token))
     sets = lines.select("m1", plain.alias("plain"))
     parity = F.aggregate("plain", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(_bit(t)))
-    sets = sets.select("m1", ordered_tokens(F.col("plain"), ranks).alias("tokens"), F.size("plain").alias("n"), parity.alias("bits"))
+
+    def parity_of(mask: int, part: int) -> Column:
+        held = F.filter("plain", lambda t: F.shiftright(t, 30).bitwiseAND(F.lit(mask)) == part)
+        return F.aggregate(held, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(_bit(t)))
+
+    finer = [(FINE, 1, 1, "half"), (FINER, 3, 2, "third"), (FINER, 3, 3, "fourth")]
+    finer = [F.when(F.size("plain") > least, parity_of(mask, part)).alias(name) for least, mask, part, name in finer]
+    sets = sets.select("m1", ordered_tokens(F.col("plain"), ranks).alias("tokens"), F.size("plain").alias("n"), parity.alias("bits"), *finer)
     n = F.col("n")
     sets = sets.withColumn("class", F.floor(F.log(n.cast("double")) / width).cast("int"))
     bound = lambda c: F.floor(F.exp(c * width) - 0.001).cast("int")  # noqa: E731  no size of the class is smaller
@@ -141,12 +153,12 @@ def prefixes(lines: DataFrame, size: int, percent: int, ranks: Column) -> DataFr
 
         return F.transform(F.slice("tokens", F.lit(1), F.col(length)), one)
 
-    spotted = sets.select("m1", "bits", F.explode(F.concat(spots("own", 0), spots("beyond", 1))).alias("s"))
-    return spotted.select("s.key", "m1", "s.meta", "bits")
+    spotted = sets.select("m1", *PARITIES, F.explode(F.concat(spots("own", 0), spots("beyond", 1))).alias("s"))
+    return spotted.select("s.key", "m1", "s.meta", *PARITIES)
 
 
 def partners(percent: int) -> Column:
-    """Whether rows x and y at one key may be similar lines: length, position and parity."""
+    """Whether rows x and y at one key may be similar lines: length, position and parity, last in the most bins that both have."""
     part = {}
     for side in ("x", "y"):
         meta = F.col(f"{side}.meta")
@@ -154,15 +166,18 @@ def partners(percent: int) -> Column:
     (nx, ix, kx), (ny, iy, ky) = part["x"], part["y"]
     need = F.ceil((nx + ny) * percent / (100 + percent))
     fits = (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (F.least(nx - ix, ny - iy) >= need)
-    apart = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= nx + ny - 2 * need
-    return (F.col("x.key") == F.col("y.key")) & (F.col("x.m1") != F.col("y.m1")) & (kx + ky < 2) & fits & apart
+    bits, half, third, fourth = (F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")) for c in PARITIES)
+    rest, allowed = bits.bitwiseXOR(half), nx + ny - 2 * need  # rest: of the first and the third part
+    quarters = F.bit_count(third) + F.bit_count(rest.bitwiseXOR(third)) + F.bit_count(fourth) + F.bit_count(half.bitwiseXOR(fourth))
+    apart = F.coalesce(quarters, F.bit_count(half) + F.bit_count(rest), F.bit_count(bits))
+    # coalesce keeps Spark from a filter on the parities below the explode, for which it would make all tokens twice
+    near = F.coalesce(F.bit_count(bits) <= allowed, F.lit(False)) & (apart <= allowed)
+    return (F.col("x.key") == F.col("y.key")) & (F.col("x.m1") != F.col("y.m1")) & (kx + ky < 2) & fits & near
 
 
-def may_be_similar(percent: int) -> Column:
-    """The parity filter once more, in the bins of `wide`: long lines fill the 64 of `bits`."""
-    nx, ny = F.shiftright("x.meta", 32), F.shiftright("y.meta", 32)
-    apart = F.aggregate(F.zip_with("x.wide", "y.wide", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, c: a + c)
-    return F.coalesce(apart <= nx + ny - 2 * F.ceil((nx + ny) * percent / (100 + percent)), F.lit(True))
+def with_partner(first: DataFrame, percent: int) -> DataFrame:
+    """The rows of `prefixes` that may have a similar line at their key, each once."""
+    return first.alias("x").join(first.alias("y"), partners(percent), "left_semi").distinct()
 
 
 def similar_lines(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -179,16 +194,15 @@ def similar_lines(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
     once = lines.join(F.broadcast(hot.select(*LINE, "first")), list(LINE), "left")  # at most WANTED rows
     once = once.where(F.col("first").isNull() | (place() == F.col("first")))
     first = prefixes(once, size, percent, ranks)
-    met = stored(first.alias("x").join(first.alias("y"), partners(percent), "left_semi").distinct(), "met")
+    met = stored(with_partner(first, percent), "met")
     release(spark, mark, marks, copied, met)  # the prefixes are the largest shuffle
     sets = _sets(marks, lines, met.select("m1").distinct(), size)
-    wide = F.when(F.count(F.lit(1)) == 1, F.first("wide")).alias("wide")  # of two lines that share m1 neither speaks
-    order = sets.groupBy("m1").agg(F.coalesce(F.min("first.doc_id"), F.lit(-(2**63))).alias("doc"), wide)
+    order = sets.groupBy("m1").agg(F.coalesce(F.min("first.doc_id"), F.lit(-(2**63))).alias("doc"))
     met = stored(met.join(order, "m1"), "ordered")
 
     # the earliest line at each place, then all earlier ones for the lines that it leaves unsettled
-    lead = met.groupBy("key").agg(F.min(F.struct("doc", "m1", "meta", "bits", "wide")).alias("y")).select("key", "y.*")
-    earlier = (F.col("y.doc") <= F.col("x.doc")) & may_be_similar(percent)
+    lead = met.groupBy("key").agg(F.min(F.struct("doc", "m1", "meta", *PARITIES)).alias("y")).select("key", "y.*")
+    earlier = F.col("y.doc") <= F.col("x.doc")
     pair = [F.col("x.m1").alias("x"), F.col("y.m1").alias("y")]
     alike = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
     first_tries = met.alias("x").join(lead.alias("y"), partners(percent) & earlier).select(*pair, F.struct(alike.alias("apart"), F.col("y.m1").alias("y")).alias("best"))
@@ -205,18 +219,14 @@ def similar_lines(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
 
 
 def _sets(marks: DataFrame, lines: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(m1, m2, first, words, wide) of the lines of these m1: where each is first, its distinct tokens, one below the other,
-    and the parities of their counts in WIDE times 64 bins."""
+    """(m1, m2, first, words) of the lines of these m1: where each is first, and its distinct tokens, one below the other."""
     wanted = stored(wanted, "wanted")
     asked = F.broadcast(wanted) if wanted.count() <= WANTED else wanted
     firsts = marks.join(asked, "m1", "left_semi").groupBy(*LINE).agg(F.min(place()).alias("first"))
     found = lines.join(asked, "m1", "left_semi").select(*LINE, "line").dropDuplicates(list(LINE))
     found = found.join(firsts, list(LINE)).select(*LINE, "first", lowered(words_of(F.col("line"))).alias("words"))
     found = found.withColumn("words", F.array_distinct("words" if size == 1 else runs_of(F.col("words"), size)))
-    found = found.withColumn("hashes", F.transform("words", token))
-    part = lambda q: F.filter("hashes", lambda t: F.shiftright(t, 30) % WIDE == q)
-    odd = [F.aggregate(part(q), F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(_bit(t))) for q in range(WIDE)]
-    return stored(found.select(*LINE, "first", F.array_join("words", "\n").alias("words"), F.array(*odd).alias("wide")), "sets")
+    return stored(found.select(*LINE, "first", F.array_join("words", "\n").alias("words")), "sets")
 
 
 def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
