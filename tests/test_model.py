@@ -8,15 +8,18 @@ import pathlib
 
 import numpy as np
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from jobs import infer as infer_job
 from jobs import rows as rows_job
 from jobs import sample as sample_job
 from jobs import train as train_job
+from topicspark.checks import catalog
 from topicspark.functions.ranking import sum_before
 from topicspark.operators import counters as N
 from topicspark.operators import frozen
+from topicspark.operators import priors as P
 from topicspark.operators import report as R
 from topicspark.operators.corpus import bow_lines
 from topicspark.operators.frozen import frozen_sweep, log_likelihood
@@ -28,6 +31,7 @@ from topicspark.plans import shards
 from topicspark.plans import train as T
 from topicspark.plans.log import Log
 from topicspark.sources import models as files
+from topicspark.sources import sinks
 from topicspark.sources.sinks import write_text
 from topicspark.sources.text import read_num_terms, read_vocab
 from topicspark.streaming.infer import infer_stream, read_inferred, stream_lines
@@ -433,8 +437,6 @@ def test_a_sweep_that_moves_nothing_fails_the_checks(spark, monkeypatch):
     """The queries about sampling notice a sampler that does nothing."""
     from conftest import SMALL
 
-    from topicspark.checks import catalog
-
     monkeypatch.setattr(T, "gibbs_sweep", lambda state, *a, **k: state)
     assert not catalog.gibbs_sweep(spark, SMALL).first()["ok"]
     assert not catalog.save_averaged(spark, SMALL).first()["ok"]
@@ -554,3 +556,48 @@ def test_a_report_s_line_is_put_together_from_pieces(spark, monkeypatch):
         held = sorted((-(1 + t * 7 % 11), t) for t in range(22) if t % 2 == k)
         want[k] = f"{k} " + " ".join(f"w{t:02d}:{-c:.2f}" for c, t in held)
     assert {r["topic"]: r["value"] for r in report.collect()} == want
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_single_file_is_made_by_all_tasks_and_keeps_the_order(spark, space):
+    """Each line tells the task it was made by."""
+    made_by = F.udf(lambda i: str(TaskContext.get().taskAttemptId()))
+    lines = spark.range(0, 40, 1, 5).select(F.concat_ws(" ", "id", made_by("id")).alias("value"))
+    for _ in range(2):  # the second replaces the first
+        sinks.write_single_text(lines, space.path("one"))
+    files = [f for f in os.listdir(space.path("one").removeprefix("file:")) if f.startswith("part-")]
+    assert len(files) == 1
+    with open(os.path.join(space.path("one").removeprefix("file:"), files[0])) as file:
+        found = [line.split(" ") for line in file.read().splitlines()]
+    assert [i for i, _ in found] == [str(i) for i in range(40)] and len({task for _, task in found}) == 5
+    sinks.write_single_text(lines.filter("false"), space.path("none"))
+    assert spark.read.text(space.path("none")).count() == 0
+
+
+def test_edges_lie_by_document_and_tokens_are_not_shuffled_for_their_counters(spark, space):
+    bow = spark.createDataFrame([(d, t, 1 + (d + t) % 3) for d in range(20) for t in range(d % 4, 12, 4)], "doc_id bigint, term_id int, cnt bigint")
+    e = N.store_edges(bow, 3, 1, space)
+    assert as_set(N.edge_tokens(e)) == as_set(N.edge_tokens(N.init_topics(bow, 3, 1)))
+    dt, tt = N.doc_topic(e), N.term_topic(e)
+    totals, p = N.topic_total(tt, 3), Params(3, 12, 0.1, 0.01, 0.1)
+    frozen_plan = _plan(frozen.frozen_sweep(e, dt, tt, totals, 500, p, 1, 1))
+    assert 0 <= frozen_plan.find("Generate posexplode") < frozen_plan.find("Join")
+    for found in (P.with_counts(N.edge_topics(e), "topic", dt, tt, totals, ""), N.triplets(e, tt, dt)):
+        assert "hashpartitioning(doc_id" not in _plan(found)
+
+
+def test_frozen_sweep_draws_alike_written_out_and_by_lambdas(spark, monkeypatch):
+    bow = spark.createDataFrame([(d, t, 1 + (d * t) % 5) for d in range(15) for t in range(d % 3, 20, 3)], "doc_id bigint, term_id int, cnt bigint")
+    e = N.init_topics(bow, 7, 1)
+    dt, tt = N.doc_topic(e), N.term_topic(e)
+    args = e, dt, tt, N.topic_total(tt, 7), 300, Params(7, 20, 0.1, 0.01, 0.1), 5, 1
+    few = as_set(frozen.frozen_sweep(*args))
+    monkeypatch.setattr(frozen, "UNROLLED", 1)
+    assert few == as_set(frozen.frozen_sweep(*args)) and len({r[4] for r in few}) == 7
+
+
+def test_lines_that_are_sampled_are_made_once(spark):
+    assert "regexp_extract_all" not in _plan(catalog.sample_and_select(spark, "/root/testdata/sf0.001"))

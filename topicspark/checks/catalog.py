@@ -56,7 +56,10 @@ def edges(spark, sf, seed=SEED) -> DataFrame:
 
 def stored_edges(spark, sf) -> DataFrame:
     """The same as a table, for results that read them more than once."""
-    return Workspace(spark).store(edges(spark, sf), "edges")
+    space = Workspace(spark)
+    stored = N.store_edges(corpus(spark, sf).bow, TOPICS, SEED, space)
+    space.free_shuffles()
+    return stored
 
 
 def params(vocab: DataFrame) -> M.Params:
@@ -67,9 +70,10 @@ def counters(spark, sf):
     """(edges, doc-topic, term-topic, topic totals, tokens, params) of the uniform start."""
     c = corpus(spark, sf)
     space = Workspace(spark)
-    e = space.store(N.init_topics(c.bow, TOPICS, SEED), "edges")
+    e = N.store_edges(c.bow, TOPICS, SEED, space)
     dt, tt = N.doc_topic(e), space.store(N.term_topic(e), "term_topic")
     tokens = N.num_tokens(e).first()[0]
+    space.free_shuffles()
     return e, dt, tt, N.topic_total(tt, TOPICS), tokens, params(c.vocab)
 
 

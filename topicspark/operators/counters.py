@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from topicspark.functions.draws import uniform_topic
 from topicspark.functions.rows import spread
 from topicspark.operators.corpus import positive
+from topicspark.session import Workspace
 
 BLOCK_TOKENS = 4096
 FEW = 4  # up to so many occurrences are drawn one by one
@@ -56,10 +57,20 @@ def init_topics(bow: DataFrame, num_topics: int, seed: int, it: int = 0, block:
     )
 
 
-def edge_tokens(edges: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
-    """One row (doc_id, term_id, occ, topic) per occurrence."""
-    return spread(edges, F.col("topics"), "topic", "doc_id", "term_id", "block", place="pos").select(
-        "doc_id", "term_id", (F.col("block").cast("bigint") * block + F.col("pos")).alias("occ"), "topic"
+def store_edges(bow: DataFrame, num_topics: int, seed: int, space: Workspace) -> DataFrame:
+    """`init_topics` as a table in buckets by document, in their order: counters of documents, and joins on them, need no shuffle.
+
+    The rows are shuffled before they get their topics.
+    """
+    buckets = int(bow.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = bow.repartition(buckets, "doc_id").sortWithinPartitions("doc_id", "term_id")
+    return space.store_bucketed(init_topics(placed, num_topics, seed), "edges", "doc_id", buckets)
+
+
+def edge_tokens(edges: DataFrame, block: int = BLOCK_TOKENS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row (doc_id, term_id, occ, topic) per occurrence, and the columns `keep` of its edge."""
+    return spread(edges, F.col("topics"), "topic", "doc_id", "term_id", "block", *keep, place="pos").select(
+        "doc_id", "term_id", (F.col("block").cast("bigint") * block + F.col("pos")).alias("occ"), "topic", *keep
     )
 
 
@@ -118,7 +129,7 @@ def triplets(edges: DataFrame, term_topics: DataFrame, doc_topics: DataFrame) ->
     held = F.sort_array(F.collect_list(F.struct("topic", "cnt"))).alias("_h")
     docs = doc_topics.groupBy("doc_id").agg(held).select("doc_id", F.col("_h.topic").alias("topic"), F.col("_h.cnt").alias("n_dk"))
     terms = term_topics.groupBy("term_id").agg(F.map_from_entries(F.collect_list(F.struct("topic", "cnt"))).alias("_w"))
-    both = sizes.join(docs, "doc_id").join(terms.hint("shuffle_hash"), "term_id", "left").withColumn("_d", F.arrays_zip("topic", "n_dk"))
+    both = sizes.join(docs.hint("shuffle_hash"), "doc_id").join(terms.hint("shuffle_hash"), "term_id", "left").withColumn("_d", F.arrays_zip("topic", "n_dk"))
     each = both.select("doc_id", "term_id", "n", "_w", F.explode("_d").alias("_d"))
     n_kw = F.coalesce(F.try_element_at("_w", F.col("_d.topic")), F.lit(0).cast("bigint"))
     return each.select("doc_id", "term_id", "n", "_d.topic", "_d.n_dk", n_kw.alias("n_kw"))

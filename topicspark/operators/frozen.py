@@ -15,6 +15,7 @@ from topicspark.operators.models import Params
 from topicspark.operators.priors import token_topic_prob
 
 FEW = 256  # up to so many topics, a term's weights are an array of all of them
+UNROLLED = 16  # up to so many topics, a token's weights and sums are written out, for a lambda is not compiled
 
 
 def _totals(topic_totals: DataFrame, num_topics: int) -> list[float]:
@@ -36,20 +37,45 @@ def frozen_sweep(
 
     All counters stay as they are, only the token itself is left out of them. The weights are added up in the order of the
     topics, and the new topic is the first whose sum reaches the token's draw. A document's and a term's counters come as one
-    map each, so the tokens meet two joins and no row per token and topic is made.
+    map or array each to the edges, whose tokens become rows after the joins; so only edges are shuffled, and no row per token and
+    topic is made. Where they lie in the order of the documents, what they carry to the second join is compressed well.
     """
-    n_k = F.array(*map(F.lit, _totals(topic_totals, p.num_topics)))
-    docs = doc_topics.groupBy("doc_id").agg(_map(F.struct("topic", "cnt")).alias("_d"))
-    terms = term_topics.groupBy("term_id").agg(_map(F.struct("topic", "cnt")).alias("_w"))
-    tokens = edge_tokens(edges).join(docs, "doc_id").join(terms, "term_id")
+    totals, few = _totals(topic_totals, p.num_topics), p.num_topics <= UNROLLED
+    n_k = F.array(*map(F.lit, totals))
+    held = []
+    for counts, key, name in ((doc_topics, "doc_id", "_d"), (term_topics, "term_id", "_w")):
+        by_topic = counts.groupBy(key).agg(_map(F.struct("topic", "cnt")).alias(name))
+        if few:
+            every = F.array(*[F.coalesce(F.try_element_at(name, F.lit(k)), F.lit(0)) for k in range(p.num_topics)])
+            by_topic = by_topic.withColumn(name, every)
+        held.append(by_topic.hint("shuffle_hash"))
+    met = edges.select("doc_id", "term_id", "block", "topics").join(held[0], "doc_id").join(held[1], "term_id")
+    tokens = edge_tokens(met, keep=("_d", "_w"))
+    draw = draw_bits(seed, it, F.col("doc_id"), F.col("term_id"), F.col("occ")) / F.lit(float(1 << 52))
+
+    def of(w: Column, d: Column, n: Column, k: Column) -> Column:
+        plain, own = (token_topic_prob(w, d, n, num_tokens, p, x) for x in (0, 1))
+        return F.when(k == F.col("topic"), own).otherwise(plain)
+
+    if few:
+        topics = range(p.num_topics)
+        weights = F.array(*[of(F.get("_w", F.lit(k)), F.get("_d", F.lit(k)), F.lit(totals[k]), F.lit(k)) for k in topics])
+        told = tokens.select("doc_id", "term_id", "occ", "topic", weights.alias("_weights"), draw.alias("_draw"))
+        sums = [F.get("_weights", F.lit(0))]
+        for k in topics[1:]:
+            sums.append(sums[-1] + F.get("_weights", F.lit(k)))
+        told = told.select("doc_id", "term_id", "occ", "topic", F.array(*sums).alias("_sums"), "_draw")
+        goal, new = F.col("_draw") * F.get("_sums", F.lit(p.num_topics - 1)), F.lit(-1)
+        for k in reversed(topics):
+            new = F.when(F.get("_sums", F.lit(k)) >= F.col("_goal"), F.lit(k)).otherwise(new)
+        return told.withColumn("_goal", goal).select("doc_id", "term_id", "occ", "topic", new.alias("new"))
+
     topics = F.sequence(F.lit(0), F.lit(p.num_topics - 1))
 
     def weight(k: Column) -> Column:
-        held = [F.coalesce(F.try_element_at(F.col(c), k), F.lit(0)) for c in ("_w", "_d")]
-        plain, own = (token_topic_prob(*held, F.get(n_k, k), num_tokens, p, x) for x in (0, 1))
-        return F.when(k == F.col("topic"), own).otherwise(plain)
+        w, d = (F.coalesce(F.try_element_at(F.col(c), k), F.lit(0)) for c in ("_w", "_d"))
+        return of(w, d, F.get(n_k, k), k)
 
-    draw = draw_bits(seed, it, F.col("doc_id"), F.col("term_id"), F.col("occ")) / F.lit(float(1 << 52))
     told = tokens.select("doc_id", "term_id", "occ", "topic", F.transform(topics, weight).alias("_weights"), draw.alias("_draw"))
     goal = F.col("_draw") * F.aggregate("_weights", F.lit(0.0), lambda a, w: a + w)
     told = told.withColumn("_goal", goal)
