@@ -105,6 +105,14 @@ def corpus_lines(spark, sf) -> DataFrame:
     return C.bow_lines(corpus(spark, sf).bow)
 
 
+def stored_lines(spark, sf) -> DataFrame:
+    """The same as a table, for what reads them more than once."""
+    space = Workspace(spark)
+    stored = space.store(corpus_lines(spark, sf), "lines")
+    space.free_shuffles()
+    return stored
+
+
 def text_lines(spark, sf) -> DataFrame:
     """The lines of all documents."""
     return documents(spark, sf).select(F.explode(F.split("text", "\r\n|\n|\r")).alias("value"))
@@ -344,7 +352,7 @@ def holdout_split(spark, sf):
 
 @query
 def sample_and_select(spark, sf):
-    return S.sample_and_select(corpus_lines(spark, sf), 50, SEED, ["1", "5", "17"])
+    return S.sample_and_select(stored_lines(spark, sf), 50, SEED, ["1", "5", "17"])
 
 
 @query

@@ -79,7 +79,10 @@ def select_docs(lines: DataFrame, ids: Sequence[str] | DataFrame) -> DataFrame:
 
 
 def sample_and_select(lines: DataFrame, n: int, seed: int, ids: Sequence[str] = ()) -> DataFrame:
-    """The sample, and with ids also the lines they name; the union is then free of copies."""
+    """The sample, and with ids also the lines they name; the union is then free of copies.
+
+    The lines are read several times: they had better be a table.
+    """
     sample = sample_docs(lines, n, seed)
     if not ids:
         return sample
